@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_decode
+from tidemark.llm.embeddings import near_vectors
+from tidemark.llm.media import read_media, store_media
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.url_rules import Rule, judge_urls, site_rule
+from tidemark.sources.scratch import written
 
 SITE_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 #: Below every site rule: host names that advertise what they are.
@@ -54,10 +57,24 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = read_media(written(store_media(table(spark, sf_dir, "documents")), "media"))
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 0.9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_url_rules": op5_url_rules,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_media_webp": op7_media_webp,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
