@@ -28,11 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once and returns a DataFrame over the files. They go when the driver's JVM ends."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used. What is there goes when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes df once and returns a DataFrame over the files."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
