@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.embeddings import near_vectors
+from tidemark.llm.html_text import extract_text
+from tidemark.llm.language import Model, identify_language, learn_languages
 from tidemark.llm.media import read_media, store_media
 from tidemark.llm.packing import pack_documents
-from tidemark.llm.url_rules import Rule, judge_urls, site_rule
-from tidemark.sources.scratch import written
+from tidemark.llm.token_rollup import Ledger, count_tokens, deletes, inserts, revisions
+from tidemark.llm.url_rules import Rule, host_of, judge_urls, path_of, site_rule
+from tidemark.sources.scratch import new_folder, written
 
 SITE_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 #: Below every site rule: host names that advertise what they are.
@@ -35,6 +38,43 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"), host_of(F.col("url")), path_of(F.col("url")))
+
+
+def held_out() -> Column:
+    """Whether crc32 of the id as text, modulo 4, is 2; never for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def language_model(docs: DataFrame) -> Model:
+    return learn_languages(docs.where(~held_out()))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    named = identify_language(docs, language_model(docs))
+    return named.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over documents: all are inserted; rows whose text another row with a smaller id has are deleted;
+    the others' byte-level counts are revised to include the id that ends a document. The second batch is sent twice."""
+    docs = table(spark, sf_dir, "documents")
+    counts = written(count_tokens(docs, {"byte_bpe_50k": vocabulary("byte_bpe_50k.tiktoken")}, pattern()), "token-counts")
+    hashed = docs.select("doc_id", F.sha2(F.col("text"), 256).alias("h"))
+    first = hashed.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("first"))
+    copies = hashed.join(first, "h").where("doc_id <> first").select("doc_id").distinct()
+    gone, live = counts.join(copies, "doc_id", "left_semi"), counts.join(copies, "doc_id", "left_anti")
+    ledger = Ledger(spark, new_folder(spark, "ledger"))
+    ledger.commit("1-insert", inserts(counts))
+    ledger.commit("2-delete", deletes(gone))
+    old = live.where("version = 'byte_bpe_50k'")
+    ledger.commit("3-revise", revisions(old, old.withColumn("tokens", F.col("tokens") + 1)))
+    ledger.commit("2-delete", deletes(gone))
+    return ledger.totals()
+
+
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -70,6 +110,9 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_language_id": op2_language_id,
+    "op3_token_rollup": op3_token_rollup,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_url_rules": op5_url_rules,
     "op6_byte_bpe": op6_byte_bpe,
