@@ -12,7 +12,9 @@ from tidemark.llm.embeddings import near_vectors
 from tidemark.llm.html_text import extract_text
 from tidemark.llm.language import Model, identify_language, learn_languages
 from tidemark.llm.media import read_media, store_media
+from tidemark.llm.near_documents import near_documents
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.passages import repeated_passages
 from tidemark.llm.token_rollup import Ledger, count_tokens, deletes, inserts, revisions
 from tidemark.llm.url_rules import Rule, host_of, judge_urls, path_of, site_rule
 from tidemark.sources.scratch import new_folder, written
@@ -105,10 +107,18 @@ def op7_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 0.9)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_language_id": op2_language_id,
@@ -117,7 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_rules": op5_url_rules,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_media_webp": op7_media_webp,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
