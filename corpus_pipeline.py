@@ -8,6 +8,9 @@ from tidemark.llm import stages
 from tidemark.sources.scratch import written
 
 STAGES = [
+    ("language id", stages.keep_named_language),
+    ("minhash near-dedup", stages.keep_one_of_each),
+    ("substring dedup", stages.cut_repeats),
     ("packing", stages.pack),
 ]
 #: SQL can't express the stages; tests hold them against brute force.
