@@ -1 +1,143 @@
+"""Section 2.3: joins."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import series as Z
+from tidemark.functions.keys import part
+from tidemark.functions.keys import sha256_bucket
+from tidemark.operators import logs as L
+from tidemark.operators import series as S
+from tidemark.operators.indexing import dense_index
+from tidemark.operators.similarity import lsh_pairs, pairwise
+from tidemark.operators.targeting import match_channels
+from tidemark.plans.filters import ATTRIBUTES, H_SUM, IMP, NONZERO
+from tidemark.plans.inputs import BOOKINGS_SQL, CHANNELS_SQL, FACT_SQL, INVENTORY_SQL, LOGS_SQL, MATCH_SQL, PERSONA_SQL, SERIES_SQL, bookings, channels, fact, inventory, logs, persona, raw_events, series, table
+from tidemark.plans.registry import query
+from tidemark.plans.scans import BUCKET_SQL
+
+KEYWORDS_SQL = "kw AS (SELECT DISTINCT spread_app_id, replace(spread_app_id, 'app', 'kw') AS keyword FROM raw WHERE spread_app_id <> 'app7')"
+
+
+def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = raw_events(spark, sf_dir).select("spread_app_id").where("spread_app_id <> 'app7'").distinct()
+    return r.withColumn("keyword", F.regexp_replace("spread_app_id", "app", "kw"))
+
+
+@query(f"WITH {LOGS_SQL}, {PERSONA_SQL} SELECT event_id, raw.aid, gender, age FROM raw JOIN persona ON raw.aid = persona.aid")
+def join_log_persona(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_events(spark, sf_dir).select("event_id", "aid").join(persona(spark, sf_dir), "aid")
+
+
+@query(f"WITH {LOGS_SQL}, {KEYWORDS_SQL} SELECT event_id, raw.spread_app_id, keyword FROM raw JOIN kw ON raw.spread_app_id = kw.spread_app_id")
+def join_log_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_events(spark, sf_dir).select("event_id", "spread_app_id").join(keyword_table(spark, sf_dir), "spread_app_id")
+
+
+@query(f"WITH {PERSONA_SQL}, d AS (SELECT DISTINCT * FROM persona) SELECT * FROM d WHERE aid IN (SELECT aid FROM d GROUP BY aid HAVING count(*) = 1)")
+def join_count_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = persona(spark, sf_dir).distinct()
+    return d.join(d.groupBy("aid").agg(F.count("*").alias("n")), "aid", "left").where("n = 1").drop("n")
+
+
+#: Members and their clusters: the slot and the first character of the key.
+MEMBERS_SQL = SERIES_SQL + f""",
+members AS (SELECT uckey, price_cat, ts, {IMP} AS imp, split_part(uckey, ',', 2) || '/' || substr(uckey, 1, 1) AS cluster_uckey FROM series),
+dist AS (SELECT uckey, price_cat, cluster_uckey, CASE WHEN count(*) OVER w = 1 THEN 1.0 ELSE coalesce(imp / nullif(CAST(sum(imp) OVER w AS DOUBLE), 0), 0) END AS ratio FROM members WINDOW w AS (PARTITION BY cluster_uckey, price_cat))"""
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series(spark, sf_dir).select("uckey", "price_cat", "ts", Z.total(F.col("ts")).alias("imp"), F.concat(part(F.col("uckey"), 1), F.lit("/"), F.substring("uckey", 1, 1)).alias("cluster_uckey"))
+
+
+@query(f"WITH {MEMBERS_SQL} SELECT f.uckey, f.day, f.cnt, round(ratio, 9) AS ratio FROM fact f JOIN dist d ON f.uckey = d.uckey AND f.price_cat = d.price_cat")
+def join_fact_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = S.distribution(members(spark, sf_dir).drop("ts"))
+    return fact(spark, sf_dir).join(d, ["uckey", "price_cat"]).select("uckey", "day", "cnt", F.round("ratio", 9).alias("ratio"))
+
+
+@query(f"WITH {MEMBERS_SQL}, n AS (SELECT cluster_uckey, price_cat, CAST(sum(imp) AS BIGINT) AS cluster_imp, count(*) AS size FROM members GROUP BY ALL) SELECT d.uckey, d.price_cat, n.cluster_imp, n.size FROM dist d JOIN n ON d.cluster_uckey = n.cluster_uckey AND d.price_cat = n.price_cat")
+def join_cluster_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = members(spark, sf_dir).drop("ts")
+    norm = m.groupBy("cluster_uckey", "price_cat").agg(F.sum("imp").alias("cluster_imp"), F.count("*").alias("size"))
+    return S.distribution(m).join(norm, ["cluster_uckey", "price_cat"]).select("uckey", "price_cat", "cluster_imp", "size")
+
+
+@query(f"WITH {SERIES_SQL}, c AS (SELECT DISTINCT CAST(split_part(uckey, ',', 5) AS INT) AS id, price_cat FROM series) SELECT s.uckey, s.price_cat, CAST(c.id AS VARCHAR) AS cluster_uckey FROM series s JOIN c ON split_part(s.uckey, ',', 5) = CAST(c.id AS VARCHAR) AND s.price_cat = c.price_cat")
+def join_sparse_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = series(spark, sf_dir).select("uckey", "price_cat", part(F.col("uckey"), 4).alias("cluster_uckey"))
+    clusters = s.select(F.col("cluster_uckey").cast("int").alias("id"), "price_cat").distinct()
+    return s.join(clusters.select(F.col("id").cast("string").alias("cluster_uckey"), "price_cat"), ["cluster_uckey", "price_cat"])
+
+
+@query(f"WITH {FACT_SQL}, s AS (SELECT uckey, year(day) AS y, split_part(uckey, ',', 2) AS si, sum(cnt) AS n FROM fact GROUP BY ALL), t AS (SELECT si, y, sum(n) AS total FROM s GROUP BY ALL) SELECT uckey, s.y, round(100.0 * n / total, 6) AS percent FROM s JOIN t ON s.si = t.si AND s.y = t.y")
+def join_broadcast_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fact(spark, sf_dir).groupBy("uckey", F.year("day").alias("y")).agg(F.sum("cnt").alias("n")).withColumn("si", part(F.col("uckey"), 1))
+    totals = s.groupBy("si", "y").agg(F.sum("n").alias("total"))  # slots and years
+    return s.join(totals, ["si", "y"]).select("uckey", "y", F.round(F.col("n") * 100.0 / F.col("total"), 6).alias("percent"))
+
+
+@query("SELECT p_partkey, p_type, slots FROM part LEFT JOIN (VALUES ('PROMO', 'slot1,slot2'), ('SMALL', 'slot3')) m(kind, slots) ON p_type = kind")
+def join_left_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = spark.createDataFrame([("PROMO", "slot1,slot2"), ("SMALL", "slot3")], "p_type string, slots string")
+    return table(spark, sf_dir, "part").select("p_partkey", "p_type").join(F.broadcast(m), "p_type", "left")
+
+
+@query(f"WITH {SERIES_SQL} SELECT uckey, price_cat FROM series WHERE NOT ({IMP} > 150) AND NOT ({NONZERO} <= 2)")
+def join_left_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = series(spark, sf_dir)
+    dense, sparse = s.where(Z.total(F.col("ts")) > 150).select("uckey", "price_cat"), s.where(F.size(Z.nonzero(F.col("ts"))) <= 2).select("uckey", "price_cat")
+    return s.select("uckey", "price_cat").join(dense, ["uckey", "price_cat"], "left_anti").join(sparse, ["uckey", "price_cat"], "left_anti")
+
+
+@query(f"WITH {MEMBERS_SQL} SELECT m.uckey, m.price_cat, m.imp FROM members m JOIN dist d ON m.uckey = d.uckey AND m.price_cat = d.price_cat WHERE d.ratio > 0.004")
+def join_sql_multi_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = members(spark, sf_dir).drop("ts")
+    return spark.sql("SELECT m.uckey, m.price_cat, m.imp FROM {m} m JOIN {d} d ON m.uckey = d.uckey AND m.price_cat = d.price_cat WHERE d.ratio > 0.004", m=m, d=S.distribution(m))
+
+
+VECTORS_SQL = """
+vec AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+near AS (SELECT x.vec_id AS a, y.vec_id AS b, 8.0 - sqrt(greatest(list_dot_product(x.v, x.v) + list_dot_product(y.v, y.v) - 2 * list_dot_product(x.v, y.v), 0)) AS score FROM vec x JOIN vec y ON x.label = y.label),
+top AS (SELECT a, b, score FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, b) <= 5)"""
+
+
+@query(f"WITH {LOGS_SQL}, {VECTORS_SQL}, seeds AS (SELECT DISTINCT CAST(substr(aid, 2) AS BIGINT) AS id FROM logs WHERE is_click = 1 AND keyword = 'kw1') SELECT a, b FROM top JOIN seeds ON a = id")
+def join_seed_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.similarity import top_similar
+
+    seeds = logs(spark, sf_dir).where("is_click = 1 and keyword = 'kw1'").select(F.expr("substring(aid, 2)").cast("long").alias("a")).distinct()
+    return top_similar(table(spark, sf_dir, "embeddings"), 5, within="label").join(seeds, "a").select("a", F.explode("near").alias("n")).select("a", F.col("n.b").alias("b"))
+
+
+@query(f"WITH {FACT_SQL}, k AS (SELECT DISTINCT uckey, {BUCKET_SQL.format('uckey', 10)} AS bucket_id FROM fact) SELECT count(*) AS keys, count(DISTINCT uckey) AS distinct_keys, count(*) - count(DISTINCT uckey) AS in_two FROM k")
+def join_bucket_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = fact(spark, sf_dir).select("uckey").withColumn("bucket_id", sha256_bucket(F.col("uckey"), 10)).distinct()
+    per = k.groupBy("uckey").agg(F.countDistinct("bucket_id").alias("n"))
+    return per.agg(F.sum("n").alias("keys"), F.count("*").alias("distinct_keys"), F.sum(F.col("n") - 1).alias("in_two"))
+
+
+@query(f"WITH {LOGS_SQL}, i AS (SELECT aid, row_number() OVER (ORDER BY aid) AS ix FROM (SELECT DISTINCT aid FROM logs)) SELECT event_id, ix FROM logs JOIN i ON logs.aid = i.aid")
+def join_index_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = logs(spark, sf_dir)
+    return log.join(dense_index(log, "aid", into="ix"), "aid").select("event_id", "ix")
+
+
+@query(f"WITH {VECTORS_SQL} SELECT a, b, round(score, 6) AS score FROM near WHERE a < b")
+def join_cross_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs that share a label, block by block: pairs are the result asked for."""
+    return pairwise(table(spark, sf_dir, "embeddings"), within="label").where("a < b").select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query()
+def join_lsh_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate: random projections; pairs within a distance of 1 of each other."""
+    return lsh_pairs(table(spark, sf_dir, "embeddings"), 1.0)
+
+
+@query(f"WITH {INVENTORY_SQL}, {CHANNELS_SQL} SELECT tc.id, {H_SUM} FROM tc JOIN inv ON {MATCH_SQL} GROUP BY 1")
+def join_targeting_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = match_channels(channels(spark, sf_dir), inventory(spark, sf_dir), ATTRIBUTES)
+    return j.groupBy("id").agg(*[F.sum(f"h{i}").alias(f"h{i}") for i in range(4)])
