@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -113,53 +114,65 @@ def padded(x: Column, n: int) -> Column:
     return F.concat(x, F.array_repeat(F.lit(0), F.greatest(F.lit(n) - F.size(x), F.lit(0))))
 
 
-@F.pandas_udf("array<double>")
-def _rolling_median(ts: pd.Series, window: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else pd.Series(x, dtype="float64").rolling(int(w), center=True).median().bfill().ffill().tolist() for x, w in zip(ts, window)])
+def _by_shape(ts: pd.Series, *parameters: pd.Series):
+    """(row numbers, matrix of the series, parameters) for rows of one length and parameters: one matrix, not many rows."""
+    length = ts.map(len)
+    for (n, *values), rows in pd.DataFrame({"n": length, **{str(i): p for i, p in enumerate(parameters)}}).reset_index(drop=True).groupby(["n", *map(str, range(len(parameters)))]):
+        at = rows.index.to_numpy()
+        yield at, np.array([np.asarray(ts.iloc[i], dtype=float) for i in at]).reshape(len(at), int(n)), values
 
 
-def rolling_median(ts: Column, window: Column) -> Column:
-    """Centered median of `window` points, filled from the nearest full window at the ends."""
-    return _rolling_median(ts.cast("array<double>"), window.cast("int"))
-
-
-@F.pandas_udf("struct<ts: array<double>, outliers: int>")
-def _hampel(ts: pd.Series, half: pd.Series, sigmas: pd.Series) -> pd.DataFrame:
-    cleaned, counts = [], []
-    for x, h, n in zip(ts, half, sigmas):
-        s = pd.Series(x, dtype="float64")
-        roll = lambda y, w=2 * int(h): y.rolling(w, center=True).median().bfill().ffill()
-        m = roll(s)
-        far = (s - m).abs()
-        out = (far >= n * 1.4826 * roll(far)) & (far > 0)
-        cleaned.append(s.where(~out, m).tolist())
-        counts.append(int(out.sum()))
+def _medians(x: np.ndarray, window: int) -> np.ndarray:
+    """Centered medians along rows, filled from the nearest full window."""
+    return pd.DataFrame(x.T).rolling(int(window), center=True).median().bfill().ffill().to_numpy().T if x.size else x
+
+
+def _roll(ts: pd.Series, window: pd.Series) -> pd.Series:
+    out = [None] * len(ts)
+    for at, x, (w,) in _by_shape(ts, window):
+        for i, row in zip(at, _medians(x, w)):
+            out[i] = row.tolist()
+    return pd.Series(out)
+
+
+def _clean(ts: pd.Series, half: pd.Series, sigmas: pd.Series) -> pd.DataFrame:
+    cleaned, counts = [None] * len(ts), [0] * len(ts)
+    for at, x, (h, n) in _by_shape(ts, half, sigmas):
+        m = _medians(x, 2 * int(h))
+        far = np.abs(x - m)
+        out = (far >= n * 1.4826 * _medians(far, 2 * int(h))) & (far > 0)
+        fixed = np.where(out, m, x)
+        for k, i in enumerate(at):
+            cleaned[i], counts[i] = fixed[k].tolist(), int(out[k].sum())
     return pd.DataFrame({"ts": cleaned, "outliers": counts})
 
 
+def _banded(ts: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+    zeros = ts.map(lambda x: int((np.asarray(x, dtype=float) == 0).sum()))
+    out = [None] * len(ts)
+    for at, x, (lo, hi, z) in _by_shape(ts, low, high, zeros):
+        n = x.shape[1]
+        if n:
+            a, b = np.maximum(np.quantile(x, lo, axis=1), 4.0)[:, None], np.quantile(x, hi, axis=1)[:, None]
+            x = np.where((x >= a) & (x <= b), x, _medians(x, min(max(n // 2, 2 * int(z), 1), n)))
+        for k, i in enumerate(at):
+            out[i] = x[k].tolist()
+    return pd.Series(out)
+
+
+def rolling_median(ts: Column, window: Column) -> Column:
+    """Centered median of `window` points, filled from the nearest full window at the ends. ts isn't null."""
+    return F.pandas_udf(_roll, "array<double>")(ts.cast("array<double>"), window.cast("int"))
+
+
 def hampel(ts: Column, half_window: int, sigmas: float) -> Column:
     """struct(ts, outliers): points at least sigmas * 1.4826 * rolling MAD from the rolling median take the median."""
-    return _hampel(zero_filled(ts).cast("array<double>"), F.lit(half_window), F.lit(float(sigmas)))
-
-
-@F.pandas_udf("array<double>")
-def _band(ts: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-    out = []
-    for x, lo, hi in zip(ts, low, high):
-        s = pd.Series(x, dtype="float64")
-        if not len(s):
-            out.append([])
-            continue
-        a, b = max(float(s.quantile(lo)), 4.0), float(s.quantile(hi))
-        window = max(len(s) // 2, 2 * int((s == 0).sum()), 1)
-        m = s.rolling(min(window, len(s)), center=True).median().bfill().ffill()
-        out.append(s.where((s >= a) & (s <= b), m).tolist())
-    return pd.Series(out)
+    return F.pandas_udf(_clean, "struct<ts: array<double>, outliers: int>")(zero_filled(ts).cast("array<double>"), F.lit(half_window), F.lit(float(sigmas)))
 
 
 def denoised_band(ts: Column, low: float, high: float) -> Column:
-    """Points outside [max(quantile low, 4), quantile high] take the rolling median."""
-    return _band(zero_filled(ts).cast("array<double>"), F.lit(low), F.lit(high))
+    """Points outside [max(quantile low, 4), quantile high] take the rolling median of max(n // 2, 2 * zeros) points."""
+    return F.pandas_udf(_banded, "array<double>")(zero_filled(ts).cast("array<double>"), F.lit(float(low)), F.lit(float(high)))
 
 
 def autocorrelation(ts: Column, lag: int, least: int = 3) -> Column:

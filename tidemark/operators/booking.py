@@ -56,3 +56,50 @@ def hwm_allocate(buckets: DataFrame, demand: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["day", "ands", "amount", "bk_id", "allocated"])
 
     return rows.groupBy("day", "component").applyInPandas(allocate, "day string, ands string, amount long, bk_id string, allocated long")
+
+
+def hwm_resources(keys: DataFrame, allocated: DataFrame) -> DataFrame:
+    """day, ands, key, bk_id, allocated: each bucket's allocations shared out over its keys in proportion to what they have.
+
+    keys: day, ands (joined by |), key, n. A booking's whole number is cut at the running shares of the keys in key
+    order, so the keys' numbers add up to it and none gets over its rounded-up share.
+    """
+    from pyspark.sql import Window
+
+    upto = Window.partitionBy("day", "ands").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    sums = keys.groupBy("day", "ands").agg(F.sum("n").alias("total"))
+    shares = keys.withColumn("upto", F.sum("n").over(upto)).join(sums, ["day", "ands"])
+    j = allocated.where("allocated > 0").select("day", "ands", "bk_id", "allocated").join(shares, ["day", "ands"])
+    cut = lambda x: F.floor(F.col("allocated") * x / F.col("total"))
+    return j.select("day", "ands", "key", "bk_id", (cut(F.col("upto")) - cut(F.col("upto") - F.col("n"))).cast("long").alias("allocated"))
+
+
+def allocate_batch(buckets: DataFrame, requests: DataFrame) -> DataFrame:
+    """day, ands, request, booked: requests (request, rank, wanted, day) served in order from the buckets that name them.
+
+    A request takes what it still wants from its buckets, those that serve fewest others first, and leaves the rest.
+    """
+    rows = components(buckets).withColumn("request", F.explode("ands")).join(requests, ["day", "request"])
+
+    def serve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(bucket=rows["ands"].map("|".join), width=rows["ands"].map(len))
+        left = rows.groupby("bucket")["amount"].first().to_dict()
+        out = []
+        for _, own in rows.sort_values(["rank", "request", "width", "bucket"]).groupby(["rank", "request"], sort=True):
+            wanted = int(own["wanted"].iloc[0])
+            for r in own.itertuples():
+                got = min(wanted, int(left[r.bucket]))
+                if got:
+                    left[r.bucket] -= got
+                    wanted -= got
+                    out.append((r.day, r.bucket, r.request, got))
+        return pd.DataFrame(out, columns=["day", "ands", "request", "booked"])
+
+    return rows.groupBy("day", "component").applyInPandas(serve, "day string, ands string, request string, booked long")
+
+
+def replace_buckets(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old, marked deleted on the days that new has, and new."""
+    days = new.select("day").distinct().withColumn("_new", F.lit(True))
+    marked = old.join(F.broadcast(days), "day", "left").select(*old.columns, F.coalesce("_new", F.lit(False)).alias("del"))
+    return marked.unionByName(new.withColumn("del", F.lit(False)))

@@ -24,7 +24,3 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
         return f
 
     return add
-
-
-# Each module registers its queries when it is imported
-from tidemark.plans import aggregates, analytics, columns, filters, inventory, joins, logs, scans, streams, windows  # noqa: E402, F401

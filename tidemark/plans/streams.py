@@ -1 +1,79 @@
+"""Sections 2.12 and 2.14: user-defined functions and streams."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators.scoring import scored, value_bands
+from tidemark.plans.inputs import LOGS_SQL, SERIES_SQL, logs, series, table
+from tidemark.plans.registry import query
+from tidemark.streaming import windows as W
+
+_EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+@query("SELECT event_id, CAST(round(value * 100) AS BIGINT) AS cents, CAST(trunc(value) AS BIGINT) AS whole, value > 100 AS high FROM events")
+def udf_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A typed scalar function in batches, with a struct of several types as its result."""
+    bands = F.pandas_udf(value_bands, "struct<cents: long, whole: long, high: boolean>")
+    return table(spark, sf_dir, "events").select("event_id", bands("value").alias("b")).select("event_id", "b.cents", "b.whole", "b.high")
+
+
+@query("SELECT p_partkey, round(p_size * p_retailprice / 100, 4) AS score FROM part")
+def udf_struct_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function over whole rows."""
+    return scored(table(spark, sf_dir, "part"), ["p_partkey"], lambda rows: (rows["p_size"] * rows["p_retailprice"] / 100).round(4))
+
+
+def scaled(low: float, high: float):
+    """A Column function that closes over its parameters."""
+    return lambda c: (F.least(F.greatest(c, F.lit(low)), F.lit(high)) - low) / (high - low)
+
+
+@query("SELECT p_partkey, round((least(greatest(p_size, 10), 40) - 10) / 30.0, 6) AS s FROM part")
+def udf_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(scaled(10.0, 40.0)(F.col("p_size")), 6).alias("s"))
+
+
+@query(f"WITH {LOGS_SQL} SELECT keyword, count(*) AS n, CAST(sum(sec % 1000) AS BIGINT) AS s, max(sec) - min(sec) AS span FROM logs GROUP BY 1")
+def udaf_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's aggregate as a fold over partial states (n, s, first, last), combined before the shuffle."""
+    x = logs(spark, sf_dir).groupBy("keyword").agg(F.count("*").alias("n"), F.sum(F.col("sec") % 1000).alias("s"), F.max("sec").alias("z"), F.min("sec").alias("a"))
+    return x.select("keyword", "n", "s", (F.col("z") - F.col("a")).alias("span"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, 'kept' AS part, l_quantity - 10 AS q FROM lineitem WHERE l_quantity > 10 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'moved', least(l_quantity, 10) FROM lineitem")
+def udtf_flatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row becomes one or two."""
+    q = F.col("l_quantity")
+    parts = F.filter(F.array(F.struct(F.lit("kept").alias("part"), (q - 10).alias("q")), F.struct(F.lit("moved").alias("part"), F.least(q, F.lit(10.0)).alias("q"))), lambda s: s["q"] > 0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.inline(parts))
+
+
+@query(f"WITH {SERIES_SQL}, x AS (SELECT uckey, price_cat, unnest(range(7)) AS pos, unnest(ts) AS n FROM series) SELECT uckey, price_cat, CAST(pos AS INT) AS pos, CASE WHEN n > 20 THEN 1 ELSE 0 END AS label FROM x WHERE n IS NOT NULL")
+def udtf_explode_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = F.filter(F.transform("ts", lambda x, i: F.struct(i.alias("pos"), x.alias("n"), F.when(x > 20, 1).otherwise(0).alias("label"))), lambda s: s["n"].isNotNull())
+    return series(spark, sf_dir).select("uckey", "price_cat", F.inline(samples)).drop("n")
+
+
+@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL HAVING CAST(strftime(max(ts), '%Y-%m-%d') AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that the watermark has closed; the batch form gives the same rows."""
+    s = W.event_stream(spark, f"{sf_dir}/events.parquet", _EVENTS)
+    return W.drained(W.daily_counts(s, "ts", ["event_type"]), "stream-days").select("event_type", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n")
+
+
+@query(f"WITH {LOGS_SQL}, w AS (SELECT aid, keyword, sec - sec % 43200 AS start, CAST(sum(is_click) AS BIGINT) AS clicks, CAST(sum(1 - is_click) AS BIGINT) AS shows FROM logs GROUP BY ALL) SELECT * FROM w WHERE start + 43200 <= (SELECT epoch(max(ts)) FROM logs) - 21600")
+def stream_click_show(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = W.event_stream(spark, f"{sf_dir}/events.parquet", _EVENTS).where(F.col("event_type").isin("view", "click"))
+    k = F.regexp_extract("props", '"k": *([0-9]+)', 1).cast("long") % 12
+    s = s.select("ts", F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("aid"), F.concat(F.lit("kw"), k).alias("keyword"), F.when(F.col("event_type") == "click", 1).otherwise(0).alias("is_click"))
+    return W.drained(W.click_show(s, "ts", ["aid", "keyword"], "12 hours", "6 hours"), "stream-clicks").select("aid", "keyword", F.unix_timestamp("window_start").alias("start"), "clicks", "shows")
+
+
+@query()
+def stream_user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of three days by event type; approximate, so the tests hold it against exact counts with a tolerance."""
+    s = W.event_stream(spark, f"{sf_dir}/events.parquet", _EVENTS)
+    return W.drained(W.user_days(s, "ts", "user_id", ["event_type"], 3), "stream-users").select("event_type", F.date_format("window_start", "yyyy-MM-dd").alias("first_day"), "users")
