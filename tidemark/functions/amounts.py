@@ -12,7 +12,7 @@ H = ["h0", "h1", "h2", "h3"]
 # Upper ends of the two lower price categories by price model.
 PRICE_STEPS = {"CPM": (12.0, 25.0), "CPC": (0.7, 2.0), "CPD": (3.0, 5.0), "CPT": (60000.0, 400000.0)}
 # Percent of a day's traffic in each hour.
-HOUR_PERCENT = [3.0, 2.0, 1.5, 1.0, 1.0, 1.5, 2.5, 4.0, 4.5, 4.5, 4.5, 5.0, 5.5, 5.0, 4.5, 4.5, 4.5, 5.0, 5.5, 6.0, 6.5, 6.5, 6.0, 5.5]
+HOUR_PERCENT = [2.905931696, 1.792490513, 1.592770122, 1.447972838, 1.657679249, 2.716197324, 5.117835031, 6.5308568, 6.570800879, 5.302576393, 4.423806671, 4.43379269, 4.858198522, 4.338925504, 4.219093269, 4.224086279, 4.613541043, 5.412422608, 5.60714999, 5.327541442, 5.167765129, 4.828240463, 4.009386858, 2.900938686]
 
 
 def safe_ratio(a: Column, b: Column) -> Column:

@@ -24,30 +24,31 @@ def booking_buckets(matched: DataFrame, key: list[str], day: str = "day", amount
     return signature.groupBy(day, "ands").agg(F.sum("_n").alias(amount)).where(F.col(amount) > 0)
 
 
-def components(buckets: DataFrame) -> DataFrame:
-    """buckets (day, ands, amount) with `component`: buckets of a day that share bookings, directly or through others."""
-    edges = buckets.select(F.explode("ands").alias("x"), "day", F.col("ands")[0].alias("y")).select(F.concat_ws("/", "day", "x").alias("u"), F.concat_ws("/", "day", "y").alias("v"))
-    found = connected_components(edges)
-    return buckets.withColumn("node", F.concat_ws("/", "day", F.col("ands")[0])).join(found, "node").drop("node")
+def components(buckets: DataFrame, by_day: bool = True) -> DataFrame:
+    """buckets (day, ands, amount) with `component`: those that share bookings, directly or through others, on one day or on any."""
+    name = (lambda x: F.concat_ws("/", "day", x)) if by_day else (lambda x: x)
+    edges = buckets.select(F.explode("ands").alias("x"), "day", F.col("ands")[0].alias("y")).select(name(F.col("x")).alias("u"), name(F.col("y")).alias("v"))
+    return buckets.withColumn("node", name(F.col("ands")[0])).join(connected_components(edges), "node").drop("node")
 
 
-def hwm_allocate(buckets: DataFrame, demand: DataFrame) -> DataFrame:
+def hwm_allocate(buckets: DataFrame, demand: DataFrame, scope: str = "day") -> DataFrame:
     """day, ands, amount, bk_id, allocated: bookings in order take an equal share of what their buckets have left.
 
-    buckets: day, ands, amount. demand: bk_id, rank, per_day (what a booking wants on each of its days), days. A booking
-    takes demand / remaining (1 at most) of every bucket of the day that serves it, rounded to whole impressions.
-    Buckets that share no booking are independent, so each component of a day is one group; its buckets are already
-    summed over all inventory.
+    buckets: day, ands, amount. demand: bk_id, rank, per_day (what a booking wants on each of its days), days. Day by
+    day, a booking takes per_day / remaining (1 at most) of every bucket of the day that serves it, rounded to whole
+    impressions. scope: remaining is what its buckets of that `day` have left, or those of `all_days`. Buckets that
+    share no booking are independent, so each component is one group; its buckets are already summed over all inventory.
     """
-    wanted = F.broadcast(demand.select("bk_id", "rank", "per_day", F.explode("days").alias("day"))) if demand.limit(100_001).count() <= 100_000 else demand.select("bk_id", "rank", "per_day", F.explode("days").alias("day"))
-    rows = components(buckets).withColumn("bk_id", F.explode("ands")).join(wanted, ["day", "bk_id"])
+    wanted = demand.select("bk_id", "rank", "per_day", F.explode("days").alias("day"))
+    rows = components(buckets, scope == "day").withColumn("bk_id", F.explode("ands")).join(wanted, ["day", "bk_id"])
 
     def allocate(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(bucket=rows["ands"].map(lambda a: "\x1f".join(a)))
+        rows = rows.assign(bucket=rows["day"] + "\x1e" + rows["ands"].map("\x1f".join))
         left = rows.groupby("bucket")["amount"].first().astype(float).to_dict()
+        of_booking = rows.groupby("bk_id")["bucket"].agg(list).to_dict()
         out = []
-        for (_, bk), own in rows.sort_values(["rank", "bk_id", "bucket"]).groupby(["rank", "bk_id"], sort=True):
-            remaining = sum(left[b] for b in own["bucket"])
+        for (_, _, bk), own in rows.sort_values(["day", "rank", "bk_id", "bucket"]).groupby(["day", "rank", "bk_id"], sort=True):
+            remaining = sum(left[b] for b in (of_booking[bk] if scope == "all_days" else own["bucket"]))
             share = min(own["per_day"].iloc[0] / remaining, 1.0) if remaining > 0 else 0.0
             for r in own.itertuples():
                 got = int(left[r.bucket] * share + 0.5)
@@ -55,7 +56,8 @@ def hwm_allocate(buckets: DataFrame, demand: DataFrame) -> DataFrame:
                 out.append((r.day, "|".join(r.ands), int(r.amount), bk, got))
         return pd.DataFrame(out, columns=["day", "ands", "amount", "bk_id", "allocated"])
 
-    return rows.groupBy("day", "component").applyInPandas(allocate, "day string, ands string, amount long, bk_id string, allocated long")
+    keys = ["day", "component"] if scope == "day" else ["component"]
+    return rows.groupBy(*keys).applyInPandas(allocate, "day string, ands string, amount long, bk_id string, allocated long")
 
 
 def hwm_resources(keys: DataFrame, allocated: DataFrame) -> DataFrame:
