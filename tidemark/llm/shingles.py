@@ -30,7 +30,15 @@ class Batch:
     """
 
     def __init__(self, texts: list[str | None]):
-        each = [word_hashes(t) if t else np.zeros(0, np.uint64) for t in texts]
+        self._lay([word_hashes(t) if t else np.zeros(0, np.uint64) for t in texts])
+
+    @classmethod
+    def of_words(cls, each: list[np.ndarray]) -> "Batch":
+        batch = cls.__new__(cls)
+        batch._lay(each)
+        return batch
+
+    def _lay(self, each: list[np.ndarray]) -> None:
         self.sizes = np.array([len(w) for w in each], np.int64)
         self.words = np.concatenate(each) if each else np.zeros(0, np.uint64)
         self.starts = np.cumsum(self.sizes) - self.sizes
