@@ -107,17 +107,15 @@ def _place(rest: DataFrame, capacity: int) -> DataFrame:
     tasks = (rest.agg(F.max("task")).first()[0] or 0) + 1
     columns = "task long, piece long, class int, length long, placed_in long, at long"
 
-    def number(rows: pd.DataFrame, level: int, block: int, first: int, every: int) -> pd.DataFrame:
-        k = pd.Series(range(len(rows)), index=rows.index)
-        rows["placed_in"] = (level << 60) + (block << 32) + first + k // every
-        rows["at"] = rows.groupby("placed_in")["length"].cumsum() - rows["length"]
-        return rows
-
     def level_of(level: int):
         def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             j, block = int(key[0]), int(key[1])
-            rows = number(rows.sort_values(["task", "piece"]).astype({"placed_in": "Int64", "at": "Int64"}), level, block, j << 20, j)
-            rows.loc[rows.index[len(rows) // j * j :], ["placed_in", "at"]] = pd.NA
+            rows = rows.sort_values(["task", "piece"]).reset_index(drop=True)
+            whole = len(rows) // j * j  # what is left over waits for the next level
+            sequence = pd.Series(rows.index // j)
+            at = rows.groupby(sequence)["length"].cumsum() - rows["length"]
+            rows["placed_in"] = pd.array([(level << 60) + (block << 32) + (j << 20) + int(k) if i < whole else None for i, k in enumerate(sequence)], "Int64")
+            rows["at"] = pd.array([int(x) if i < whole else None for i, x in enumerate(at)], "Int64")
             return rows[["task", "piece", "class", "length", "placed_in", "at"]]
 
         return fill
