@@ -591,6 +591,8 @@ def decode_image(file: bytes) -> np.ndarray:
             else:
                 undo.append(lambda p, t=table, b=bits: cross_colour(p, t, b, True))
     pixels = read_pixels(data, wide, rows, True)
+    if data.at > 8 * (len(data.data) - 8):
+        raise ValueError("the image data end early")
     for step in reversed(undo):
         pixels = step(pixels)
     return pixels
