@@ -63,7 +63,7 @@ def test_code_lengths_stay_short():
 
 def test_damaged_files():
     file = W.encode_image(IMAGE)
-    for bad in (b"RIFX" + file[4:], file[: len(file) // 2], file[:20] + b"\x00" + file[21:]):
+    for bad in (b"RIFX" + file[4:], file[: len(file) // 2], W.encode_image(FEW)[:-20], file[:20] + b"\x00" + file[21:]):
         with pytest.raises(ValueError):
             W.decode_image(bad)
 
