@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_MADE: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,9 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
         raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="spark-scratch-")
-    spark.conf.set(_KEY, made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _MADE:
+        _MADE[app] = tempfile.mkdtemp(prefix="spark-scratch-")
+    return _MADE[app]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
