@@ -26,7 +26,7 @@ def page(body):
 
 def test_blocks_and_parts():
     body = "<nav><ul><li><a href='/x'>Menu</a></li></ul></nav><div class='ad'>Buy</div><div id=\"cookie-notice\"><p>We use cookies</p></div><header><h2>Site</h2></header>"
-    body += "<article><h1>T &amp; U</h1><p>One\n  two&nbsp;three<br>four<p>Five <b>six</b></p><ul><li>seven<li>eight</ul><form>f<input></form><aside>side</aside><section class='comments'><p>first!</p></section></article><footer>f</footer>"
+    body += "<article><div class='post-header'><h1>T &amp; U</h1></div><p>One\n  two&nbsp;three<br>four<p>Five <b>six</b></p><ul><li>seven<li>eight</ul><form>f<input></form><aside>side</aside><section class='comments'><p>first!</p></section></article><footer>f</footer>"
     assert H.main_text(H.blocks_of(page(body)), None) == "T & U\nOne two three four\nFive six\nseven\neight"
 
 
