@@ -133,8 +133,8 @@ def join_cross_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def join_lsh_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate: random projections; pairs within a distance of 1 of each other."""
-    return lsh_pairs(table(spark, sf_dir, "embeddings"), 1.0)
+    """Approximate: random projections; pairs within a distance of 1.25 of each other."""
+    return lsh_pairs(table(spark, sf_dir, "embeddings"), 1.25)
 
 
 @query(f"WITH {INVENTORY_SQL}, {CHANNELS_SQL} SELECT tc.id, {H_SUM} FROM tc JOIN inv ON {MATCH_SQL} GROUP BY 1")
