@@ -182,7 +182,7 @@ def _codec(ranks: dict[bytes, int], pattern: str) -> tuple[BytePairs, BatchEncod
     key = (pattern, len(ranks), hash(frozenset(ranks.items())))
     if key not in _READY:
         pairs = BytePairs(ranks)
-        split, memo = regex.compile(pattern).findall, Recent(pairs.merged)
+        split, memo = regex.compile(pattern).findall, Recent(pairs.merged, 200_000)
 
         def cuts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             found = pa.array(split("".join(texts)), pa.string()).dictionary_encode()
@@ -217,7 +217,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
         pairs, encoder = _codec(ranks.value, pattern)
         bytes_of = pairs.bytes_of.__getitem__
-        for batch in slices(batches, 4096):
+        for batch in slices(batches, 1024):
             counts, ids = encoder.counts_and_ids(batch.column(1))
             decoded = [b"".join(map(bytes_of, np.frombuffer(x, "<u4").tolist())) for x in ids]
             yield record_batch(schema, [batch.column(0), counts, ids, decoded])
