@@ -10,12 +10,14 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
+from operator import add
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.text_batches import Recent, record_batch, slices
+from tidemark.llm.text_batches import record_batch, slices
 
 UNKNOWN = "und"
 #: Labelled texts read for each language at most, and trigrams or words kept for each language.
@@ -68,55 +70,130 @@ class Model:
         for s in {s for n in letters.values() for s in n}:
             self.uses[s] = tuple(letters[k].get(s, 0) >= SCRIPT_SHARE * sum(letters[k].values()) and s in letters[k] for k in self.languages)
 
-    def word(self, word: str) -> tuple | None:
-        """A word's score in each language, the best candidate at 0; None without a letter, () without a candidate."""
-        if not any(map(str.isalpha, word)):
+        self.grams = np.array(sorted(self._packed(f) for f in known if len(f) == 3 and f[0] != "="), np.uint64)
+        by_key = {self._packed(f): f for f in known if len(f) == 3 and f[0] != "="}
+        self.gram_scores = np.array([*(self.scores[by_key[k]] for k in self.grams.tolist()), self.rare], np.float64).reshape(len(self.grams) + 1, len(self.languages))
+
+    @staticmethod
+    def _packed(gram: str) -> int:
+        return ord(gram[0]) << 42 | ord(gram[1]) << 21 | ord(gram[2])
+
+    def candidates(self, word: str) -> tuple | None:
+        """Which languages use the word's script; None without a letter, () if none does."""
+        if not (word[0].isalpha() or any(map(str.isalpha, word))):
             return None
-        uses = self.uses.get(script_of(word))
-        if uses is None or not any(uses):
-            return ()
-        sums = [0.0] * len(self.languages)
-        for f in features_of(word):
-            row = self.scores.get(f)
-            if row is None and f[0] == "=":  # a word that isn't common says nothing by itself
-                continue
-            for k, x in enumerate(row or self.rare):
-                sums[k] += x
-        best = max(x for x, u in zip(sums, uses) if u)
-        return tuple(x - best if u else -2 * SWITCH for x, u in zip(sums, uses))
-
-
-def label_spans(scores: list[tuple], switch: float = SWITCH) -> list[tuple[int, int]]:
+        uses = self.uses.get("latin" if "a" <= word[0] <= "z" else script_of(word))
+        return uses if uses is not None and any(uses) else ()
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Each word's score in each language: its trigrams', and its own if it is common."""
+        text = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+        at = np.flatnonzero(text != 32)
+        keys = text[at - 1] << np.uint64(42) | text[at] << np.uint64(21) | text[at + 1]
+        row = np.minimum(np.searchsorted(self.grams, keys), max(0, len(self.grams) - 1))
+        row = np.where(self.grams[row] == keys, row, len(self.grams)) if len(self.grams) else np.zeros(len(keys), np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        sums = np.add.reduceat(self.gram_scores[row], np.cumsum(sizes) - sizes, axis=0)
+        for i, w in enumerate(words):
+            if (own := self.scores.get("=" + w)) is not None:
+                sums[i] += own
+        return sums
+
+
+class WordScores:
+    """Words' scores as rows of one table, the best candidate of each at 0. Row 0 is for words without a letter, row 1 for
+    words without a candidate."""
+
+    def __init__(self, model: Model, size: int = 400_000):
+        self.model, self.size, self.row = model, size, {}
+        self.table, self.used = np.zeros((2, len(model.languages)), np.float32), 2
+
+    def learn(self, words: set[str]) -> None:
+        """Scores the words that aren't known yet, all at once; before that, forgets all if there are more than `size`."""
+        if self.used > self.size:
+            self.row, self.used = {}, 2
+        new, uses = [], []
+        for w in words - self.row.keys():
+            found = self.model.candidates(w)
+            if found:
+                self.row[w] = self.used + len(new)
+                new.append(w)
+                uses.append(found)
+            else:
+                self.row[w] = 0 if found is None else 1
+        if not new:
+            return
+        scores, uses = self.model.words(new), np.array(uses, bool)
+        scores -= np.where(uses, scores, -np.inf).max(1, keepdims=True)
+        need = self.used + len(new)
+        if need > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(need, 2 * len(self.table)) - len(self.table), self.table.shape[1]), np.float32)])
+        self.table[self.used : need] = np.where(uses, scores, -2 * SWITCH)
+        self.used = need
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+
+
+def spans_of(scores: np.ndarray, switch: float = SWITCH) -> list[tuple[int, int]]:
+    """label_spans of a table of scores.
+
+    Let no run of words gain more than a switch by any language over the one that is best over all words, and no first
+    and last run together: then each run of other languages costs at least as many switches as it can gain, and the pass
+    over the words is left out.
+    """
+    best = int(scores.sum(0, dtype=np.float64).argmax())
+    gain = np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64)
+    before = np.minimum(np.minimum.accumulate(np.vstack([np.zeros((1, gain.shape[1])), gain[:-1]])), 0)
+    last = gain[-1] - before[-1]
+    if (gain - before).max() <= switch and max(0.0, gain.max()) + max(0.0, last.max()) <= switch:
+        return [(0, best)]
+    return label_spans(scores.tolist(), switch)
+
+
+def label_spans(scores: list, switch: float = SWITCH) -> list[tuple[int, int]]:
     """(first word, language) of each span of the best labelling. Ties keep the language that sorts first."""
     if not scores:
         return []
-    reach = [0.0] * len(scores[0])
-    nodes: list = [(0, k, None) for k in range(len(reach))]
-    each = range(len(reach))
+    n = len(scores[0])
+    each, reach, start, back = range(n), [0.0] * n, [0] * n, [None] * n
     for t, s in enumerate(scores):
         top = max(reach)
         floor = top - switch
-        if t and min(reach) < floor:
-            best = nodes[reach.index(top)]
+        if min(reach) < floor:
+            b = reach.index(top)
+            node = (start[b], b, back[b])
             for k in each:
                 if reach[k] < floor:
-                    reach[k], nodes[k] = floor, (t, k, best)
-        reach = [r + x for r, x in zip(reach, s)]
-    node, spans = nodes[reach.index(max(reach))], []
+                    reach[k], start[k], back[k] = floor, t, node
+        reach = list(map(add, reach, s))
+    b = reach.index(max(reach))
+    node, spans = (start[b], b, back[b]), []
     while node is not None:
         spans.append(node[:2])
         node = node[2]
     return spans[::-1]
 
 
+def _by_language(values: dict[str, float]) -> Column:
+    """The value of the row's `lang`; null without one."""
+    pairs = [F.lit(x) for item in values.items() for x in item]
+    return F.try_element_at(F.create_map(*pairs), F.col("lang")) if pairs else F.lit(None).cast("double")
+
+
 def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TEXTS_PER_LANGUAGE, features: int = FEATURES) -> Model:
     """From at most per_language texts of each language (those whose ids hash lowest), counted by Spark; the driver gets
     the `features` commonest trigrams and the `features` commonest words of each language. Null texts and labels don't count."""
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).where("t is not null and lang is not null")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i")
-    chosen = rows.select("i", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("i", "lang").distinct()
+    place = F.shiftrightunsigned(F.xxhash64("i"), 1) / F.lit(float(1 << 63))
+    # twice the share that a language needs, so that few rows of a common language are ranked; then the highest place
+    # that is chosen: both are one number a language, and no text is shuffled
+    counts = rows.groupBy("lang").count().collect()
+    low = rows.select("lang", place.alias("place")).where(F.col("place") < _by_language({r["lang"]: 2.0 * per_language / r["count"] for r in counts}))
+    ranked = low.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("n") <= per_language)
+    chosen = rows.where(place <= _by_language({r["lang"]: r["last"] for r in ranked.groupBy("lang").agg(F.max("place").alias("last")).collect()}))
     words = (
-        rows.join(chosen, ["i", "lang"]).select("lang", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("word"))
+        chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("word"))
         .groupBy("lang", "word").agg(F.count("*").alias("n"))
     )
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
@@ -142,17 +219,19 @@ def identify_language(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
 
     def run(batches):
         model = shared.value
-        languages, memo = model.languages, Recent(model.word)
+        languages, words = model.languages, WordScores(model)
         for batch in slices(batches):
+            found = [_WORD.findall((text or "").lower()) for text in batch.column(1).to_pylist()]
+            if languages:
+                words.learn(set().union(*found))
             rows = []
-            for text in batch.column(1).to_pylist():
-                scores = [memo[w] for w in _WORD.findall((text or "").lower())] if languages else []
-                known = [s for s in scores if s]
-                if not known:
-                    lettered = any(s is not None for s in scores)
-                    rows.append((languages[0] if lettered else UNKNOWN, 0.0, []))
+            for each in found:
+                ids = words.ids(each) if languages else np.zeros(0, np.int64)
+                known = ids[ids > 1]
+                if not len(known) or not languages:
+                    rows.append((languages[0] if languages and len(ids) and ids.max() else UNKNOWN, 0.0, []))
                     continue
-                spans = label_spans(known)
+                spans = spans_of(words.table[known])
                 ends = [a for a, _ in spans[1:]] + [len(known)]
                 share = [0] * len(languages)
                 for (a, k), b in zip(spans, ends):
