@@ -179,7 +179,7 @@ def agg_inventory_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory(spark, sf_dir).where((F.col("g") == "O") & F.col("a").isin("1", "2")).groupBy("day").agg(*[F.sum(f"h{i}").alias(f"h{i}") for i in range(4)])
 
 
-@query(f"WITH {INVENTORY_SQL} SELECT hour, " + ", ".join(f"round(sum(h{i}) * 0.75, 4) AS h{i}" for i in range(4)) + " FROM inv WHERE g = 'O' GROUP BY 1")
+@query(f"WITH {INVENTORY_SQL} SELECT hour, " + ", ".join(f"round(CAST(sum(h{i}) * 0.75 AS DOUBLE), 4) AS h{i}" for i in range(4)) + " FROM inv WHERE g = 'O' GROUP BY 1")
 def agg_inventory_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory(spark, sf_dir).where("g = 'O'").groupBy("hour").agg(*[F.round(F.sum(f"h{i}") * F.lit(0.75), 4).alias(f"h{i}") for i in range(4)])
 

@@ -69,7 +69,7 @@ def normalize_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("page_ix", *[F.round(c, 6).alias(c) for c in ("g_f_n", "t_o_n", "p_n", "log_sum")])
 
 
-@query(f"WITH {SERIES_SQL} SELECT {_KEY}, round(greatest(coalesce(ts[7], 0) + 0.5 * (coalesce(ts[7], 0) - coalesce(ts[6], 0)), 0), 4) AS score FROM series")
+@query(f"WITH {SERIES_SQL} SELECT {_KEY}, round(CAST(greatest(coalesce(ts[7], 0) + 0.5 * (coalesce(ts[7], 0) - coalesce(ts[6], 0)), 0) AS DOUBLE), 4) AS score FROM series")
 def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators.scoring import scored, trend
 

@@ -112,7 +112,7 @@ def filter_min_active_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs(spark, sf_dir).groupBy("aid").agg(F.countDistinct(F.col("sec") - F.col("sec") % 86400).alias("days")).where("days > 10")
 
 
-@query(f"WITH {LOGS_SQL}, s AS (SELECT DISTINCT aid FROM logs WHERE is_click = 1 AND keyword = 'kw1') SELECT aid, sum(is_click) AS clicks, aid IN (SELECT aid FROM s) AS seed FROM logs GROUP BY 1")
+@query(f"WITH {LOGS_SQL}, s AS (SELECT DISTINCT aid FROM logs WHERE is_click = 1 AND keyword = 'kw1') SELECT aid, CAST(sum(is_click) AS BIGINT) AS clicks, aid IN (SELECT aid FROM s) AS seed FROM logs GROUP BY 1")
 def filter_user_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = logs(spark, sf_dir)
     seeds = log.where("is_click = 1 and keyword = 'kw1'").select("aid").distinct()
