@@ -10,9 +10,8 @@ from tidemark.functions.keys import part
 from tidemark.operators import logs as L
 from tidemark.operators import series as S
 from tidemark.operators.indexing import dense_index
-from tidemark.operators.targeting import match_channels
-from tidemark.plans.filters import ATTRIBUTES, H_SUM, IMP, NONZERO, users, USERS_SQL
-from tidemark.plans.inputs import BOOKINGS_SQL, CHANNELS_SQL, FACT_SQL, INVENTORY_SQL, LOGS_SQL, MATCH_SQL, PERSONA_SQL, SERIES_SQL, TBR_SQL, behaviour, bookings, channels, fact, inventory, logs, persona, series, table
+from tidemark.plans.filters import H_SUM, IMP, NONZERO, users, USERS_SQL
+from tidemark.plans.inputs import BOOKINGS_SQL, FACT_SQL, INVENTORY_SQL, LOGS_SQL, PERSONA_SQL, SERIES_SQL, TBR_SQL, behaviour, bookings, fact, inventory, logs, persona, series, table
 from tidemark.plans.registry import query
 
 _C = "CAST(sum(cnt) AS BIGINT)"

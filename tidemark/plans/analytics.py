@@ -12,7 +12,7 @@ from tidemark.operators import series as S
 from tidemark.operators import tables as T
 from tidemark.plans.columns import _AP, actual_predicted
 from tidemark.plans.filters import IMP, NONZERO
-from tidemark.plans.inputs import FACT_SQL, SERIES_SQL, YEARS, fact, series, table, text_of
+from tidemark.plans.inputs import FACT_SQL, SERIES_SQL, YEARS, fact, series, text_of
 from tidemark.plans.joins import MEMBERS_SQL, members
 from tidemark.plans.registry import query
 from tidemark.plans.scans import BUCKET_SQL

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,8 +13,8 @@ from tidemark.functions import series as Z
 from tidemark.operators import logs as L
 from tidemark.operators import series as S
 from tidemark.plans.aggregates import COUNTS_SQL, SCORES_SQL, daily_logs, scores
-from tidemark.plans.filters import IMP, NONZERO
-from tidemark.plans.inputs import BOOKINGS_SQL, CHANNELS_SQL, FACT_SQL, INVENTORY_SQL, LOGS_SQL, SERIES_SQL, TBR_SQL, YEARS, behaviour, bookings, channels, fact, inventory, logs, series, table, text_of
+from tidemark.plans.filters import IMP
+from tidemark.plans.inputs import CHANNELS_SQL, FACT_SQL, INVENTORY_SQL, LOGS_SQL, SERIES_SQL, TBR_SQL, YEARS, behaviour, channels, fact, inventory, logs, series, table, text_of
 from tidemark.plans.registry import query
 from tidemark.plans.scans import BUCKET_SQL
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import amounts as M
 from tidemark.operators import booking as B
 from tidemark.operators import inventory as I
-from tidemark.operators import tables as T
 from tidemark.operators.targeting import match_channels
-from tidemark.plans.filters import ATTRIBUTES, USERS_SQL, users
-from tidemark.plans.inputs import BOOKINGS_SQL, CHANNELS_SQL, INVENTORY_SQL, LOGS_SQL, MATCH_SQL, TBR_SQL, behaviour, bookings, channels, inventory, logs, table
+from tidemark.plans.filters import ATTRIBUTES, users
+from tidemark.plans.inputs import BOOKINGS_SQL, CHANNELS_SQL, INVENTORY_SQL, LOGS_SQL, MATCH_SQL, TBR_SQL, behaviour, bookings, channels, inventory, logs
 from tidemark.plans.registry import query
 
 _SUM = "h0 + h1 + h2 + h3"

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.functions import series as Z
 from tidemark.functions.keys import part
 from tidemark.functions.keys import sha256_bucket
-from tidemark.operators import logs as L
 from tidemark.operators import series as S
 from tidemark.operators.indexing import dense_index
 from tidemark.operators.similarity import lsh_pairs, pairwise
 from tidemark.operators.targeting import match_channels
 from tidemark.plans.filters import ATTRIBUTES, H_SUM, IMP, NONZERO
-from tidemark.plans.inputs import BOOKINGS_SQL, CHANNELS_SQL, FACT_SQL, INVENTORY_SQL, LOGS_SQL, MATCH_SQL, PERSONA_SQL, SERIES_SQL, bookings, channels, fact, inventory, logs, persona, raw_events, series, table
+from tidemark.plans.inputs import CHANNELS_SQL, FACT_SQL, INVENTORY_SQL, LOGS_SQL, MATCH_SQL, PERSONA_SQL, SERIES_SQL, channels, fact, inventory, logs, persona, raw_events, series, table
 from tidemark.plans.registry import query
 from tidemark.plans.scans import BUCKET_SQL
 
