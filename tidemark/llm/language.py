@@ -73,6 +73,7 @@ class Model:
         self.grams = np.array(sorted(self._packed(f) for f in known if len(f) == 3 and f[0] != "="), np.uint64)
         by_key = {self._packed(f): f for f in known if len(f) == 3 and f[0] != "="}
         self.gram_scores = np.array([*(self.scores[by_key[k]] for k in self.grams.tolist()), self.rare], np.float64).reshape(len(self.grams) + 1, len(self.languages))
+        self.scores = {f: row for f, row in self.scores.items() if f[0] == "="}
 
     @staticmethod
     def _packed(gram: str) -> int:
@@ -104,7 +105,7 @@ class WordScores:
     """Words' scores as rows of one table, the best candidate of each at 0. Row 0 is for words without a letter, row 1 for
     words without a candidate."""
 
-    def __init__(self, model: Model, size: int = 400_000):
+    def __init__(self, model: Model, size: int = 120_000):
         self.model, self.size, self.row = model, size, {}
         self.table, self.used = np.zeros((2, len(model.languages)), np.float32), 2
 

@@ -28,7 +28,7 @@ class Recent(dict):
         return value
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows`, so that a task holds few texts as Python objects."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
