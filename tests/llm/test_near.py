@@ -44,6 +44,18 @@ def test_vectors_against_brute_force(spark, block):
         assert (r["n_links"], r["component_id"], r["kept"]) == (links[i].sum(), want[3 * i], want[3 * i] == 3 * i)
 
 
+def test_vectors_of_blocks_that_split(spark, monkeypatch):
+    monkeypatch.setattr(E, "LEAF", 8)  # blocks of 112: a block with itself splits four times
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(3, 8)), 300, 0) + rng.normal(size=(900, 8)) * 0.3
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    want = components(zip(*(k.tolist() for k in np.nonzero(links))), range(len(x)))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_vectors(df).collect()}
+    assert got == {i: (links[i].sum(), want[i]) for i in range(len(x))}
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (2, [2.0, 0.0]), (10, [1e300, 1e290])]

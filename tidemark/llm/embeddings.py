@@ -168,8 +168,6 @@ def _joined(blocks: DataFrame, axes: np.ndarray, dim: int, least: float) -> Data
         todo = [(0, len(i), 0, len(j))]
         while todo:
             a, b, e, f = todo.pop()
-            if alone and e >= b:  # the other half of a block with itself
-                continue
             gap = np.maximum(0, np.maximum(p[a:b].min(0) - q[e:f].max(0), q[e:f].min(0) - p[a:b].max(0)))
             if gap @ gap > eps * eps:
                 continue
