@@ -191,6 +191,39 @@ def test_passages_against_brute_force(documents):
     assert S.repeated_passages(documents(rows).limit(0)).count() == 0
 
 
+def test_passages_with_phrases_that_stand_elsewhere(documents):
+    rng = random.Random(11)
+    rows, need = [], {}
+
+    def add(doc, *parts):
+        at = 0
+        for part, wanted in parts:
+            if wanted:
+                need.setdefault(doc, set()).update(range(at, at + len(part)))
+            at += len(part)
+        rows.append((doc, " ".join(w for part, _ in parts for w in part)))
+
+    for k in range(4):
+        p, phrase = words(rng, 60 + 20 * k), words(rng, 7)
+        p[25:32] = phrase
+        add(10 * k, (phrase, False), (words(rng, 40), False), (p, True), (words(rng, 9), False))
+        add(10 * k + 1, (words(rng, 30), False), (p, True), (words(rng, 5), False), (phrase, False))
+        twice = words(rng, 55)
+        add(10 * k + 2, (twice, True), (words(rng, 40), False), (twice, True))
+        add(10 * k + 3, (words(rng, 8), False), (twice, True))
+        close = words(rng, 90)
+        close[42:49] = phrase = words(rng, 7)
+        other = [*close]
+        other[60] = "edited"
+        add(10 * k + 4, (phrase, False), (words(rng, 60), False), (close, True))
+        add(10 * k + 5, (other, True), (words(rng, 60), False), (phrase, False))
+    covered = {}
+    for r in S.repeated_passages(documents(rows)).collect():
+        covered.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    assert set(covered) == set(need)
+    assert all(need[i] <= covered[i] and len(covered[i] - need[i]) <= 12 for i in need)
+
+
 def test_cutting(documents, spark):
     assert S.without("a b  c\nd e", [(1, 3)]) == "a d e" and S.without("a b", [(0, 2)]) == "" and S.without("a b", []) == "a b"
     docs = documents([(1, "a b c d"), (2, "x y"), (3, None), (None, "q"), (4, "k l")])
