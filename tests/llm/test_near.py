@@ -224,6 +224,17 @@ def test_passages_with_phrases_that_stand_elsewhere(documents):
     assert all(need[i] <= covered[i] and len(covered[i] - need[i]) <= 12 for i in need)
 
 
+@pytest.mark.parametrize("few", [32, 4])
+def test_passages_whose_smallest_document_is_a_cut_copy(documents, monkeypatch, few):
+    monkeypatch.setattr(N, "FEW", few, raising=False)
+    rng = random.Random(13)
+    p = words(rng, 50)
+    cut = [(k, " ".join([*words(rng, 30), *p[3 * k : 3 * k + 32], *words(rng, 30)])) for k in range(7)]
+    whole = [(100 + k, " ".join([*words(rng, 20), *p, *words(rng, 20)])) for k in range(5)]
+    got = {(r["doc_id"], r["first_doc_id"], r["kept"]) for r in S.repeated_passages(documents([*cut, *whole])).collect()}
+    assert got == {(d, 100, d == 100) for d, _ in whole}
+
+
 def test_cutting(documents, spark):
     assert S.without("a b  c\nd e", [(1, 3)]) == "a d e" and S.without("a b", [(0, 2)]) == "" and S.without("a b", []) == "a b"
     docs = documents([(1, "a b c d"), (2, "x y"), (3, None), (None, "q"), (4, "k l")])
