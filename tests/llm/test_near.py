@@ -131,6 +131,20 @@ def test_near_documents_against_brute_force(documents):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got.values())
 
 
+def test_near_documents_of_many_edits(documents):
+    rng = random.Random(14)
+    rows, near = [], 0
+    for k in range(300):
+        w = words(rng, rng.choice([5, 8, 12, 20, 40, 100, 200]))
+        other = list(w)
+        for i in rng.sample(range(len(w)), int(len(w) * rng.choice([0.1, 0.15, 0.2]))):
+            other[i] = f"e{rng.randrange(99999)}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+        near += N.edit_similarity(word_hashes(rows[-2][1]), word_hashes(rows[-1][1])) >= 0.8
+    got = {r["doc_id"]: r["class_id"] for r in N.near_documents(documents(rows)).collect()}
+    assert near == 300 and got == {i: i // 2 * 2 for i in range(600)}
+
+
 def test_near_documents_edges(documents):
     rows = [(1, None), (2, ""), (3, "  \n"), (4, "one two"), (5, "One  two"), (None, "one two"), (6, "x " * 30000), (7, "x " * 30000), (4, "one two"), (8, "a b c d e f g")]
     out = N.near_documents(documents(rows)).collect()

@@ -26,15 +26,17 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
 class Batch:
     """Texts laid one after another. words, and starts of each text in them; shingles likewise.
 
-    A text of fewer words than a shingle has one shingle of all its words, unless it has no word.
+    A shingle is `size` words. A text of fewer words than a shingle has one shingle of all its words, unless it has no word.
     """
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], size: int = WORDS):
+        self.size = size
         self._lay([word_hashes(t) if t else np.zeros(0, np.uint64) for t in texts])
 
     @classmethod
     def of_words(cls, each: list[np.ndarray]) -> "Batch":
         batch = cls.__new__(cls)
+        batch.size = WORDS
         batch._lay(each)
         return batch
 
@@ -42,13 +44,13 @@ class Batch:
         self.sizes = np.array([len(w) for w in each], np.int64)
         self.words = np.concatenate(each) if each else np.zeros(0, np.uint64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.counts = np.maximum(np.minimum(self.sizes, 1), self.sizes - WORDS + 1)
+        self.counts = np.maximum(np.minimum(self.sizes, 1), self.sizes - self.size + 1)
         self.first = np.cumsum(self.counts) - self.counts
         self.text_of = np.repeat(np.arange(len(each)), self.counts)
         at = np.arange(len(self.text_of)) - self.first[self.text_of]
         begin, size = self.starts[self.text_of] + at, self.sizes[self.text_of]
         h = np.zeros(len(begin), np.uint64)
-        for k in range(WORDS):
+        for k in range(self.size):
             inside = at + k < size
             w = self.words[np.minimum(begin + k, max(0, len(self.words) - 1))] if len(self.words) else h
             h = np.where(inside, (h ^ w) * np.uint64(0x9E3779B97F4A7C15), h)
