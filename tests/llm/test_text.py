@@ -196,6 +196,13 @@ def test_url_query_against_sql(spark, sf):
     same(Q.op5_url_rules(spark, sf), Q.ORACLES["op5_url_rules"], sf)
 
 
+def test_url_query_blocks_hosts_that_end_in_a_token(spark, tmp_path):
+    urls = ["http://best.casino/x", "http://best.casino", "http://casino.com/x", "http://a.org/casino/x", "http://bestcasino/x", "http://casino/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["verdict"] for r in Q.op5_url_rules(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(6)] == ["block", "block", "allow", "allow", "allow", "block"]
+
+
 def test_url_rules_by_hand(spark, monkeypatch):
     urls = ["http://www.Example.com/en/1?x#y", "http://example.com/en/1", "https://a.example.com/de/", "http://x.net/es/a", "http://x.net/es", "http://net/fr/", "ftp://spam.org/", "mailto:x", None, "", "http://example.com", "http://badexample.com/en/", "http://example.com/en/1"]
     df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, judged string")

@@ -88,7 +88,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [site_rule(*r) for r in SITE_RULES] + [Rule(f"~{t}", rf"^([^/]*[^/a-z0-9])?{t}([^/a-z0-9]|$)[^/]*", "block", 0, [t]) for t in SPAM_TOKENS]
+    rules = [site_rule(*r) for r in SITE_RULES] + [Rule(f"~{t}", rf"^([^/]*[^/a-z0-9])?{t}([^a-z0-9]|$)", "block", 0, [t]) for t in SPAM_TOKENS]
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     site = [name for name, _ in SITE_RULES]
     return judged.select("page_id", "judged.host", "judged.path", F.when(F.col("judged.rule").isin(site), F.col("judged.rule")).alias("rule"), "judged.verdict")
