@@ -9,6 +9,13 @@ from tidemark.functions.keys import sha256_bucket
 from tidemark.sources.scratch import written
 
 
+def starts_of_tasks(placed: DataFrame) -> DataFrame:
+    """(task, before): how many rows of `placed` have a smaller task number, for each task that has rows."""
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    counts = placed.groupBy("task").agg(F.count("*").alias("n"))
+    return counts.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+
+
 def dense_index(df: DataFrame, column: str, first: int = 1, into: str = "index") -> DataFrame:
     """(column, into): each distinct value's place in sorted order, null left out.
 
