@@ -24,43 +24,131 @@ def page(body):
     return f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{body}</body></html>"
 
 
+def main(own, other=None):
+    lines, near = H.blocks_of(own), H.blocks_of(other or "")
+    shared = set(H.shared_lines([x.text for x in lines], [x.text for x in near]))
+    return "\n".join(lines[i].text for i in H.main_lines(lines, shared))
+
+
 def test_blocks_and_parts():
     body = "<nav><ul><li><a href='/x'>Menu</a></li></ul></nav><div class='ad'>Buy</div><div id=\"cookie-notice\"><p>We use cookies</p></div><header><h2>Site</h2></header>"
-    body += "<article><div class='post-header'><h1>T &amp; U</h1></div><p>One\n  two&nbsp;three<br>four<p>Five <b>six</b></p><ul><li>seven<li>eight</ul><form>f<input></form><aside>side</aside><section class='comments'><p>first!</p></section></article><footer>f</footer>"
-    assert H.main_text(H.blocks_of(page(body)), None) == "T & U\nOne two three four\nFive six\nseven\neight"
+    body += "<article><div class='post-header'><h1>T &amp; U</h1></div><p>One\n  two&nbsp;three<br>four<p>Five <b>six</b></p><ul><li>seven<li>eight</ul><form>f<input></form>"
+    body += "<aside>side</aside><section class='comments'><p>first!</p></section></article><footer>f</footer>"
+    assert main(page(body)) == main(page(body), page(body)) == "T & U\nOne two three four\nFive six\nseven\neight"
 
 
 def test_broken_markup():
-    assert H.main_text(H.blocks_of("<body><nav><ul><li>m<article><p>kept<p>also"), None) == "kept\nalso"
-    assert H.blocks_of("") == [] and H.main_text(H.blocks_of("plain text"), None) == "plain text"
-    assert H.main_text(H.blocks_of("<p>a <!-- open"), None) == "a"
-    assert H.main_text(H.blocks_of("<p>x</p><script>var a = '<p>no</p>'"), None) == "x"
+    assert main("<body><nav><ul><li>m<article><p>kept<p>also") == "kept\nalso"
+    assert H.blocks_of("") == [] and main("plain text") == "plain text"
+    assert main("<p>a <!-- open") == "a"
+    assert main("<p>x</p><script>var a = '<p>no</p>'") == "x"
 
 
 def test_shared_lines_go_where_no_article_is_marked():
-    one = H.blocks_of("<p>Top stories today</p><p>Alpha text</p><p>Legal text below</p>")
-    two = H.blocks_of("<p>Top stories today</p><p>Beta text</p><p>Legal text below</p>")
-    assert H.main_text(one, two) == "Alpha text"
-    assert H.main_text(one, one) == "Top stories today\nAlpha text\nLegal text below"
+    one, two = "<p>Top stories today</p><p>Alpha text</p><p>Legal text below</p>", "<p>Top stories today</p><p>Beta text</p><p>Legal text below</p>"
+    assert main(one, two) == "Alpha text" and main(one) == "Top stories today\nAlpha text\nLegal text below"
+    assert main(f"<p>Menu</p><article>{one}</article>", f"<p>Menu</p><article>{two}</article>") == "Top stories today\nAlpha text\nLegal text below"
+
+
+def longest(a, b):
+    rows = [[0] * (len(b) + 1)]
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(rows[-1][j] + 1 if x == y else max(row[j], rows[-1][j + 1]))
+        rows.append(row)
+    return rows[-1][-1]
 
 
-def test_shared_lines_are_a_longest_common_subsequence():
-    a, b = list("xaybzc"), list("paqbrcs")
-    assert H.shared_lines(a, b) == {1, 3, 5}
-    assert H.shared_lines(list("abc"), list("cab")) == {0, 1}
-    assert H.shared_lines([], list("a")) == set()
+def test_shared_lines_against_brute_force():
+    import random
+
+    rng = random.Random(9)
+    assert H.shared_lines(list("xaybzc"), list("paqbrcs")) == [1, 3, 5] and H.shared_lines([], list("a")) == []
+    for k in range(300):
+        a, b = ([rng.randrange(rng.choice([2, 6, 40])) for _ in range(rng.randrange(40))] for _ in range(2))
+        found = H.shared_lines(a, b)
+        assert found == sorted(set(found)) and len(found) == longest(a, b)
+        rest = iter(b)
+        assert all(a[i] in rest for i in found)  # they stand in b in that order
+
+
+def test_pages_of_many_lines_need_little_memory():
+    import random
+    import tracemalloc
+
+    rng = random.Random(3)
+    a = list(range(100_000))
+    b = [x if rng.random() < 0.5 else -x for x in a]
+    tracemalloc.start()
+    found = H.shared_lines(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert len(found) == sum(x == y for x, y in zip(a, b))
+    many = "".join(f"<p>line {i}</p>" for i in range(100_000))
+    assert main(many, "".join(f"<p>line {i}</p>" for i in range(0, 100_000, 2))).count("\n") == 49_999
 
 
 def test_extraction_of_tables(spark):
-    rows = [(1, "http://a.com/x/1", "<p>Head</p><p>one</p>"), (2, "http://a.com/x/2", "<p>Head</p><p>two</p>"), (2, "http://a.com/x/2", "<p>Head</p><p>two</p>"), (3, None, None), (None, "nourl", ""), (4, "http://b.com/", page("<article>only</article>"))]
-    df = spark.createDataFrame([(*r, 1, "h") for r in rows], "page_id long, url string, html string, h int, p string")
+    rows = [
+        (1, "http://a.com/x/1", "<p>Head</p><p>one</p>"), (2, "http://a.com/x/2", "<p>Head</p><p>two</p>"), (2, "http://a.com/x/2", "<p>Head</p><p>two</p>"), (3, None, None), (None, "nourl", ""),
+        (4, "http://b.com/", page("<article>only</article>")), (5, "nourl", "<p>Head</p>"),
+    ]
+    df = spark.createDataFrame([(*r, 1, "h", "c") for r in rows], "page_id long, url string, html string, h int, p string, common string")
     out = H.extract_text(df, U.host_of(F.col("url")), U.path_of(F.col("url"))).collect()
     assert len(out) == len(rows)
-    got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in out)
-    assert got[0] == (0, "", 0) and (3, "", 0) in got and (4, "only", 4) in got and (1, "one", 3) in got
+    got = sorted((r["page_id"] or 0, r["text"], r["n_chars"], r["n_shared"]) for r in out)
+    assert got == [(0, "", 0, 0), (1, "one", 3, 1), (2, "two", 3, 1), (2, "two", 3, 1), (3, "", 0, 0), (4, "only", 4, 0), (5, "Head", 4, 0)]
     assert H.extract_text(df.limit(0), U.host_of(F.col("url")), U.path_of(F.col("url"))).count() == 0
 
 
+def nearest_by_brute_force(pages):
+    """page_id -> text. Each page against the distinct pages of its host, in order of path."""
+    lines = {i: H.blocks_of(h) for i, _, _, h in pages}
+    told, out = {i: tuple(x.text for x in lines[i]) for i in lines}, {}
+    for i, host, path, _ in pages:
+        least = {}
+        for j, other, p, _ in pages:
+            if other == host and told[j]:
+                least[told[j]] = min(least.get(told[j], p), p)
+        order = sorted((p, t) for t, p in least.items())
+        shared = set()
+        if told[i]:
+            at = next(k for k, x in enumerate(order) if x[1] == told[i])
+            near = [order[k] for k in (at - 1, at + 1) if 0 <= k < len(order)]
+            if near:
+                own = order[at][0]
+                alike = [next((k for k, (x, y) in enumerate(zip(n[0], own)) if x != y), min(len(n[0]), len(own))) for n in near]
+                shared = set(H.shared_lines(list(told[i]), list(near[alike.index(max(alike))][1])))
+        out[i] = "\n".join(lines[i][k].text for k in H.main_lines(lines[i], shared))
+    return out
+
+
+def test_extraction_is_the_same_for_all_partitions(spark):
+    import random
+
+    rng = random.Random(12)
+    pages = []
+    for i in range(400):
+        host, path = f"h{rng.choice([0, 0, 0, 1, 2])}.com", f"/{rng.choice('ab')}/{i:04}"
+        text = rng.randrange(250)
+        body = f"<p>Menu</p><p>Terms {text % 3}</p><p>text {text}</p><p>more {text}</p><p>Contact</p>"
+        pages.append((i, host, path, f"<article>{body}</article><p>Foot</p>" if text % 5 == 0 else body))
+    want = nearest_by_brute_force(pages)
+    assert sum("Menu" in t for t in want.values()) == sum("<article>" in h for *_, h in pages)
+    df = spark.createDataFrame([(i, f"http://{h}{p}", t) for i, h, p, t in pages], "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (1, 4, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {r["page_id"]: r["text"] for r in H.extract_text(df.repartition(3), U.host_of(F.col("url")), U.path_of(F.col("url"))).collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_pages_give_their_articles(spark, sf):
     docs = {" ".join(r["text"].split()) for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").collect()}
     out = Q.op1_html_extraction(spark, sf).collect()
