@@ -210,18 +210,39 @@ def test_rollup_against_recount(spark, sf, vocab):
     assert got == want
 
 
-def test_ledger_is_idempotent(spark, documents, vocab, tmp_path):
+def of_ledger(ledger):
+    return {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in ledger.totals().collect()}
+
+
+def test_ledger_counts_each_batch_once(spark, documents, vocab, tmp_path, monkeypatch):
     docs = documents([(1, "a b c", "en", "s"), (2, None, None, None), (2, "d", "en", "s"), (3, "e f", "de", "s")])
     counts = R.count_tokens(docs, {}, vocab.PATTERN)
     ledger = R.Ledger(spark, str(tmp_path / "ledger"))
     assert ledger.totals().count() == 0
-    for _ in range(2):
-        ledger.commit("b1", R.inserts(counts))
-    ledger.commit("b2", R.deletes(counts.where("lang = 'de'")), R.revisions(counts.where("doc_id = 1"), counts.where("doc_id = 1").withColumn("tokens", F.lit(10).cast("long"))))
-    got = {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in ledger.totals().collect()}
-    assert got == {("s", "en"): (2, 11), (None, None): (1, 0)}
+    assert [ledger.commit("b1", R.inserts(counts)) for _ in range(2)] == [True, False]
+    revised = R.revisions(counts.where("doc_id = 1"), counts.where("doc_id = 1").withColumn("tokens", F.lit(10).cast("long")))
+    ledger.commit("b2", R.deletes(counts.where("lang = 'de'")), revised)
+    want = {("s", "en"): (2, 11), (None, None): (1, 0)}
+    assert of_ledger(ledger) == want
+    again = R.Ledger(spark, str(tmp_path / "ledger"))  # as after a restart
+    assert of_ledger(again) == want and not again.commit("b1", R.inserts(counts)) and [c["batch"] for c in again.commits()] == ["b1", "b2"]
+    with pytest.raises(ValueError):
+        again.commit("b1", R.inserts(counts.where("doc_id = 1")))
     with pytest.raises(ValueError):
         ledger.commit("../x", R.inserts(counts))
+    with monkeypatch.context() as m:  # lost between the totals and the marker
+        m.setattr(R.Ledger, "_mark", lambda *a: (_ for _ in ()).throw(OSError()))
+        with pytest.raises(OSError):
+            again.commit("b3", R.inserts(counts))
+    assert of_ledger(R.Ledger(spark, str(tmp_path / "ledger"))) == want
+    assert again.commit("b3", R.deletes(counts.where("doc_id = 2"))) and of_ledger(ledger) == {("s", "en"): (1, 10)}
+    assert again.commit("empty", R.inserts(counts.limit(0))) and of_ledger(ledger) == {("s", "en"): (1, 10)}
+
+
+def test_counts_of_odd_texts(documents, vocab):
+    counts = R.count_tokens(documents([(1, "w " * 300_000, "en", "s"), (None, "", None, None)]), {}, vocab.PATTERN)
+    assert sorted((r["doc_id"] or 0, r["tokens"], r["chars"]) for r in counts.collect()) == [(0, 0, 0), (1, 300_000, 600_000)]
+    assert R.count_tokens(documents([(1, "x")]).limit(0), {}, vocab.PATTERN).count() == 0
 
 
 # Packing ---------------------------------------------------------------------------------------------------------------
@@ -268,6 +289,18 @@ def test_packing_is_whole(spark, sf, vocab):
     assert sum(2048 - sum(n for _, n in s) for s in sequences.values()) <= 0.05 * tokens + 2048
 
 
+def test_packing_ids_are_the_library_s(documents, vocab):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocab.path("byte_bpe_50k.json"))
+    texts = [x or "" for x in TEXTS] + ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n y", "<|endoftext|", "<|ENDOFTEXT|>", "a  <|endoftext|>  b"]
+    out = Q.packed(documents(list(enumerate(texts)))).where("start = 0").collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in out} == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in enumerate(texts)}
+    for r in out:
+        ids = (t.encode(texts[r["doc_id"]], add_special_tokens=False).ids + [1])[: r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+
+
 def test_packing_edges(documents, vocab):
     docs = documents([(1, None), (2, ""), (3, "a " * 5000), (3, "a " * 5000), (None, "x")])
     out = P.pack_documents(docs, vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN, 1).collect()
@@ -304,6 +337,32 @@ def test_url_rules_by_hand(spark, monkeypatch):
     assert U.judge_urls(df.limit(0), rules).count() == 0
 
 
+def test_many_url_rules_and_long_urls(spark):
+    import random
+    import re
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    rules = []
+    for i in range(3000):
+        host, path = f"{rng.choice(words)}.{rng.choice(words)}.com", "/" + rng.choice(["", f"{rng.choice(words)}/", f"{rng.choice(words)}"])
+        rules.append(U.site_rule(host + path, rng.choice(["allow", "block"])))
+    rules = list({r.name: r for r in rules}.values())
+    urls = [f"http://{rng.choice(words)}.{rng.choice(words)}.com/{rng.choice(words)}/{rng.choice(words)}" for _ in range(400)] + [f"http://{r.name}x" for r in rules[:300]]
+    urls += ["http://w1.w2.com/" + "w3/" * 100_000, "http://" + "a" * 200_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, best string").withColumn("url", F.col("best")).withColumn("_best0", F.lit(1)).withColumn("_url_key0", F.lit(2))
+    out = U.judge_urls(df, rules)
+    assert out.columns == [*df.columns, "judged"]
+    got = {r["page_id"]: (r["judged"]["rule"], r["judged"]["verdict"]) for r in out.collect()}
+    compiled = [(re.compile(r.regex), r) for r in rules]
+    for i, u in enumerate(urls):
+        site = u.split("://", 1)[1]
+        hits = [r for pattern, r in compiled if pattern.search(site)]
+        best = min(hits, key=lambda r: (-r.rank, r.name), default=None)
+        assert got[i] == ((best.name, best.verdict) if best else (None, "allow"))
+    assert sum(rule is not None for rule, _ in got.values()) > 300
+
+
 # Byte-level BPE --------------------------------------------------------------------------------------------------------
 def test_perfect_hash_is_one_to_one():
     import numpy as np

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import struct
 from collections import defaultdict
+from collections.abc import Mapping
 
 import pandas as pd
 import pyarrow as pa
@@ -51,19 +52,24 @@ def cut_points(length: int, capacity: int) -> list[int]:
     return pieces
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, end_id: int | None, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(
+    docs: DataFrame, ranks_path: str, pattern: str, end_id: int | None, capacity: int = 2048, added: Mapping[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Each document's ids (with end_id after them, unless None) lie in exactly one piece each; a sequence has at most
     `capacity` tokens and no gap between its pieces. A null or empty text is a document of no ids but end_id; without
-    end_id it has no piece. Repeated rows and equal or null ids are packed as separate documents. Other columns of docs
+    end_id it has no piece. The text of an added token becomes that token's id. Repeated rows and equal or null ids are packed as separate documents. Other columns of docs
     are left out. An empty table gives an empty result. Which sequence a piece lands in depends on how rows are dealt
     to tasks; the pieces' content doesn't.
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))  # a vocabulary file: bounded whatever the input
     end = b"" if end_id is None else struct.pack("<I", end_id)
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("task", pa.int64()), ("piece", pa.int64()), ("class", pa.int32()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    longs = ["doc_tokens", "task", "piece"]
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), *[(c, pa.int64()) for c in longs], ("class", pa.int32()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
+    )
 
     def pack(batches):
         from pyspark import TaskContext
@@ -75,7 +81,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, end_id: int |
         piece = sequence = 0
         done: list[tuple] = []
         for batch in slices(batches):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), library_ids(batch.column(1), ranks.value, pattern)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), library_ids(batch.column(1), ranks.value, pattern, added)):
                 ids += end
                 total, start = len(ids) // 4, 0
                 for length in cut_points(total, capacity):

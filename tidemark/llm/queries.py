@@ -17,6 +17,7 @@ from tidemark.llm.packing import pack_documents
 from tidemark.llm.passages import repeated_passages
 from tidemark.llm.token_rollup import Ledger, count_tokens, deletes, inserts, revisions
 from tidemark.llm.url_rules import Rule, host_of, judge_urls, path_of, site_rule
+from tidemark.llm.vocabulary import read_added
 from tidemark.sources.scratch import new_folder, written
 
 SITE_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -64,10 +65,9 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     the others' byte-level counts are revised to include the id that ends a document. The second batch is sent twice."""
     docs = table(spark, sf_dir, "documents")
     counts = written(count_tokens(docs, {"byte_bpe_50k": vocabulary("byte_bpe_50k.tiktoken")}, pattern()), "token-counts")
-    hashed = docs.select("doc_id", F.sha2(F.col("text"), 256).alias("h"))
-    first = hashed.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("first"))
-    copies = hashed.join(first, "h").where("doc_id <> first").select("doc_id").distinct()
-    gone, live = counts.join(copies, "doc_id", "left_semi"), counts.join(copies, "doc_id", "left_anti")
+    first = counts.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("first"))
+    marked = written(counts.join(first, "text_key", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))), "token-counts")
+    gone, live = marked.where("copy"), marked.where("not copy")
     ledger = Ledger(spark, new_folder(spark, "ledger"))
     ledger.commit("1-insert", inserts(counts))
     ledger.commit("2-delete", deletes(gone))
@@ -82,8 +82,8 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """byte_bpe_50k's ids by the rank file of the same vocabulary; 1 ends a document."""
-    pieces = pack_documents(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern(), end_id=1)
+    """byte_bpe_50k's ids, by the rank file of the same vocabulary and the added tokens of its JSON file; 1 ends a document."""
+    pieces = pack_documents(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern(), end_id=1, added=read_added(vocabulary("byte_bpe_50k.json")))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -60,14 +60,15 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
     """pages with a struct column `into` (host, path, rule, verdict), one row per row.
 
     rule is null and verdict `default` where no rule matches, also for a null URL or one without `://`. Equal URLs are
-    judged once. Repeated rows stay. An existing column named like `into` is replaced; an empty table gives an empty
-    result; no rules give `default` throughout.
+    judged once, whole, however long. Repeated rows stay. An existing column named like `into` is replaced, others may
+    have any name; an empty table gives an empty result; no rules give `default` throughout.
     """
     spark = pages.sparkSession
-    key, verdict = "_url_key", "struct<name: string, verdict: string>"
+    key, best_of = (next(f"_{name}{n}" for n in range(len(pages.columns) + 1) if f"_{name}{n}" not in pages.columns) for name in ("url_key", "best"))
     urls = pages.select(F.col(url_col).alias(key)).where(F.col(key).isNotNull()).distinct().select(key, host_of(F.col(key)).alias("h"), path_of(F.col(key)).alias("p"))
     words = urls.select(key, (F.concat("h", "p")).alias("site"), F.explode(tokens_of(F.col("h"), F.col("p"))).alias("token"))
-    table = spark.createDataFrame([(r.name, r.regex, r.verdict, r.rank, list(r.tokens) or [EVERY]) for r in rules], "name string, regex string, verdict string, rank int, tokens array<string>")
+    listed = [(r.name, r.regex, r.verdict, r.rank, list(r.tokens) or [EVERY]) for r in rules]
+    table = spark.createDataFrame(listed, "name string, regex string, verdict string, rank int, tokens array<string>")
     literal = table.select("name", F.explode("tokens").alias("token")).select("token").distinct()
     if len(rules) <= BROADCAST_RULES:
         literal, table = F.broadcast(literal), F.broadcast(table)
@@ -83,9 +84,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
     best = (
         words.join(filed, "token").where(F.expr("site rlike regex"))
         .groupBy(key).agg(F.min(F.struct((-F.col("rank")).alias("rank"), "name", "verdict")).alias("best"))
-        .select(key, F.struct("best.name", "best.verdict").cast(verdict).alias("best"))
+        .select(F.col(key), F.col("best").alias(best_of))
     )
     plain = pages.drop(into) if into in pages.columns else pages
-    joined = plain.join(best, F.col(url_col) == F.col(key), "left")
-    out = F.struct(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col("best.name").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    joined = plain.join(best, plain[url_col] == best[key], "left")
+    found, url = F.col(best_of), F.col(f"`{url_col}`")
+    out = F.struct(host_of(url).alias("host"), path_of(url).alias("path"), found["name"].alias("rule"), F.coalesce(found["verdict"], F.lit(default)).alias("verdict"))
     return joined.select(*[F.col(f"`{c}`") for c in plain.columns], out.alias(into))
