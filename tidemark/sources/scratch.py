@@ -7,6 +7,7 @@ costs a task and not the work before it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished queries now, instead of when the driver next collects its garbage.
+
+    For operators of several large steps, each of which is written before the next begins.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
