@@ -240,7 +240,7 @@ def test_passages_with_phrases_that_stand_elsewhere(documents):
 
 @pytest.mark.parametrize("few", [32, 4])
 def test_passages_whose_smallest_document_is_a_cut_copy(documents, monkeypatch, few):
-    monkeypatch.setattr(N, "FEW", few, raising=False)
+    monkeypatch.setattr(S, "FEW", few)
     rng = random.Random(13)
     p = words(rng, 50)
     cut = [(k, " ".join([*words(rng, 30), *p[3 * k : 3 * k + 32], *words(rng, 30)])) for k in range(7)]
