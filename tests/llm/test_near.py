@@ -69,6 +69,33 @@ def test_odd_vectors(spark):
     assert E.near_vectors(df.limit(0)).count() == 0 and E.near_vectors(df.where("vec_id = 3")).first()["kept"]
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(4)
+    base = {d: rng.normal(size=(40, d)) for d in (2, 3, 5)}
+    rows = [(100 * d + k, (base[d][k % 40] + (k >= 40) * rng.normal(size=d) * 0.05).tolist(), d) for d in base for k in range(60)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, embedding array<double>, d int, v int, rep int, block int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_vectors(df).collect()}
+    links, n = [], dict.fromkeys((i for i, _, _ in rows), 0)
+    for i, v, d in rows:
+        for j, w, e in rows:
+            if i != j and d == e and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.9:
+                links.append((i, j))
+                n[i] += 1
+    want = components(links, n)
+    assert got == {i: (n[i], want[i]) for i in n} and all(any(n[100 * d + k] for k in range(60)) for d in base)
+
+
+def test_vectors_that_no_near_block_holds(spark, monkeypatch):
+    monkeypatch.setattr(E, "LEAF", 16)
+    rng = np.random.default_rng(9)  # 40 clusters far apart: most pairs of blocks are provably distant
+    x = np.repeat(rng.normal(size=(40, 6)), 30, 0) * 4 + rng.normal(size=(1200, 6)) * 0.4
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    got = {r["vec_id"]: r["n_links"] for r in E.near_vectors(df).collect()}
+    assert got == {i: links[i].sum() for i in range(len(x))}
+
+
 # Documents -------------------------------------------------------------------------------------------------------------
 def words(rng, n):
     return [f"w{rng.randrange(5000)}" for _ in range(n)]

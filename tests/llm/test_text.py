@@ -189,6 +189,73 @@ def test_viterbi_against_all_labellings():
         assert sum(s[k] for s, k in zip(scores, ks)) - 4.0 * (len(spans) - 1) == pytest.approx(best)
 
 
+def test_leaving_out_the_pass_changes_nothing():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    left_out = 0
+    for k in range(2000):
+        n, langs = rng.integers(1, 40), rng.integers(2, 5)
+        scores = (-rng.random((n, langs)) * rng.choice([0.5, 2, 9])).astype(np.float32)
+        scores[:, 0] *= rng.choice([0.1, 0.6, 1])
+        whole = G.label_spans(scores.tolist(), 4.0)
+        short = G.spans_of(scores, 4.0)
+
+        def worth(spans):
+            ends = [a for a, _ in spans[1:]] + [n]
+            return sum(float(scores[a:b, k].sum()) for (a, k), b in zip(spans, ends)) - 4.0 * (len(spans) - 1)
+
+        assert worth(short) == pytest.approx(worth(whole), abs=1e-4)
+        left_out += len(short) == 1
+    assert 200 < left_out < 2000
+
+
+def test_query_against_a_plain_count(spark, sf):
+    """The whole query's held-out rows against a Python model over the same sample: every label and score."""
+    import zlib
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    train = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["text"] is not None and r["lang"] is not None]
+    counts = {}
+    for r in train:
+        for w in G.words_of(r["text"]):
+            own = counts.setdefault(r["lang"], {})
+            for f in G.features_of(w):
+                own[f] = own.get(f, 0) + 1
+    counts = {k: {f: n for f, n in own.items() if f[0] != "=" or n > 1} for k, own in counts.items()}
+    model = G.Model(counts)
+    got = {r["doc_id"]: r for r in Q.op2_language_id(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        words = G.words_of(r["text"] or "")
+        table = model.words(words) if words else []
+        scores = []
+        for w, s in zip(words, table):
+            uses = model.candidates(w)
+            if uses:
+                top = max(x for x, u in zip(s, uses) if u)
+                scores.append([float(x - top) if u else -2 * G.SWITCH for x, u in zip(s, uses)])
+        held = zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2
+        assert got[r["doc_id"]]["held_out"] == held
+        if not scores:
+            assert got[r["doc_id"]]["lang_pred"] == "und" or words
+            continue
+        spans = G.label_spans(scores)
+        share = [0] * len(model.languages)
+        for (a, k), b in zip(spans, [a for a, _ in spans[1:]] + [len(scores)]):
+            share[k] += b - a
+        assert got[r["doc_id"]]["score"] == pytest.approx(max(share) / len(scores), abs=0.02)
+        assert share[model.languages.index(got[r["doc_id"]]["lang_pred"])] >= max(share) - 1
+
+
+def test_words_with_combining_marks(documents):
+    hindi = "हिन्दी भाषा में लिखा हुआ पाठ"
+    assert G.words_of(hindi) == hindi.split()
+    model = G.learn_languages(documents([(i, hindi, "hi") for i in range(5)] + [(9, "the text in english", "en")]))
+    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in G.identify_language(documents([(1, hindi), (2, "the text " * 200_000)]), model).collect()}
+    assert out == {1: ("hi", 1.0), 2: ("en", 1.0)}
+
+
 # Token counts ----------------------------------------------------------------------------------------------------------
 def test_rollup_against_recount(spark, sf, vocab):
     import tiktoken

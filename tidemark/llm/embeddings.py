@@ -2,14 +2,16 @@
 
 Vectors of unit length have cosine >= c exactly where they are at most eps = sqrt(2 - 2c) apart. They are turned to
 their principal axes, put in grid cells of side eps on the leading ones and sorted by cell; the sorted sequence is cut
-in blocks. Two blocks are joined only if the boxes of their leading coordinates are within eps of each other, and
-inside a pair of blocks the join halves both sequences again and again and leaves out halves whose boxes are too far
-apart; what is left is one matrix product. Only sums and links of a spanning forest leave a task, never pairs.
+in blocks. Two blocks are joined only if the boxes of their leading coordinates, and of the length that the other axes
+leave, are within eps of each other, and inside a pair of blocks the join halves both sequences again and again and
+leaves out halves whose boxes are too far apart; what is left is one matrix product. A block goes once to each square
+of TILE by TILE blocks that it has a pair in. Only sums and links of a spanning forest leave a task, never pairs.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,14 +21,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.text_batches import record_batch
 from tidemark.operators.graph import connected_components
+from tidemark.operators.indexing import starts_of_tasks
 from tidemark.sources.scratch import written
 
 #: Leading axes that cells and boxes are made of.
 AXES = 8
-#: Vectors of a block at most, and of a leaf of the recursion.
-BLOCK, LEAF = 8192, 256
+#: Vectors of a block at most, and of a leaf of the recursion; bytes of a block at most, if it has more than a leaf.
+BLOCK, LEAF, BLOCK_BYTES = 8192, 256, 4 << 20
+#: Blocks on either side of the pairs that one task joins.
+TILE = 4
 #: Room for the rounding of projections, in distance.
-SLACK = 1e-9
+SLACK = 1e-7
 
 
 def usable(vector: F.Column) -> F.Column:
@@ -39,28 +44,28 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
     Links are pairs of rows with cosine >= least in double precision; n_links counts the others a row is linked with,
-    component_id is the smallest id reachable. Equal vectors are joined once and counted with their number. Vectors
-    that are null, empty, zero or hold null or non-finite components, and rows with a null id, have no link. Only
-    vectors of the commonest length are compared (ties: the shorter). Rows that repeat an id are separate vectors for
-    counting but one for components. An empty table gives an empty result. least is over 0.
+    component_id is the smallest id reachable. Equal vectors are joined once and counted with their number. Vectors of
+    each length are joined among themselves. Vectors that are null, empty, zero or hold null or non-finite components,
+    and rows with a null id, have no link. Rows that repeat an id are separate vectors for counting but one for
+    components. Other columns are left out. An empty table gives an empty result. least is over 0.
     """
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = written(rows.withColumn("ok", usable(F.col("v")) & F.col("vec_id").isNotNull()), "vectors")
-    sizes = rows.where("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     none = rows.select("*", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if sizes is None:
+    lengths = [r["d"] for r in rows.where("ok").groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]  # one row a length
+    if not lengths:
         return none.select("vec_id", "n_links", "component_id", "kept")
-    dim = sizes["d"]
-    good = F.col("ok") & (F.size("v") == dim)
-    same = written(rows.where(good).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("key", F.monotonically_increasing_id()), "distinct-vectors")
-    found = _joined(*_blocks(same, dim, least, block), dim, least)
+    copies = rows.where("ok").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    same = written(copies.withColumn("key", F.monotonically_increasing_id()), "distinct-vectors")
+    found = reduce(DataFrame.union, [_joined(*_blocks(same.where(F.size("v") == d), d, least, block), d, least) for d in lengths])
     links = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("key"), "n")
     roots = connected_components(found.where("b is not null"), "a", "b")
     linked = links.join(roots, links.key == roots.node, "left").join(same.select("key", "rep", "v"), "key").select("n", "v", "rep", F.coalesce("component", "key").alias("root"))
     least_id = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_vector = linked.select("n", "v", "root").join(least_id, "root")
-    answered = rows.where(good).select("vec_id", "v").join(of_vector, "v").select("vec_id", (F.col("n") - 1).alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return answered.unionByName(none.where(~F.coalesce(good, F.lit(False))).select("vec_id", "n_links", "component_id", "kept"))
+    kept = F.col("vec_id") == F.col("component_id")
+    answered = rows.where("ok").select("vec_id", "v").join(of_vector, "v").select("vec_id", (F.col("n") - 1).alias("n_links"), "component_id", kept.alias("kept"))
+    return answered.unionByName(none.where("not ok").select("vec_id", "n_links", "component_id", "kept"))
 
 
 def _axes(same: DataFrame, dim: int) -> np.ndarray:
@@ -88,9 +93,15 @@ def _unit(vectors: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _leading(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """The coordinates on the leading axes and the length of the rest: no two vectors are nearer than these are."""
+    y = x @ axes
+    return np.column_stack([y, np.sqrt(np.maximum(0, 1 - (y * y).sum(1)))])
+
+
 def _blocks(same: DataFrame, dim: int, least: float, block: int) -> tuple[DataFrame, np.ndarray]:
     """(block, ids, copies, unit, lo, hi), packed runs of the grid order, and the leading axes."""
-    spark, eps = same.sparkSession, math.sqrt(2 - 2 * least)
+    eps = math.sqrt(2 - 2 * least)
     axes = _axes(same, dim)
     cells = ", ".join(f"c{i} int" for i in range(axes.shape[1]))
     schema = pa.schema([*[(f"c{i}", pa.int32()) for i in range(axes.shape[1])], ("key", pa.int64()), ("copies", pa.int64()), ("unit", pa.binary())])
@@ -104,7 +115,7 @@ def _blocks(same: DataFrame, dim: int, least: float, block: int) -> tuple[DataFr
 
     placed = same.select("v", "key", "copies").mapInArrow(place, f"{cells}, key long, copies long, unit binary")
     order = [f"c{i}" for i in range(axes.shape[1])] + ["key"]
-    block = max(LEAF, min(block, same.count() // 8))
+    block = max(LEAF, min(block, same.count() // 16, BLOCK_BYTES // (8 * dim)))
     dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def number(batches):
@@ -118,17 +129,15 @@ def _blocks(same: DataFrame, dim: int, least: float, block: int) -> tuple[DataFr
     numbered = pa.schema([("task", pa.int32()), ("at", pa.int64()), ("key", pa.int64()), ("copies", pa.int64()), ("unit", pa.binary())])
     ordered = written(dealt.select("key", "copies", "unit").mapInArrow(number, "task int, at long, key long, copies long, unit binary"), "grid-order")
 
-    # one row for each task: where its run begins in the whole order
-    runs = ordered.groupBy("task").agg(F.count("*").alias("n")).toPandas().sort_values("task")
-    first = spark.createDataFrame(pd.DataFrame({"task": runs["task"], "before": runs["n"].cumsum() - runs["n"]}), "task int, before long")
-
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["task", "at"])
         x = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(-1, dim)
-        y = x @ axes
-        return pd.DataFrame({"block": [rows["block"].iloc[0]], "ids": [rows["key"].to_numpy(np.int64).tobytes()], "copies": [rows["copies"].to_numpy(np.int64).tobytes()], "unit": [x.tobytes()], "lo": [y.min(0).tolist()], "hi": [y.max(0).tolist()]})
+        y = _leading(x, axes)
+        ids, copies = (rows[c].to_numpy(np.int64).tobytes() for c in ("key", "copies"))
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "ids": [ids], "copies": [copies], "unit": [x.tobytes()], "lo": [y.min(0).tolist()], "hi": [y.max(0).tolist()]})
 
-    cut = ordered.join(F.broadcast(first), "task").withColumn("block", F.expr(f"(before + at) div {block}"))
+    cut = ordered.join(F.broadcast(starts_of_tasks(ordered)), "task")  # one row a task
+    cut = cut.withColumn("block", F.expr(f"(before + at) div {block}"))
     return written(cut.groupBy("block").applyInPandas(pack, "block long, ids binary, copies binary, unit binary, lo array<double>, hi array<double>"), "blocks"), axes
 
 
@@ -146,20 +155,20 @@ def _joined(blocks: DataFrame, axes: np.ndarray, dim: int, least: float) -> Data
         F.lit(0.0), lambda s, g: s + g * g,
     )
     pairs = near.join(other, "cell").where((F.col("block") <= F.col("other")) & (apart <= eps * eps)).select("block", "other").distinct()
-    one = blocks.select("block", "ids", "copies", "unit")
-    two = one.toDF("other", "ids2", "copies2", "unit2")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+    tile = F.struct(F.expr(f"block div {TILE}").alias("x"), F.expr(f"other div {TILE}").alias("y"))
+    tiles = written(pairs.groupBy(tile.alias("tile")).agg(F.collect_list(F.struct("block", "other")).alias("pairs")), "tiles")  # at most TILE * TILE
+    used = tiles.select("tile", "pairs", F.explode(F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["block"], p["other"]))))).alias("block"))
+    held = used.join(blocks.select("block", "ids", "copies", "unit"), "block").select("tile", "pairs", "block", "ids", "copies", "unit")
 
-    def join(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                a, b, ids, copies, unit, ids2, copies2, unit2 = (batch.column(k)[i].as_py() for k in range(8))
-                got = _pair(a == b, ids, copies, unit, ids2, copies2, unit2)
-                yield record_batch(schema, got)
+    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        packed = {b: (i, c, u) for b, i, c, u in zip(rows["block"], rows["ids"], rows["copies"], rows["unit"])}
+        got = [_pair(p["block"] == p["other"], *packed[p["block"]], *packed[p["other"]]) for p in rows["pairs"].iloc[0]]
+        columns = [[v for part in got for v in part[k]] for k in range(3)]
+        return pd.DataFrame({c: pd.array(v, "Int64") for c, v in zip("abn", columns)})
 
     def _pair(alone: bool, ids: bytes, copies: bytes, unit: bytes, ids2: bytes, copies2: bytes, unit2: bytes) -> list:
         (i, c, x), (j, d, y) = ((np.frombuffer(k, np.int64), np.frombuffer(n, np.int64), np.frombuffer(u, np.float64).reshape(-1, dim)) for k, n, u in ((ids, copies, unit), (ids2, copies2, unit2)))
-        p, q = x @ axes, y @ axes
+        p, q = _leading(x, axes), _leading(y, axes)
         n, m = np.zeros(len(i), np.int64), np.zeros(len(j), np.int64)
         links: list[tuple[int, int]] = []
         shift = 0 if alone else len(i)
@@ -201,5 +210,4 @@ def _joined(blocks: DataFrame, axes: np.ndarray, dim: int, least: float) -> Data
         rows += [(k, o, None) for k, o in links]
         return [list(col) for col in zip(*rows)] if rows else [[], [], []]
 
-    joined = pairs.join(one, "block").join(two, "other").select("block", "other", "ids", "copies", "unit", "ids2", "copies2", "unit2")
-    return written(joined.mapInArrow(join, "a long, b long, n long"), "vector-links")
+    return written(held.groupBy("tile").applyInPandas(join, "a long, b long, n long"), "vector-links")

@@ -8,8 +8,8 @@ language is the one whose spans hold most words.
 from __future__ import annotations
 
 import math
-import re
 from bisect import bisect_right
+from collections import Counter
 from operator import add
 
 import numpy as np
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.text_batches import record_batch, slices
 
 UNKNOWN = "und"
-#: Labelled texts read for each language at most, and trigrams or words kept for each language.
-TEXTS_PER_LANGUAGE, FEATURES = 1000, 30_000
+#: Labelled texts read for each language at most.
+TEXTS_PER_LANGUAGE = 1000
 #: What a switch costs, in natural-log units of the word scores.
 SWITCH = 8.0
 #: A language uses a script if at least this share of its letters is in it.
@@ -35,7 +35,13 @@ SCRIPTS = [
     (0x3400, "han"), (0xA000, ""), (0xAC00, "hangul"), (0xD7B0, ""), (0xF900, "han"), (0xFB00, "latin"), (0xFB07, ""), (0xFF21, "latin"), (0xFF66, "kana"), (0xFFA0, ""), (0x20000, "han"),
 ]
 _STARTS = [a for a, _ in SCRIPTS]
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters and combining marks, in lower case; learning and prediction cut texts alike."""
+    import regex
+
+    return regex.findall(r"[\p{L}\p{M}]+", text.lower())
 
 
 def script_of(word: str) -> str:
@@ -182,9 +188,9 @@ def _by_language(values: dict[str, float]) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.col("lang")) if pairs else F.lit(None).cast("double")
 
 
-def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TEXTS_PER_LANGUAGE, features: int = FEATURES) -> Model:
-    """From at most per_language texts of each language (those whose ids hash lowest), counted by Spark; the driver gets
-    the `features` commonest trigrams and the `features` commonest words of each language. Null texts and labels don't count."""
+def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TEXTS_PER_LANGUAGE) -> Model:
+    """From at most per_language texts of each language, those whose ids hash lowest: all their trigrams, and their words
+    that occur more than once, are counted by Spark and go to the driver. Null texts and labels don't count."""
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).where("t is not null and lang is not null")
     place = F.shiftrightunsigned(F.xxhash64("i"), 1) / F.lit(float(1 << 63))
     # twice the share that a language needs, so that few rows of a common language are ranked; then the highest place
@@ -193,19 +199,22 @@ def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
     low = rows.select("lang", place.alias("place")).where(F.col("place") < _by_language({r["lang"]: 2.0 * per_language / r["count"] for r in counts}))
     ranked = low.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("n") <= per_language)
     chosen = rows.where(place <= _by_language({r["lang"]: r["last"] for r in ranked.groupBy("lang").agg(F.max("place").alias("last")).collect()}))
-    words = (
-        chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("word"))
-        .groupBy("lang", "word").agg(F.count("*").alias("n"))
-    )
+    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+
+    def count(batches):
+        for batch in slices(batches):
+            found = Counter((lang, w) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in words_of(text))
+            yield record_batch(schema, [[k[0] for k in found], [k[1] for k in found], list(found.values())])
+
+    words = chosen.select("lang", "t").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
     grams = words.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: padded.substr(i, F.lit(3)))).alias("f"))
     grams = grams.groupBy("lang", "f").agg(F.sum("n").alias("n"))
     whole = words.where("n > 1").select("lang", F.concat(F.lit("="), "word").alias("f"), "n")
-    commonest = Window.partitionBy("lang", F.col("f").startswith("=")).orderBy(F.desc("n"), "f")
-    counts: dict[str, dict[str, int]] = {}
-    for r in grams.unionByName(whole).withColumn("r", F.row_number().over(commonest)).where(F.col("r") <= features).collect():
-        counts.setdefault(r["lang"], {})[r["f"]] = r["n"]
-    return Model(counts)
+    found: dict[str, dict[str, int]] = {}
+    for r in grams.unionByName(whole).collect():
+        found.setdefault(r["lang"], {})[r["f"]] = r["n"]
+    return Model(found)
 
 
 def identify_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,16 +222,17 @@ def identify_language(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
 
     lang_pred is UNKNOWN with score 0 for a null text, one without a letter, or a model of no language; a text whose
     letters are all of scripts that no learned language uses gets the first learned language with score 0. score is
-    the share of words in spans of lang_pred. Repeated rows and null ids stay; other columns are left out.
+    the share of words in spans of lang_pred. Very long texts are labelled whole, in memory in proportion to the text.
+    Repeated rows and null ids stay; other columns are left out; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * features rows for each language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it learned from
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("lang", pa.string())])))])
 
     def run(batches):
         model = shared.value
         languages, words = model.languages, WordScores(model)
         for batch in slices(batches):
-            found = [_WORD.findall((text or "").lower()) for text in batch.column(1).to_pylist()]
+            found = [words_of(text or "") for text in batch.column(1).to_pylist()]
             if languages:
                 words.learn(set().union(*found))
             rows = []
