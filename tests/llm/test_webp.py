@@ -68,10 +68,24 @@ def test_damaged_files():
             W.decode_image(bad)
 
 
-def test_large_payload():
-    payload = (bytes(range(97, 123)) * 200_000)[: 192 * 16500]
+@pytest.mark.parametrize("rows", [16384, 16385, 16389])
+def test_payloads_about_the_most_rows_of_an_image(rows):
+    payload = (bytes(range(97, 123)) * 200_000)[: 192 * rows]
     media = W.encode_payload(payload)
-    assert media.count(b"WEBPVP8L") == 2 and W.decode_payload(media).tobytes() == payload
+    assert media.count(b"WEBPVP8L") == 1 and W.decode_payload(media, len(payload)).tobytes() == payload
+    assert W.decode_image(media).shape == ((16384, 192) if rows == 16384 else (-(-rows // 2), 384))
+
+
+def test_payloads_that_repeat_are_written_with_back_references(monkeypatch):
+    line = b"the same line of text again and again, number 1234567890. "
+    payload = (line * 400)[: 192 * 100]
+    assert W._repetitive(np.frombuffer(payload, np.uint8)) and not W._repetitive(RNG.integers(97, 122, 19200).astype(np.uint8))
+    media = W.encode_payload(payload)
+    assert len(media) < 1000 and W.decode_payload(media, len(payload)).tobytes() == payload
+    few = b"abcabd" * 3200
+    assert W.decode_payload(W.encode_payload(few), len(few)).tobytes() == few
+    monkeypatch.setattr(W, "FARTHEST", 100)  # repeats lie farther than distances can tell
+    assert W.decode_payload(W.encode_payload(payload), len(payload)).tobytes() == payload
 
 
 def test_media_query(spark, sf):

@@ -11,10 +11,11 @@ from tidemark.llm.webp import WIDTH, decode_payload, encode_payload, feature_of
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes (of the text in UTF-8), media (gray lossless WebP images of the bytes, 192 pixels wide).
+    """doc_id, n_bytes (of the text in UTF-8), media (a gray lossless WebP image of the bytes).
 
-    Spaces fill the last row of pixels; a null or empty text is one row of spaces. A text of over 3 MB goes to several
-    images, one after another in `media`. Repeated rows and null ids stay; other columns are left out.
+    Spaces fill the last row of pixels; a null or empty text is one row of spaces. Images are 192 pixels wide, of texts
+    of over 3 MB a multiple of it. Equal texts have equal images; repeated rows and null ids stay; other columns are
+    left out; an empty table gives an empty result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
@@ -27,12 +28,13 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """stored (doc_id, n_bytes, media) with payload, the samples that the images hold, and `feature` of them."""
+    """stored (doc_id, n_bytes, media) with payload, the samples that the image holds for the text and the spaces up to a
+    positive multiple of 192, and `feature` of them. An empty table gives an empty result."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("feature", pa.string())])
 
     def run(batches):
         for batch in slices(batches):
-            samples = [decode_payload(m) for m in batch.column(2).to_pylist()]
+            samples = [decode_payload(m, max(1, -(-n // WIDTH)) * WIDTH) for n, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield record_batch(schema, [*batch.columns, [s.tobytes() for s in samples], [feature_of(s) for s in samples]])
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, feature string")

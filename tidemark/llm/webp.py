@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import math
 import struct
+import zlib
 
 import numpy as np
 
@@ -25,7 +26,7 @@ NEAR = [
     (2, 6), (-2, 6), (6, 2), (-6, 2), (4, 5), (-4, 5), (5, 4), (-5, 4), (3, 6), (-3, 6), (6, 3), (-6, 3), (0, 7), (7, 0), (1, 7), (-1, 7), (5, 5), (-5, 5), (7, 1), (-7, 1), (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7),
     (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7), (-4, 7), (7, 4), (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 ]
-LITERALS, LENGTHS, DISTANCES, MOST_BITS, MOST_SIDE = 256, 24, 40, 15, 16384
+LITERALS, LENGTHS, DISTANCES, MOST_BITS, MOST_SIDE, FARTHEST = 256, 24, 40, 15, 16384, (1 << 20) - 120
 
 
 # Prefix codes --------------------------------------------------------------------------------------------------------
@@ -291,7 +292,7 @@ def write_pixels(out: Writer, pixels: np.ndarray, main: bool = False, cache_bits
             while length < 4096 and i + length < len(listed) and listed[j + length] == listed[i + length]:
                 length += 1
             distance = i - j
-        if length >= 3:
+        if length >= 3 and distance <= FARTHEST:
             flatly = NEAR.index((distance % width, distance // width)) + 1 if (distance % width, distance // width) in NEAR else distance + 120
             (a, x, m), (b, y, n) = prefixed(length), prefixed(flatly)
             tokens.append((which[i], [(0, 256 + a, x, m), (4, b, y, n)]))
@@ -389,8 +390,10 @@ def mixed_codes(data: Reader, codes: list, width: int, rows: int, cache_bits: in
                 d = max(1, left + up * width)
             if d > i or i + length > total:
                 raise ValueError("a back-reference leaves the image")
-            for k in range(i, i + length):
-                out.append(out[k - d])
+            if d >= length:
+                out += out[i - d : i - d + length]
+            else:
+                out += (out[i - d :] * -(-length // d))[:length]
         else:
             while cached < i:
                 cache[cache_slot(out[cached], cache_bits)] = out[cached]
@@ -600,23 +603,48 @@ def decode_image(file: bytes) -> np.ndarray:
 
 # Payloads ------------------------------------------------------------------------------------------------------------
 WIDTH = 192
-_ROWS = 16000  # a payload of more rows goes to several files, one after another
+#: Back-references are written where a general compressor needs at most this share of the bytes that the samples' entropy
+#: does: searching for them takes a step for each pixel.
+REPETITIVE = 0.7
+
+
+def shape_of(size: int) -> tuple[int, int]:
+    """(rows, columns) of the image for that many samples: 192 columns, or the fewest multiple of 192 that the format has
+    rows enough for."""
+    wide = WIDTH * -(-size // (WIDTH * MOST_SIDE))
+    return -(-size // wide), wide
 
 
 def encode_payload(payload: bytes) -> bytes:
-    """Bytes, a positive multiple of WIDTH, as gray samples of one or more images."""
-    samples = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    gray = samples.astype(np.uint32) * np.uint32(0x010101) + np.uint32(0xFF000000)
-    return b"".join(encode_image(gray[r : r + _ROWS]) for r in range(0, len(gray), _ROWS))
+    """Bytes, a positive multiple of WIDTH, as the gray samples of an image; spaces fill its last row.
+
+    Beyond what one image can hold (267 million samples) the rest follows in further ones.
+    """
+    parts, most = [], MOST_SIDE * (MOST_SIDE // WIDTH * WIDTH)
+    for at in range(0, len(payload), most):
+        part = payload[at : at + most]
+        rows, columns = shape_of(len(part))
+        samples = np.frombuffer(part + b" " * (rows * columns - len(part)), np.uint8)
+        gray = samples.astype(np.uint32) * np.uint32(0x010101) + np.uint32(0xFF000000)
+        parts.append(encode_image(gray.reshape(rows, columns), matches=_repetitive(samples)))
+    return b"".join(parts)
+
+
+def _repetitive(samples: np.ndarray) -> bool:
+    n = np.bincount(samples, minlength=256)
+    n = n[n > 0]
+    entropy = float(n @ np.log2(len(samples) / n)) / 8
+    return len(zlib.compress(samples.tobytes(), 1)) <= REPETITIVE * entropy
 
 
-def decode_payload(media: bytes) -> np.ndarray:
+def decode_payload(media: bytes, size: int) -> np.ndarray:
+    """The first `size` samples of the images in `media`."""
     parts, at = [], 0
     while at < len(media):
-        size = 8 + struct.unpack_from("<I", media, at + 4)[0]
-        parts.append(decode_image(media[at : at + size]).ravel().view(np.uint8)[1::4])
-        at += size
-    return np.ascontiguousarray(parts[0]) if len(parts) == 1 else np.concatenate(parts)
+        end = at + 8 + struct.unpack_from("<I", media, at + 4)[0]
+        parts.append(decode_image(media[at:end]).ravel().view(np.uint8)[1::4])
+        at = end
+    return np.ascontiguousarray(parts[0][:size]) if len(parts) == 1 else np.concatenate(parts)[:size]
 
 
 def feature_of(samples: np.ndarray) -> str:
