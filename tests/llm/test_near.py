@@ -172,6 +172,40 @@ def test_near_documents_of_many_edits(documents):
     assert near == 300 and got == {i: i // 2 * 2 for i in range(600)}
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
+def test_recall_of_near_documents(documents, share):
+    """Pairs of 200 words with that share of words replaced, and beside each a smaller document that shares 60 % with both."""
+    rng = random.Random(int(100 * share))
+    rows, pairs = [], []
+    for k in range(150):
+        w = words(rng, 200)
+        other, hub = list(w), list(w)
+        for i in rng.sample(range(200), int(200 * share)):
+            other[i] = f"e{rng.randrange(99999)}"
+        hub[120:] = words(rng, 80)
+        rows += [(k, " ".join(hub)), (1000 + 2 * k, " ".join(w)), (1001 + 2 * k, " ".join(other))]
+        assert N.edit_similarity(word_hashes(rows[-2][1]), word_hashes(rows[-1][1])) >= 0.8 > N.edit_similarity(word_hashes(rows[-3][1]), word_hashes(rows[-2][1]))
+        pairs.append((1000 + 2 * k, 1001 + 2 * k))
+    got = {r["doc_id"]: r["class_id"] for r in N.near_documents(documents(rows)).collect()}
+    assert sum(got[a] == got[b] == a for a, b in pairs) >= 0.98 * len(pairs)
+    assert all(got[k] == k for k in range(150))
+
+
+def test_near_documents_in_large_buckets(documents, monkeypatch):
+    """Many documents that share most of their text with all others, and near copies of some of these."""
+    monkeypatch.setattr(N, "FEW", 4)
+    rng = random.Random(17)
+    common, rows, want = words(rng, 120), [], {}
+    for k in range(60):
+        own = [*common, *words(rng, 80)]
+        for c in range(1 + (k % 3 == 0) * 2):
+            other = edited(rng, own, 0.03) if c else own
+            rows.append((10 * k + c, " ".join(other)))
+            want[10 * k + c] = 10 * k
+    got = {r["doc_id"]: r["class_id"] for r in N.near_documents(documents(rows)).collect()}
+    assert got == want
+
+
 def test_near_documents_edges(documents):
     rows = [(1, None), (2, ""), (3, "  \n"), (4, "one two"), (5, "One  two"), (None, "one two"), (6, "x " * 30000), (7, "x " * 30000), (4, "one two"), (8, "a b c d e f g")]
     out = N.near_documents(documents(rows)).collect()
@@ -276,6 +310,42 @@ def test_passages_whose_smallest_document_is_a_cut_copy(documents, monkeypatch,
     assert got == {(d, 100, d == 100) for d, _ in whole}
 
 
+def test_exact_passages_of_which_the_smallest_document_has_a_part(documents):
+    rng = random.Random(19)
+    rows = []
+    for k in range(100):
+        p = words(rng, 52)
+        at = rng.randrange(6)
+        rows += [(k, " ".join([*words(rng, 40), *p[at : at + 47], *words(rng, 40)])), (1000 + k, " ".join([*words(rng, 30), *p, *words(rng, 30)])), (2000 + k, " ".join([*words(rng, 50), *p, *words(rng, 9)]))]
+    got = {(r["doc_id"], r["first_doc_id"], r["kept"]) for r in S.repeated_passages(documents(rows)).collect() if r["doc_id"] >= 1000}
+    assert got == {(1000 + k, 1000 + k, True) for k in range(100)} | {(2000 + k, 1000 + k, False) for k in range(100)}
+
+
+@pytest.mark.parametrize("edits, least", [(1, 0.95), (2, 0.8)])
+def test_recall_of_edited_passages(documents, edits, least):
+    """Passages of 100 words with so many words replaced, evenly spread, in documents that share nothing else."""
+    rng = random.Random(23)
+    rows = []
+    for k in range(100):
+        p = words(rng, 100)
+        q = list(p)
+        for e in range(edits):
+            q[100 * (2 * e + 1) // (2 * edits)] = "edited"
+        rows += [(k, " ".join([*words(rng, 40), *p, *words(rng, 40)])), (1000 + k, " ".join([*words(rng, 30), *q, *words(rng, 30)]))]
+    found = {r["doc_id"]: r["end_word"] - r["start_word"] for r in S.repeated_passages(documents(rows)).collect() if r["doc_id"] >= 1000}
+    assert sum(found.get(1000 + k, 0) >= 90 for k in range(100)) >= least * 100
+
+
+def test_passages_of_very_long_texts(documents):
+    rng = random.Random(29)
+    p = words(rng, 60)
+    long_ = words(rng, 60_000)
+    long_[30_000:30_060] = p
+    rows = [(1, " ".join(long_)), (2, " ".join([*words(rng, 20), *p])), (3, "x " * 50_000), (4, "x " * 40_000), (5, "y " * 30_000)]
+    got = {(r["doc_id"], r["kept"]): (r["start_word"], r["end_word"]) for r in S.repeated_passages(documents(rows)).collect()}
+    assert got == {(1, True): (30_000, 30_060), (2, False): (20, 80), (3, True): (0, 50_000), (4, False): (0, 40_000)}
+
+
 def test_cutting(documents, spark):
     assert S.without("a b  c\nd e", [(1, 3)]) == "a d e" and S.without("a b", [(0, 2)]) == "" and S.without("a b", []) == "a b"
     docs = documents([(1, "a b c d"), (2, "x y"), (3, None), (None, "q"), (4, "k l")])
@@ -306,6 +376,72 @@ def test_pipeline(spark, sf):
     assert run.agg(F.sum("length")).first()[0] == packed.agg(F.sum("length")).first()[0]
 
 
+def test_stages_on_odd_rows(spark, documents):
+    import corpus_pipeline as C
+
+    rng = random.Random(21)
+    text = " ".join(words(rng, 80))
+    rows = [(1, text, "en", "s"), (1, text, "en", "s"), (2, text, "en", "s"), (None, text, None, None), (3, None, "en", "s"), (4, "", "en", "s"), (5, "12 34", None, "s"), (6, text + " x" * 3000, "en", "s")]
+    docs = documents(rows).withColumn("_gone0", F.lit(1)).withColumn("class", F.lit("c"))
+    named, deduped, cut = docs, None, None
+    for (name, stage), want in zip(C.STAGES[:-1], ([1, 1, 2, None, 6], [1, 1, None, 6], [1, 1, None, 6])):
+        named = stage(spark, named, "")
+        assert named.columns == docs.columns
+        assert sorted((r["doc_id"] for r in named.collect()), key=lambda i: (i is None, i)) == sorted(want, key=lambda i: (i is None, i)), name
+    assert {r["doc_id"]: len(r["text"].split()) for r in named.collect()} == {1: 80, None: 80, 6: 3000}
+    assert sorted(r["doc_id"] or 0 for r in C.STAGES[-1][1](spark, named, "").where("start = 0").collect()) == [0, 1, 1, 6]
+    for _, stage in C.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() on a small table: languages by their words, classes and passages by all pairs, pieces by the library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as C
+
+    rng = random.Random(31)
+    of = {"en": [f"the{i}ing" for i in range(300)], "de": [f"der{i}ung" for i in range(300)]}
+    of = {k: ["".join(chr(97 + (ord(c) - 48)) if c.isdigit() else c for c in w) for w in v] for k, v in of.items()}
+    pick = lambda lang, n: [rng.choice(of[lang]) for _ in range(n)]
+    rows, shared = [], pick("en", 60)
+    for i in range(60):
+        lang = rng.choice(["en", "de"])
+        w = pick(lang, rng.randrange(60, 160))
+        if lang == "en" and i % 3 == 0:
+            w[20:20] = shared
+        rows.append((i, " ".join(w), lang))
+    rows += [(100 + i, rows[i][1], rows[i][2]) for i in range(0, 60, 7)]
+    for i in range(0, 60, 11):
+        w = rows[i][1].split()
+        w[5], w[40] = "edit", "edit"
+        rows.append((200 + i, " ".join(w), rows[i][2]))
+    rows += [(300, "12 34", None), (301, None, "en"), (302, "", "de")]
+    spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {i: t.split() for i, t, _ in rows if t and not t[0].isdigit()}
+    hashed = {i: word_hashes(" ".join(w)) for i, w in texts.items()}
+    ids = sorted(texts)
+    roots = components([(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if N.edit_similarity(hashed[a], hashed[b]) >= 0.8], ids)
+    texts = {i: w for i, w in texts.items() if roots[i] == i}
+    left = {}
+    for i in sorted(texts):
+        gone, seen = set(), {tuple(w[k : k + 50]) for j, w in texts.items() if j < i for k in range(len(w) - 49)}
+        for k in range(len(texts[i]) - 49):
+            if tuple(texts[i][k : k + 50]) in seen:
+                gone.update(range(k, k + 50))
+        left[i] = " ".join(w for k, w in enumerate(texts[i]) if k not in gone)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in left.items() if x}
+    assert sum(len(left[i].split()) < len(w) for i, w in texts.items()) > 5
+    out = C.run(spark, str(tmp_path)).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+    assert {i: p[0][2] for i, p in got.items()} == want
+    assert all(sum(n for _, n, _ in p) == want[i] for i, p in got.items())
+
+
 def test_queries_are_registered(spark):
     import __spark_entry__ as entry
 
