@@ -49,6 +49,12 @@ def median(ts: Column) -> Column:
     return F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.ceil((n + 1) / 2))) / 2)
 
 
+def middle(value: Column, accuracy: int | None = None) -> Column:
+    """The aggregate median: exact, or by a mergeable sketch within 1 / accuracy of the rank for large tables."""
+    half = F.lit(0.5)
+    return F.percentile(value, half) if accuracy is None else F.percentile_approx(value, half, accuracy)
+
+
 def imputed_with_median(ts: Column, zeros: bool = True) -> Column:
     """Missing points (and zeros) replaced by the whole-number median of the non-zero ones, 0 if there is none."""
     m = F.coalesce(F.floor(median(nonzero(ts))), F.lit(0)).cast("long")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.graph import connected_components
+from tidemark.operators.indexing import running_sum
+from tidemark.sources.scratch import written
+
+#: Rows (a bucket with a booking) of a component up to which one task allocates it; larger ones go booking by booking.
+ONE_TASK = 200_000
 
 
 def valid(bookings: DataFrame) -> DataFrame:
@@ -31,19 +38,24 @@ def components(buckets: DataFrame, by_day: bool = True) -> DataFrame:
     return buckets.withColumn("node", name(F.col("ands")[0])).join(connected_components(edges), "node").drop("node")
 
 
-def hwm_allocate(buckets: DataFrame, demand: DataFrame, scope: str = "day") -> DataFrame:
+def hwm_allocate(buckets: DataFrame, demand: DataFrame, scope: str = "day", one_task: int = ONE_TASK) -> DataFrame:
     """day, ands, amount, bk_id, allocated: bookings in order take an equal share of what their buckets have left.
 
     buckets: day, ands, amount. demand: bk_id, rank, per_day (what a booking wants on each of its days), days. Day by
     day, a booking takes per_day / remaining (1 at most) of every bucket of the day that serves it, rounded to whole
     impressions. scope: remaining is what its buckets of that `day` have left, or those of `all_days`. Buckets that
-    share no booking are independent, so each component is one group; its buckets are already summed over all inventory.
+    share no booking are independent. A component of at most one_task rows is one group; in larger ones the components'
+    next bookings are served together, one after another, each by sums over its buckets.
     """
     wanted = demand.select("bk_id", "rank", "per_day", F.explode("days").alias("day"))
-    rows = components(buckets, scope == "day").withColumn("bk_id", F.explode("ands")).join(wanted, ["day", "bk_id"])
+    held = components(buckets, scope == "day").withColumn("bk_id", F.explode("ands")).join(wanted, ["day", "bk_id"])
+    rows = written(held.withColumn("ands", F.array_join("ands", "|")), "booking-rows")
+    keys = ["day", "component"] if scope == "day" else ["component"]
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("rows"))
+    sized = rows.join(sizes, keys)
 
     def allocate(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(bucket=rows["day"] + "\x1e" + rows["ands"].map("\x1f".join))
+        rows = rows.assign(bucket=rows["day"] + "\x1e" + rows["ands"])
         left = rows.groupby("bucket")["amount"].first().astype(float).to_dict()
         of_booking = rows.groupby("bk_id")["bucket"].agg(list).to_dict()
         out = []
@@ -53,11 +65,33 @@ def hwm_allocate(buckets: DataFrame, demand: DataFrame, scope: str = "day") -> D
             for r in own.itertuples():
                 got = int(left[r.bucket] * share + 0.5)
                 left[r.bucket] -= got
-                out.append((r.day, "|".join(r.ands), int(r.amount), bk, got))
+                out.append((r.day, r.ands, int(r.amount), bk, got))
         return pd.DataFrame(out, columns=["day", "ands", "amount", "bk_id", "allocated"])
 
-    keys = ["day", "component"] if scope == "day" else ["component"]
-    return rows.groupBy(*keys).applyInPandas(allocate, "day string, ands string, amount long, bk_id string, allocated long")
+    columns = "day string, ands string, amount long, bk_id string, allocated long"
+    small = sized.where(f"rows <= {one_task}").groupBy(*keys).applyInPandas(allocate, columns)
+    large = written(sized.where(f"rows > {one_task}").drop("rows"), "large-components")
+    return small.union(_by_booking(large, keys)) if large.limit(1).count() else small
+
+
+def _by_booking(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """hwm_allocate of large components: turn k serves the k-th booking of each, and the tables stay distributed."""
+    turns = rows.select(*keys, "day", "rank", "bk_id").distinct() if "day" not in keys else rows.select(*keys, "rank", "bk_id").distinct()
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy("day", "rank", "bk_id"))  # one row a booking and day
+    placed = written(rows.join(turns.withColumn("turn", turn), [*keys, *[c for c in ("day", "rank", "bk_id") if c not in keys]]), "turns")
+    left = written(rows.select("day", "ands", F.col("amount").cast("double").alias("left")).distinct(), "left")
+    found = []
+    for k in range(1, (placed.agg(F.max("turn")).first()[0] or 0) + 1):
+        now = placed.where(F.col("turn") == k)
+        serves = now.select(*keys, "bk_id").distinct()
+        # what is left in the booking's buckets of the scope: with days in the keys those of the day, else of all days
+        remaining = placed.join(serves, [*keys, "bk_id"]).join(left, ["day", "ands"]).groupBy(*keys, "bk_id").agg(F.sum("left").alias("remaining"))
+        share = F.when(F.col("remaining") > 0, F.least(F.col("per_day") / F.col("remaining"), F.lit(1.0))).otherwise(0.0)
+        got = now.join(remaining, [*keys, "bk_id"]).join(left, ["day", "ands"]).withColumn("allocated", F.floor(F.col("left") * share + 0.5).cast("long"))
+        found.append(written(got.select("day", "ands", "amount", "bk_id", "allocated"), "allocated"))
+        taken = found[-1].select("day", "ands", "allocated")
+        left = written(left.join(taken, ["day", "ands"], "left").select("day", "ands", (F.col("left") - F.coalesce("allocated", F.lit(0))).alias("left")), "left")
+    return reduce(DataFrame.union, found)
 
 
 def hwm_resources(keys: DataFrame, allocated: DataFrame) -> DataFrame:
@@ -66,42 +100,61 @@ def hwm_resources(keys: DataFrame, allocated: DataFrame) -> DataFrame:
     keys: day, ands (joined by |), key, n. A booking's whole number is cut at the running shares of the keys in key
     order, so the keys' numbers add up to it and none gets over its rounded-up share.
     """
-    from pyspark.sql import Window
-
-    upto = Window.partitionBy("day", "ands").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     sums = keys.groupBy("day", "ands").agg(F.sum("n").alias("total"))
-    shares = keys.withColumn("upto", F.sum("n").over(upto)).join(sums, ["day", "ands"])
+    shares = running_sum(keys, ["day", "ands"], ["key"], "n", "upto").join(sums, ["day", "ands"])
     j = allocated.where("allocated > 0").select("day", "ands", "bk_id", "allocated").join(shares, ["day", "ands"])
     cut = lambda x: F.floor(F.col("allocated") * x / F.col("total"))
     return j.select("day", "ands", "key", "bk_id", (cut(F.col("upto")) - cut(F.col("upto") - F.col("n"))).cast("long").alias("allocated"))
 
 
-def allocate_batch(buckets: DataFrame, requests: DataFrame) -> DataFrame:
+def allocate_batch(buckets: DataFrame, requests: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """day, ands, request, booked: requests (request, rank, wanted, day) served in order from the buckets that name them.
 
     A request takes what it still wants from its buckets, those that serve fewest others first, and leaves the rest.
+    Components of over one_task rows are served request by request, as in hwm_allocate.
     """
-    rows = components(buckets).withColumn("request", F.explode("ands")).join(requests, ["day", "request"])
+    held = components(buckets).withColumn("request", F.explode("ands")).join(requests, ["day", "request"])
+    rows = written(held.withColumn("width", F.size("ands")).withColumn("ands", F.array_join("ands", "|")), "request-rows")
+    keys = ["day", "component"]
+    sized = rows.join(rows.groupBy(*keys).agg(F.count("*").alias("rows")), keys)
 
     def serve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(bucket=rows["ands"].map("|".join), width=rows["ands"].map(len))
-        left = rows.groupby("bucket")["amount"].first().to_dict()
+        left = rows.groupby("ands")["amount"].first().to_dict()
         out = []
-        for _, own in rows.sort_values(["rank", "request", "width", "bucket"]).groupby(["rank", "request"], sort=True):
+        for _, own in rows.sort_values(["rank", "request", "width", "ands"]).groupby(["rank", "request"], sort=True):
             wanted = int(own["wanted"].iloc[0])
             for r in own.itertuples():
-                got = min(wanted, int(left[r.bucket]))
+                got = min(wanted, int(left[r.ands]))
                 if got:
-                    left[r.bucket] -= got
+                    left[r.ands] -= got
                     wanted -= got
-                    out.append((r.day, r.bucket, r.request, got))
+                    out.append((r.day, r.ands, r.request, got))
         return pd.DataFrame(out, columns=["day", "ands", "request", "booked"])
 
-    return rows.groupBy("day", "component").applyInPandas(serve, "day string, ands string, request string, booked long")
+    columns = "day string, ands string, request string, booked long"
+    small = sized.where(f"rows <= {one_task}").groupBy(*keys).applyInPandas(serve, columns)
+    large = written(sized.where(f"rows > {one_task}").drop("rows"), "large-components")
+    return small.union(_by_request(large)) if large.limit(1).count() else small
+
+
+def _by_request(rows: DataFrame) -> DataFrame:
+    """allocate_batch of large components: turn k serves the k-th request of each; running sums say what it takes."""
+    keys = ["day", "component"]
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "request"))  # one row a request
+    placed = written(rows.join(rows.select(*keys, "rank", "request").distinct().withColumn("turn", turn), [*keys, "rank", "request"]), "turns")
+    left = written(rows.select("day", "ands", F.col("amount").alias("left")).distinct(), "left")
+    found = []
+    for k in range(1, (placed.agg(F.max("turn")).first()[0] or 0) + 1):
+        now = running_sum(placed.where(F.col("turn") == k).join(left, ["day", "ands"]), keys, ["width", "ands"], "left", "upto")
+        got = F.greatest(F.least("left", F.col("wanted") - F.col("upto") + F.col("left")), F.lit(0))
+        found.append(written(now.select("day", "ands", "request", got.cast("long").alias("booked")).where("booked > 0"), "booked"))
+        taken = found[-1].select("day", "ands", "booked")
+        left = written(left.join(taken, ["day", "ands"], "left").select("day", "ands", (F.col("left") - F.coalesce("booked", F.lit(0))).alias("left")), "left")
+    return reduce(DataFrame.union, found)
 
 
 def replace_buckets(old: DataFrame, new: DataFrame) -> DataFrame:
     """old, marked deleted on the days that new has, and new."""
     days = new.select("day").distinct().withColumn("_new", F.lit(True))
-    marked = old.join(F.broadcast(days), "day", "left").select(*old.columns, F.coalesce("_new", F.lit(False)).alias("del"))
+    marked = old.join(days, "day", "left").select(*old.columns, F.coalesce("_new", F.lit(False)).alias("del"))
     return marked.unionByName(new.withColumn("del", F.lit(False)))

@@ -24,6 +24,19 @@ def hourly_sums(inventory: DataFrame, keys: Sequence[str], factor: Column | None
     return inventory.groupBy(*keys).agg(*[F.sum(F.col(h) * times).alias(h) for h in H])
 
 
+def booked_by_channel(fitting: DataFrame, allocated: DataFrame) -> DataFrame:
+    """id, day, booked: what bookings leave a channel short of on each day.
+
+    fitting: id, day, ands, inside: how much of each bucket's inventory fits the channel. allocated: day, ands, amount,
+    allocated: what the bookings have been given of each bucket. A bucket's allocations are served from its inventory
+    outside the channel first; what that can't hold is booked within it. Buckets that the channel doesn't meet can hold
+    all that they have given, so they have no row.
+    """
+    outside = F.col("amount") - F.col("inside")
+    over = fitting.join(allocated, ["day", "ands"]).select("id", "day", F.greatest(F.col("allocated") - outside, F.lit(0)).alias("over"))
+    return over.groupBy("id", "day").agg(F.sum("over").alias("booked")).where("booked > 0")
+
+
 def recursive_estimate(counts: DataFrame, key: str, order: str, value: str, steps: str) -> DataFrame:
     """(key, estimate): `steps` times the mean of a line's next value and the plain mean joins the list; the last one.
 

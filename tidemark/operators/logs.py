@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import day_of, interval_start
 from tidemark.functions.keys import matched_index, sha256_bucket
+from tidemark.operators.indexing import running_sum
 
 # Indexes of genders in cleaned logs.
 GENDER_INDEX = {"g_f": 1, "g_m": 0}
@@ -73,6 +74,18 @@ def rates(logs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return click_show_counts(logs, keys).withColumn("ctr", F.coalesce(F.col("clicks") / F.nullif(F.col("shows"), F.lit(0)), F.lit(0.0)))
 
 
+def cumulative_share(rows: DataFrame, key: str, order: str, into: str) -> DataFrame:
+    """rows with `into`: the share of the key's rows that stand no later in `order`; rows of one value have one share.
+
+    Counts of each value are summed up, so a hot key isn't sorted in one task.
+    """
+    counts = rows.groupBy(key, order).agg(F.count("*").alias("_c"))
+    sums = counts.groupBy(key).agg(F.sum("_c").alias("_all"))
+    upto = running_sum(counts, [key], [order], "_c", "_upto").alias("x").join(sums.alias("y"), F.col(f"x.{key}").eqNullSafe(F.col(f"y.{key}")))
+    shares = upto.select(F.col(f"x.{key}").alias("_key"), F.col(f"x.{order}").alias("_order"), (F.col("_upto") / F.col("_all")).alias(into))
+    return rows.join(shares, rows[key].eqNullSafe(shares["_key"]) & rows[order].eqNullSafe(shares["_order"])).drop("_key", "_order")
+
+
 def region_of(logs: DataFrame, weights: DataFrame, key: str, order: str) -> DataFrame:
     """Each key's rows dealt to regions in proportion to weights (region, weight), in the order of `order`.
 
@@ -82,7 +95,7 @@ def region_of(logs: DataFrame, weights: DataFrame, key: str, order: str) -> Data
     everything = Window.partitionBy(F.lit(0))
     cut = weights.select("region", (F.sum("weight").over(upto) / F.sum("weight").over(everything)).alias("high"))
     cut = cut.withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("region")), F.lit(0.0)))
-    placed = logs.withColumn("place", F.cume_dist().over(Window.partitionBy(key).orderBy(order)))
+    placed = cumulative_share(logs, key, order, "place")
     return placed.join(F.broadcast(cut), (F.col("place") > F.col("low")) & (F.col("place") <= F.col("high"))).drop("low", "high", "place")
 
 

@@ -16,17 +16,27 @@ FEW = 10_000
 def match_channels(channels: DataFrame, inventory: DataFrame, attributes: Sequence[str], how: str = "inner") -> DataFrame:
     """Every inventory row with every channel that it fits: the channel's columns, its lists named tc_<attribute>.
 
-    Up to FEW channels go to the inventory's tasks (their number is checked). More are joined by the attribute that most
-    of them restrict: a list's values are exploded to equi-join keys, and channels without that list go to the tasks.
+    how: inner, or left to keep inventory rows that fit none. Up to FEW channels go to the inventory's tasks (their
+    number is checked). More are joined by keys: every inventory row meets a channel under the channel's value, or the
+    wildcard if its list is empty, of the attribute that most of them restrict, together with that of the next one.
     """
+    if how not in ("inner", "left"):
+        raise ValueError("how is inner or left")
     named = channels.select(*[F.col(c).alias(f"tc_{c}") if c in attributes else F.col(c) for c in channels.columns])
     fits = matches(None, {a: F.col(f"tc_{a}") for a in attributes}, attributes)
-    n = channels.limit(FEW + 1).count()
-    if n <= FEW:
+    if channels.limit(FEW + 1).count() <= FEW:
         return inventory.join(F.broadcast(named), fits, how)
     counts = channels.agg(*[F.count_if(F.size(a) > 0).alias(a) for a in attributes]).first()
-    by = max(attributes, key=lambda a: counts[a])
-    keyed = named.where(F.size(f"tc_{by}") > 0).withColumn("_k", F.explode(F.array_distinct(f"tc_{by}")))
-    some = inventory.join(keyed, (F.col(by) == F.col("_k")) & fits).drop("_k")
-    rest = inventory.join(named.where(F.size(f"tc_{by}") == 0), fits)
-    return some.unionByName(rest)
+    by = sorted(attributes, key=lambda a: -counts[a])[:2]
+    every = F.array(F.lit("*"))
+    keyed, rows = named, inventory
+    for n, a in enumerate(by):  # a value's key has = before it, so no value is the wildcard
+        values = F.transform(F.array_distinct(f"tc_{a}"), lambda v: F.concat(F.lit("="), v))
+        keyed = keyed.withColumn(f"_k{n}", F.explode(F.when(F.size(f"tc_{a}") > 0, values).otherwise(every)))
+        rows = rows.withColumn(f"_k{n}", F.explode(F.array(F.lit("*"), F.concat(F.lit("="), F.coalesce(F.col(a), F.lit(""))))))
+    keys = [f"_k{n}" for n in range(len(by))]
+    found = rows.join(keyed, keys).where(fits).drop(*keys)
+    if how == "inner":
+        return found
+    none = inventory.join(found.select(*[F.col(c).alias(f"_{c}") for c in inventory.columns]).distinct(), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in inventory.columns], "left_anti")
+    return found.unionByName(none, allowMissingColumns=True)

@@ -9,7 +9,7 @@ from tidemark.functions import amounts as M
 from tidemark.operators import booking as B
 from tidemark.operators import inventory as I
 from tidemark.operators.targeting import match_channels
-from tidemark.plans.filters import ATTRIBUTES, users
+from tidemark.plans.filters import ATTRIBUTES, USERS_SQL, users
 from tidemark.plans.inputs import BOOKINGS_SQL, CHANNELS_SQL, INVENTORY_SQL, LOGS_SQL, MATCH_SQL, TBR_SQL, behaviour, bookings, channels, inventory, logs
 from tidemark.plans.registry import query
 
@@ -39,12 +39,33 @@ def booking_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets(spark, sf_dir).withColumn("ands", F.array_join("ands", "|"))
 
 
-@query()
+# Day by day, bookings in order of rank take an equal share of what their buckets have left; one step for each booking
+_HWM = f"""{_SIGNED},
+todo AS (
+  SELECT day, bk_id, per_day, row_number() OVER (PARTITION BY day ORDER BY substr(bk_id, 2), bk_id) AS k
+  FROM (SELECT bk_id, amount / CAST(len(days) AS DOUBLE) AS per_day, unnest(days) AS day FROM bookings)),
+hwm AS (
+  SELECT CAST(0 AS BIGINT) AS k, day, ands, amount, CAST(amount AS DOUBLE) AS remains, CAST(NULL AS VARCHAR) AS bk_id, CAST(0 AS DOUBLE) AS got FROM bb
+  UNION ALL
+  SELECT k + 1, day, ands, amount, remains - g, bk, g
+  FROM (SELECT *, CASE WHEN hit AND pool > 0 THEN floor(remains * least(per_day / pool, 1.0) + 0.5) ELSE 0 END AS g
+        FROM (SELECT h.k, h.day, h.ands, h.amount, h.remains, t.bk_id AS bk, t.per_day, list_contains(string_split(h.ands, '|'), t.bk_id) AS hit,
+                     sum(CASE WHEN list_contains(string_split(h.ands, '|'), t.bk_id) THEN h.remains ELSE 0 END) OVER (PARTITION BY h.day) AS pool
+              FROM hwm h JOIN todo t ON t.day = h.day AND t.k = h.k + 1))),
+alloc AS (SELECT day, ands, amount, bk_id, CAST(got AS BIGINT) AS allocated FROM hwm WHERE bk_id IS NOT NULL AND list_contains(string_split(ands, '|'), bk_id))"""
+_KEYED = """keyed AS (SELECT day, ands, concat_ws(',', m, si, t, g, a, r, hour) AS key, CAST(n AS BIGINT) AS n FROM sig WHERE n > 0),
+shared AS (SELECT *, CAST(sum(n) OVER (PARTITION BY day, ands ORDER BY key) AS BIGINT) AS upto, CAST(sum(n) OVER (PARTITION BY day, ands) AS BIGINT) AS total FROM keyed),
+served AS (
+  SELECT s.day, s.ands, key, bk_id, CAST(floor(allocated * upto / total) - floor(allocated * (upto - n) / total) AS BIGINT) AS allocated
+  FROM shared s JOIN alloc x ON x.day = s.day AND x.ands = s.ands WHERE allocated > 0)"""
+
+
+@query(f"WITH RECURSIVE {_HWM} SELECT * FROM alloc")
 def hwm_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.hwm_allocate(buckets(spark, sf_dir), demand(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {_HWM}, {_KEYED} SELECT * FROM served")
 def hwm_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each bucket's allocations shared out over its keys."""
     allocated = B.hwm_allocate(buckets(spark, sf_dir), demand(spark, sf_dir))
@@ -57,7 +78,10 @@ def signed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.where("n > 0").select("day", "ands", F.concat_ws(",", *_KEYS).alias("key"), "n")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_HWM}, {_KEYED}, per AS (SELECT day, key, bk_id, sum(allocated) AS n FROM served GROUP BY ALL HAVING sum(allocated) > 0)"
+    " SELECT day, key, string_agg(bk_id || '=' || n, ',' ORDER BY bk_id) AS plan FROM per GROUP BY ALL"
+)
 def allocation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each key serves each booking on a day: allocation maps merged key by key."""
     per = B.hwm_resources(signed_keys(spark, sf_dir), B.hwm_allocate(buckets(spark, sf_dir), demand(spark, sf_dir)))
@@ -90,7 +114,7 @@ def minus_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bookings(spark, sf_dir).select("bk_id", "g", "a")
     place = lambda c: F.substring(c, 2, 1).cast("int")
     o = b.select(F.col("bk_id").alias("minus"), F.col("g").alias("g2"), F.col("a").alias("a2"))
-    return b.select("bk_id", "g").join(F.broadcast(o), (F.col("g") == F.col("g2")) & (place("minus") - place("bk_id")).isin(1, 2)).select("bk_id", "minus", "g2", "a2")
+    return b.select("bk_id", "g").join(o, (F.col("g") == F.col("g2")) & (place("minus") - place("bk_id")).isin(1, 2)).select("bk_id", "minus", "g2", "a2")
 
 
 def average_minus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,27 +158,79 @@ def bucket_cross_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucket_parts(spark, sf_dir).select("bk_id", F.round(F.greatest(n, F.lit(0.0)), 4).alias("n"))
 
 
-_AV = f"{INVENTORY_SQL}, {CHANNELS_SQL}, d AS (SELECT tc.id, day, " + ", ".join(f"CAST(sum(h{i}) AS DOUBLE) AS h{i}" for i in range(4)) + f" FROM tc JOIN inv ON {MATCH_SQL} WHERE day BETWEEN '1996' AND '1999' GROUP BY ALL)"
+#: The days asked for, both included, and the most days of one request; a longer or empty one has no answer.
+FIRST_DAY, LAST_DAY, MOST_DAYS = "1996", "1999", 100
+_AV = f"""{_HWM}, {CHANNELS_SQL}, {TBR_SQL},
+d AS (SELECT tc.id, day, {", ".join(f"CAST(sum(h{i}) AS DOUBLE) AS h{i}" for i in range(4))} FROM tc JOIN inv ON {MATCH_SQL} WHERE day BETWEEN '{FIRST_DAY}' AND '{LAST_DAY}' GROUP BY ALL),
+inside AS (SELECT tc.id, inv.day, inv.ands, sum(n) AS inside FROM tc JOIN sig inv ON {MATCH_SQL} WHERE n > 0 AND inv.day BETWEEN '{FIRST_DAY}' AND '{LAST_DAY}' GROUP BY ALL),
+given AS (SELECT day, ands, amount, sum(allocated) AS allocated FROM alloc GROUP BY ALL),
+booked AS (
+  SELECT id, i.day, CAST(sum(greatest(g.allocated - (g.amount - i.inside), 0)) AS BIGINT) AS booked
+  FROM inside i JOIN given g ON g.day = i.day AND g.ands = i.ands GROUP BY ALL),
+people AS (
+  SELECT tc.id, CAST(sum(CASE WHEN list_contains(string_split(ai, '-'), 'ai' || (id % 3)) THEN n ELSE 0 END) AS DOUBLE) AS x, CAST(sum(n) AS DOUBLE) AS y
+  FROM tc JOIN tbr ON (len(tc.g) = 0 OR list_contains(tc.g, tbr.g)) AND (len(tc.a) = 0 OR list_contains(tc.a, tbr.a)) GROUP BY 1),
+share AS (SELECT id, CASE WHEN abs(x - y) <= 0.001 THEN 1 WHEN x = 0 THEN 0 ELSE x / y END AS ratio FROM people)"""
 
 
-def by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inv = inventory(spark, sf_dir).where(F.col("day").between("1996", "1999"))
-    return I.hourly_sums(match_channels(channels(spark, sf_dir), inv, ATTRIBUTES), ["id", "day"])
+def in_days(rows: DataFrame, first: str, last: str) -> DataFrame:
+    """rows of the days from first to last, none if that is more than MOST_DAYS (of the rows') days."""
+    asked = rows.where(F.col("day").between(first, last))
+    few = asked.agg(F.countDistinct("day").between(1, MOST_DAYS).alias("few"))  # one row
+    return asked.join(F.broadcast(few.where("few")), how="cross").drop("few")
 
 
-@query(f"WITH {_AV} SELECT id, round(greatest(sum(CASE WHEN id % 4 >= 0 THEN h0 ELSE 0 END + CASE WHEN id % 4 >= 1 THEN h1 ELSE 0 END + CASE WHEN id % 4 >= 2 THEN h2 ELSE 0 END + CASE WHEN id % 4 >= 3 THEN h3 ELSE 0 END) * 0.8 - greatest(id * 100 - 500, 0), 0), 4) AS available FROM d GROUP BY id")
+def by_day(spark: SparkSession, sf_dir: str, first: str = FIRST_DAY, last: str = LAST_DAY) -> DataFrame:
+    return I.hourly_sums(match_channels(channels(spark, sf_dir), in_days(inventory(spark, sf_dir), first, last), ATTRIBUTES), ["id", "day"])
+
+
+def booked(spark: SparkSession, sf_dir: str, first: str = FIRST_DAY, last: str = LAST_DAY) -> DataFrame:
+    """id, day, booked: what the bookings' allocations take of each channel on each day."""
+    asked = in_days(matched(spark, sf_dir), first, last)
+    of_keys = asked.groupBy("day", *_KEYS).agg(F.array_join(F.sort_array(F.collect_set("bk_id")), "|").alias("ands"), F.first("n").alias("n")).where("n > 0")
+    fitting = match_channels(channels(spark, sf_dir), of_keys, ATTRIBUTES).groupBy("id", "day", "ands").agg(F.sum("n").alias("inside"))
+    given = B.hwm_allocate(buckets(spark, sf_dir), demand(spark, sf_dir)).groupBy("day", "ands", "amount").agg(F.sum("allocated").alias("allocated"))
+    return I.booked_by_channel(fitting, given)
+
+
+def channel_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, ratio: the share of the channel's people who also have its behaviour."""
+    wanted = channels(spark, sf_dir).select("id", "g", "a", F.concat(F.lit("ai"), F.col("id") % 3).alias("want"))
+    j = match_channels(wanted, behaviour(spark, sf_dir), ["g", "a"])
+    hit = F.when(F.array_contains(F.split("ai", "-"), F.col("want")), F.col("n")).otherwise(0)
+    return j.groupBy("id").agg(F.sum(hit).cast("double").alias("x"), F.sum("n").cast("double").alias("y")).select("id", M.behaviour_ratio(F.col("x"), F.col("y")).alias("ratio"))
+
+
+_UPTO = " + ".join(f"CASE WHEN d.id % 4 >= {i} THEN h{i} ELSE 0 END" for i in range(4))
+
+
+@query(
+    f"WITH RECURSIVE {_AV}, n AS (SELECT id, sum({_UPTO}) AS n FROM d GROUP BY 1), b AS (SELECT id, sum(booked) AS b FROM booked GROUP BY 1)"
+    " SELECT n.id, round(greatest(n * coalesce(ratio, 1) - coalesce(b, 0), 0), 4) AS available FROM n LEFT JOIN share ON share.id = n.id LEFT JOIN b ON b.id = n.id"
+)
 def available_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each channel over its days: cumulative by its price category, times its behaviour ratio, less booked overflow."""
+    """Each channel over its days: cumulative by its price category, times its behaviour ratio, less what is booked."""
     n = M.up_to_category([F.col(h) for h in M.H], F.col("id") % 4)
-    s = by_day(spark, sf_dir).groupBy("id").agg(F.sum(n).alias("n"))
-    overflow = F.greatest(F.col("id") * 100 - 500, F.lit(0))
-    return s.select("id", F.round(F.greatest(F.col("n") * F.lit(0.8) - overflow, F.lit(0.0)), 4).alias("available"))
+    sums = by_day(spark, sf_dir).groupBy("id").agg(F.sum(n).alias("n"))
+    taken = booked(spark, sf_dir).groupBy("id").agg(F.sum("booked").alias("booked"))
+    joined = sums.join(channel_ratios(spark, sf_dir), "id", "left").join(taken, "id", "left")
+    left = F.col("n") * F.coalesce("ratio", F.lit(1.0)) - F.coalesce("booked", F.lit(0))
+    return joined.select("id", F.round(F.greatest(left, F.lit(0.0)), 4).alias("available"))
+
 
+_BEFORE = ["", " - h0", " - h0 - h1", " - h0 - h1 - h2"]
 
-@query(f"WITH {_AV} SELECT id, day, round(h0 - greatest(least(h0, 200), 0), 4) AS h0, round(h1 - greatest(least(h1, 200 - h0), 0), 4) AS h1, round(h2 - greatest(least(h2, 200 - h0 - h1), 0), 4) AS h2, round(h3 - greatest(least(h3, 200 - h0 - h1 - h2), 0), 4) AS h3 FROM d")
+
+@query(
+    f"WITH RECURSIVE {_AV}, j AS (SELECT d.*, coalesce(booked, 0) AS b FROM d LEFT JOIN booked ON booked.id = d.id AND booked.day = d.day) SELECT id, day, "
+    + ", ".join(f"round(h{i} - greatest(least(h{i}, b{before}), 0), 4) AS h{i}" for i, before in enumerate(_BEFORE))
+    + " FROM j"
+)
 def daily_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = M.after_booked([F.col(h) for h in M.H], F.lit(200.0))
-    return by_day(spark, sf_dir).select("id", "day", *[F.round(c, 4).alias(h) for c, h in zip(left, M.H)])
+    """What bookings leave of each channel's day, taken from the cheapest category first."""
+    joined = by_day(spark, sf_dir).join(booked(spark, sf_dir), ["id", "day"], "left")
+    left = M.after_booked([F.col(h) for h in M.H], F.coalesce("booked", F.lit(0)).cast("double"))
+    return joined.select("id", "day", *[F.round(c, 4).alias(h) for c, h in zip(left, M.H)])
 
 
 @query(f"WITH {INVENTORY_SQL}, {CHANNELS_SQL}, ratio(r, ratio) AS (VALUES ('0', 0.5), ('1', 0.5), ('2', 0.25)) SELECT tc.id, hour, round(CAST(sum(({_SUM}) * coalesce(ratio, 1.0)) AS DOUBLE), 4) AS n FROM tc JOIN inv ON {MATCH_SQL} LEFT JOIN ratio ON ratio.r = inv.r GROUP BY ALL")
@@ -165,7 +241,18 @@ def hourly_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("id", "hour", F.round(M.total_of([F.col(h) for h in M.H]), 4).alias("n"))
 
 
-@query()
+_LINE = "list_sum(list_transform(range(len(y)), lambda i: (i - (len(y) - 1) / 2.0) * y[i + 1])) / list_sum(list_transform(range(len(y)), lambda i: (i - (len(y) - 1) / 2.0) * (i - (len(y) - 1) / 2.0)))"
+
+
+@query(f"""WITH RECURSIVE {USERS_SQL},
+u AS (SELECT aid, CAST(day AS DATE) AS day, unnest(kws) AS keyword FROM users),
+w AS (SELECT keyword, aid, unnest([day - 2, day - 1, day]) AS first FROM u),
+c AS (SELECT keyword, first, CAST(count(DISTINCT aid) AS DOUBLE) AS n FROM w GROUP BY ALL),
+e AS (
+  SELECT keyword, 0 AS step, list(n ORDER BY first) AS y FROM c GROUP BY 1
+  UNION ALL
+  SELECT keyword, step + 1, list_append(y, (2 * list_avg(y) + (CASE WHEN len(y) < 2 THEN 0 ELSE {_LINE} END) * (len(y) + 1) / 2.0) / 2) FROM e WHERE step < 5)
+SELECT keyword, round(y[len(y)], 4) AS estimate FROM e WHERE step = 5""")
 def user_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct users of each keyword in sliding windows of three days, carried on by a line and a mean five times."""
     u = users(spark, sf_dir).select("aid", F.to_date("day").alias("day"), F.explode("kws").alias("keyword"))
@@ -174,20 +261,35 @@ def user_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.recursive_estimate(counts, "keyword", "first", "n", "steps").withColumn("estimate", F.round("estimate", 4))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SIGNED},
+todo AS (
+  SELECT day, bk_id, wanted, row_number() OVER (PARTITION BY day ORDER BY substr(bk_id, 2), bk_id) AS k
+  FROM (SELECT bk_id, amount // 10 AS wanted, unnest(days) AS day FROM bookings)),
+served AS (
+  SELECT CAST(0 AS BIGINT) AS k, day, ands, amount AS remains, CAST(NULL AS VARCHAR) AS request, CAST(0 AS BIGINT) AS booked FROM bb
+  UNION ALL
+  SELECT k + 1, day, ands, remains - got, bk, got
+  FROM (SELECT *, CASE WHEN hit THEN CAST(greatest(least(remains, wanted - coalesce(before, 0)), 0) AS BIGINT) ELSE 0 END AS got
+        FROM (SELECT s.k, s.day, s.ands, s.remains, t.bk_id AS bk, t.wanted, list_contains(string_split(s.ands, '|'), t.bk_id) AS hit,
+                     sum(CASE WHEN list_contains(string_split(s.ands, '|'), t.bk_id) THEN s.remains ELSE 0 END)
+                       OVER (PARTITION BY s.day ORDER BY len(string_split(s.ands, '|')), s.ands ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+              FROM served s JOIN todo t ON t.day = s.day AND t.k = s.k + 1)))
+SELECT day, ands, request, booked FROM served WHERE booked > 0""")
 def allocate_booking_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests in order against the buckets of each day: a request takes what it still wants from each, cheapest first."""
     requests = bookings(spark, sf_dir).select(F.col("bk_id").alias("request"), F.expr("substring(bk_id, 2)").alias("rank"), (F.col("amount") / 10).cast("long").alias("wanted"), F.explode("days").alias("day"))
     return B.allocate_batch(buckets(spark, sf_dir), requests)
 
 
-@query(f"WITH {_SIGNED} SELECT b.bk_id, b.bk_id IN ('b1F', 'b3O') AS del, CAST(coalesce(sum(CASE WHEN b.bk_id IN ('b1F', 'b3O') THEN 0 ELSE bb.amount // 10 END), 0) AS BIGINT) AS allocated FROM bookings b LEFT JOIN (SELECT unnest(string_split(ands, '|')) AS bk, amount FROM bb) bb ON bk = b.bk_id GROUP BY 1")
+@query(
+    f"WITH RECURSIVE {_HWM} SELECT b.bk_id, b.bk_id IN ('b1F', 'b3O') AS del, CAST(coalesce(sum(CASE WHEN b.bk_id IN ('b1F', 'b3O') THEN 0 ELSE allocated END), 0) AS BIGINT) AS allocated"
+    " FROM bookings b LEFT JOIN alloc ON alloc.bk_id = b.bk_id GROUP BY 1"
+)
 def cancel_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two bookings are marked deleted and their allocation in every bucket becomes 0."""
     gone = F.col("bk_id").isin("b1F", "b3O")
-    held = buckets(spark, sf_dir).withColumn("allocated", F.map_from_entries(F.transform("ands", lambda b: F.struct(b, F.expr("amount div 10")))))
-    held = held.withColumn("allocated", F.transform_values("allocated", lambda k, v: F.when(k.isin("b1F", "b3O"), F.lit(0).cast("long")).otherwise(v)))
-    sums = held.select(F.explode("allocated").alias("bk_id", "n")).groupBy("bk_id").agg(F.sum("n").alias("n"))
+    held = B.hwm_allocate(buckets(spark, sf_dir), demand(spark, sf_dir)).withColumn("allocated", F.when(gone, F.lit(0)).otherwise(F.col("allocated")))
+    sums = held.groupBy("bk_id").agg(F.sum("allocated").alias("n"))
     return bookings(spark, sf_dir).select("bk_id").join(sums, "bk_id", "left").select("bk_id", gone.alias("del"), F.coalesce("n", F.lit(0)).cast("long").alias("allocated"))
 
 

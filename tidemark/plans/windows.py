@@ -51,8 +51,8 @@ def win_row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LOGS_SQL}, c AS (SELECT event_id, cume_dist() OVER (PARTITION BY keyword ORDER BY event_id) AS d FROM logs) SELECT event_id, CASE WHEN d <= 0.5 THEN 'r1' WHEN d <= 0.8 THEN 'r2' ELSE 'r3' END AS region FROM c")
 def win_cume_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.cume_dist().over(Window.partitionBy("keyword").orderBy("event_id"))
-    return logs(spark, sf_dir).select("event_id", F.when(d <= 0.5, "r1").when(d <= 0.8, "r2").otherwise("r3").alias("region"))
+    placed = L.cumulative_share(logs(spark, sf_dir).select("keyword", "event_id"), "keyword", "event_id", "d")
+    return placed.select("event_id", F.when(F.col("d") <= 0.5, "r1").when(F.col("d") <= 0.8, "r2").otherwise("r3").alias("region"))
 
 
 @query(f"WITH {LOGS_SQL} SELECT aid, string_agg(keyword, ',' ORDER BY sec, event_id) AS keywords FROM logs GROUP BY 1")
