@@ -106,6 +106,73 @@ def test_allocation_keeps_within_amounts(spark, sf):
     assert j.where("not (k <=> allocated)").count() == 0
 
 
+def test_large_components_are_allocated_booking_by_booking(spark):
+    import random
+
+    rng = random.Random(5)
+    names = [f"b{i}" for i in range(5)]
+    rows = {(d, tuple(sorted(rng.sample(names, rng.randrange(1, 4))))): rng.randrange(50, 900) for d in ("d1", "d2") for _ in range(9)}
+    bb = spark.createDataFrame([(d, list(a), n) for (d, a), n in rows.items()], "day string, ands array<string>, amount long")
+    demand = spark.createDataFrame([(b, i % 3, 300.0 + 70 * i, ["d1", "d2"]) for i, b in enumerate(names)], "bk_id string, rank int, per_day double, days array<string>")
+    for scope in ("day", "all_days"):
+        one, many = ({tuple(r) for r in B.hwm_allocate(bb, demand, scope, few).collect()} for few in (10**6, 0))
+        assert one == many and sum(r[4] for r in one) > 1000
+    requests = spark.createDataFrame([(b, i % 3, 400 + 90 * i, d) for i, b in enumerate(names) for d in ("d1", "d2")], "request string, rank int, wanted long, day string")
+    one, many = ({tuple(r) for r in B.allocate_batch(bb, requests, few).collect()} for few in (10**6, 0))
+    assert one == many and len(one) > 10
+
+
+def test_running_sums_and_shares_of_hot_keys(spark):
+    import random
+
+    from tidemark.operators.indexing import running_sum
+    from tidemark.operators.logs import cumulative_share
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.randrange(9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, i long, n long").repartition(5)
+    got = {(r["k"], r["i"]): r["s"] for r in running_sum(df, ["k"], ["i"], "n", "s").collect()}
+    assert got == {(k, i): sum(n for q, j, n in rows if q == k and j <= i) for k, i, _ in rows}
+    got = sorted((r["k"] or "", r["n"], round(r["p"], 9)) for r in cumulative_share(df.select("k", "n"), "k", "n", "p").collect())
+    assert got == sorted((k or "", n, round(sum(q == k and m <= n for q, _, m in rows) / sum(q == k for q, _, _ in rows), 9)) for k, _, n in rows)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_channels_beyond_the_few(spark, monkeypatch, how):
+    from tidemark.operators import targeting as T
+
+    channels = spark.createDataFrame([(1, ["x"], []), (2, [], ["p", "q"]), (3, [], []), (4, ["x", "y"], ["p"]), (5, ["none"], [])], "id int, g array<string>, a array<string>").where("id <> 3")
+    rows = spark.createDataFrame([("x", "p", 1), ("y", "p", 2), ("z", "z", 3), ("x", None, 4), ("*", "q", 5), ("x", "p", 1)], "g string, a string, n int")
+    few = sorted(map(repr, T.match_channels(channels, rows, ["g", "a"], how).select("g", "a", "n", "id", "tc_g", "tc_a").collect()))
+    monkeypatch.setattr(T, "FEW", 0)
+    assert sorted(map(repr, T.match_channels(channels, rows, ["g", "a"], how).select("g", "a", "n", "id", "tc_g", "tc_a").collect())) == few
+    assert len(few) == (10 if how == "inner" else 11)
+
+
+def test_recall_of_the_coarse_index(spark, sf):
+    import numpy as np
+
+    from tidemark.operators.similarity import top_similar_in_cells
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(30, 16))[rng.integers(0, 30, 1500)] * 3 + rng.normal(size=(1500, 16))
+    grouped = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    for df, n, cells, probes in ((grouped, 10, 16, 3), (spark.read.parquet(f"{sf}/embeddings.parquet"), 5, 16, 12)):
+        queries = df.where("vec_id % 7 = 0").select("vec_id")
+        exact = {r["a"]: {b["b"] for b in r["near"]} for r in top_similar(df, n, queries=queries).collect()}
+        found = {r["a"]: {b["b"] for b in r["near"]} for r in top_similar_in_cells(df, n, cells, probes, queries=queries).collect()}
+        assert found.keys() == exact.keys() and sum(len(found[a] & exact[a]) for a in exact) >= 0.9 * sum(map(len, exact.values()))
+
+
+def test_booked_inventory(spark):
+    from tidemark.operators.inventory import booked_by_channel
+
+    fitting = spark.createDataFrame([(1, "d", "a|b", 40), (1, "d", "a", 100), (2, "d", "a|b", 100), (1, "e", "a", 10)], "id int, day string, ands string, inside long")
+    given = spark.createDataFrame([("d", "a|b", 100, 70), ("d", "a", 150, 20), ("e", "a", 10, 10)], "day string, ands string, amount long, allocated long")
+    # of the first bucket 60 lie outside channel 1 and serve 60 of 70; channel 2 has all of it
+    assert {(r["id"], r["day"]): r["booked"] for r in booked_by_channel(fitting, given).collect()} == {(1, "d"): 10, (2, "d"): 70, (1, "e"): 10}
+
+
 def test_regression(spark):
     rows = [("a", i, y) for i, y in enumerate([1.1, 2.2, 3.3, 4.4, 500.0])] + [("b", i, y) for i, y in enumerate([1.0, 20.0, 300.0, 4000.0, 50000.0])]
     df = spark.createDataFrame(rows, "k string, i int, y double").groupBy("k").agg((F.regr_intercept("y", "i") + 5 * F.regr_slope("y", "i")).alias("n"))

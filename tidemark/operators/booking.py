@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.amounts import behaviour_ratio
 from tidemark.operators.graph import connected_components
 from tidemark.operators.indexing import running_sum
 from tidemark.sources.scratch import written
@@ -21,14 +22,44 @@ def valid(bookings: DataFrame) -> DataFrame:
     return bookings.where("days is not null and query is not null and bk_id is not null and amount is not null and not coalesce(del, false)")
 
 
-def booking_buckets(matched: DataFrame, key: list[str], day: str = "day", amount: str = "amount") -> DataFrame:
+def booking_buckets(matched: DataFrame, key: list[str], day: str = "day", amount: str = "amount", mode: str = "exact", people: DataFrame | None = None) -> DataFrame:
     """day, ands, amount: the inventory of each day cut by which bookings it serves; without bookings and empty ones go.
 
     matched: one row for each inventory key, day and booking that it fits (bk_id), with the key's amount. The distinct
-    sets of bookings that occur are the non-zero pieces of the partition, whatever their number.
+    sets of bookings that occur are the non-zero pieces of the partition, whatever their number. mode "tbr" takes
+    behaviour into account: what all of a set's bookings fit, times the share of its people who have all their
+    behaviours, less what other bookings fit of it, times the mean share of the sets that are one booking larger,
+    weighted by their inventory. people: fits and has (arrays of bookings that some people fit, and of those whose
+    behaviour they have) and n.
     """
     signature = matched.groupBy(day, *key).agg(F.sort_array(F.collect_set("bk_id")).alias("ands"), F.first(amount).alias("_n"))
-    return signature.groupBy(day, "ands").agg(F.sum("_n").alias(amount)).where(F.col(amount) > 0)
+    exact = signature.groupBy(day, "ands").agg(F.sum("_n").alias(amount)).where(F.col(amount) > 0)
+    if mode == "exact":
+        return exact
+    exact = written(exact.select(F.col(day).alias("day"), "ands", F.col(amount).alias("n")), "exact-buckets")
+    # every set, and every set with one booking more of those that stand with it
+    wide = exact.select("day", F.col("ands").alias("set"), F.explode("ands").alias("member"), "n")
+    sets = exact.select("day", "ands")
+    held = sets.withColumn("member", F.col("ands")[0]).join(wide, ["day", "member"]).where(F.size(F.array_except("ands", "set")) == 0)
+    whole = held.groupBy("day", "ands").agg(F.sum("n").alias("p"))
+    more = held.select("day", "ands", F.explode(F.array_except("set", "ands")).alias("other"), "n").groupBy("day", "ands", "other").agg(F.sum("n").alias("q"))
+    more = more.withColumn("with", F.array_sort(F.array_union("ands", F.array("other"))))
+    shares = written(_set_shares(sets.select("ands").union(more.select("with")).distinct(), people), "set-shares")
+    others = more.join(shares.withColumnRenamed("ands", "with"), "with").groupBy("day", "ands").agg((F.sum(F.col("q") * F.col("t")) / F.sum("q")).alias("mean"))
+    joined = exact.join(whole, ["day", "ands"]).join(shares, "ands").join(others, ["day", "ands"], "left")
+    n = F.col("p") * F.col("t") - (F.col("p") - F.col("n")) * F.coalesce("mean", F.lit(0.0))
+    return joined.select(F.col("day").alias(day), "ands", F.when(F.col("t") > 0, n).otherwise(0.0).cast("long").alias(amount)).where(F.col(amount) > 0)
+
+
+def _set_shares(sets: DataFrame, people: DataFrame) -> DataFrame:
+    """ands, t: of the people whom all of a set's bookings fit, the share who have all their behaviours."""
+    known = people.select(F.monotonically_increasing_id().alias("who"), "fits", "has", "n")
+    known = written(known, "people").withColumn("member", F.explode("fits"))
+    met = sets.withColumn("member", F.col("ands")[0]).join(known, "member").where(F.size(F.array_except("ands", "fits")) == 0)
+    has = F.when(F.size(F.array_except("ands", "has")) == 0, F.col("n")).otherwise(0)
+    sums = met.groupBy("ands").agg(F.sum(has).cast("double").alias("x"), F.sum("n").cast("double").alias("y"))
+    joined = sets.join(sums, "ands", "left")
+    return joined.select("ands", F.coalesce(behaviour_ratio(F.col("x"), F.col("y")), F.lit(0.0)).alias("t"))
 
 
 def components(buckets: DataFrame, by_day: bool = True) -> DataFrame:

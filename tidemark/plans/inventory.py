@@ -39,6 +39,37 @@ def booking_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets(spark, sf_dir).withColumn("ands", F.array_join("ands", "|"))
 
 
+_TBR = f"""{_SIGNED}, {TBR_SQL},
+people AS (
+  SELECT k, list(bk_id) AS fits, list(bk_id) FILTER (list_contains(string_split(ai, '-'), 'ai' || (CAST(substr(bk_id, 2, 1) AS INT) % 3))) AS has, any_value(n) AS n
+  FROM (SELECT *, row_number() OVER () AS k FROM tbr) tbr JOIN query q ON list_contains(q.g, tbr.g) AND list_contains(q.a, tbr.a) GROUP BY k),
+ex AS (SELECT day, string_split(ands, '|') AS s, CAST(amount AS BIGINT) AS n FROM bb),
+held AS (SELECT x.day, x.s, y.s AS big, y.n FROM ex x JOIN ex y ON x.day = y.day AND list_has_all(y.s, x.s)),
+whole AS (SELECT day, s, sum(n) AS p FROM held GROUP BY ALL),
+more AS (SELECT day, s, other, sum(n) AS q, list_sort(list_append(s, other)) AS wider FROM (SELECT day, s, n, unnest(list_filter(big, lambda b: NOT list_contains(s, b))) AS other FROM held) GROUP BY day, s, other),
+asked AS (SELECT s FROM ex UNION SELECT wider FROM more),
+counted AS (
+  SELECT s, CAST(coalesce(sum(CASE WHEN list_has_all(coalesce(has, CAST([] AS VARCHAR[])), s) THEN n ELSE 0 END), 0) AS DOUBLE) AS x, CAST(coalesce(sum(n), 0) AS DOUBLE) AS y
+  FROM asked LEFT JOIN people ON list_has_all(fits, s) GROUP BY 1),
+shares AS (SELECT s, CASE WHEN y = 0 THEN 0 WHEN abs(x - y) <= 0.001 THEN 1 WHEN x = 0 THEN 0 ELSE x / y END AS t FROM counted),
+means AS (SELECT day, more.s, sum(q * t) / sum(q) AS mean FROM more JOIN shares ON shares.s = wider GROUP BY ALL),
+cut AS (
+  SELECT ex.day, ex.s, CASE WHEN t > 0 THEN CAST(trunc(p * t - (p - n) * coalesce(mean, 0)) AS BIGINT) ELSE 0 END AS amount
+  FROM ex JOIN whole ON whole.day = ex.day AND whole.s = ex.s JOIN shares ON shares.s = ex.s LEFT JOIN means ON means.day = ex.day AND means.s = ex.s)"""
+
+
+@query(f"WITH {_TBR} SELECT day, array_to_string(s, '|') AS ands, amount FROM cut WHERE amount > 0")
+def booking_buckets_tbr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of people who also have the bookings' behaviours."""
+    b = bookings(spark, sf_dir).select("bk_id", "g", "a", F.concat(F.lit("ai"), F.substring("bk_id", 2, 1).cast("int") % 3).alias("want"))
+    t = behaviour(spark, sf_dir)
+    j = match_channels(b, t.select("g", "a", "ai", "n", F.struct(*t.columns).alias("who")), ["g", "a"])
+    has = F.when(F.array_contains(F.split("ai", "-"), F.col("want")), F.col("bk_id"))
+    people = j.groupBy("who").agg(F.collect_set("bk_id").alias("fits"), F.collect_set(has).alias("has"), F.first("n").alias("n"))
+    cut = B.booking_buckets(matched(spark, sf_dir), _KEYS, amount="n", mode="tbr", people=people.drop("who"))
+    return cut.select("day", F.array_join("ands", "|").alias("ands"), F.col("n").alias("amount"))
+
+
 # Day by day, bookings in order of rank take an equal share of what their buckets have left; one step for each booking
 _HWM = f"""{_SIGNED},
 todo AS (

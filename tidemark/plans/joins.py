@@ -108,7 +108,8 @@ def join_seed_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators.similarity import top_similar
 
     seeds = logs(spark, sf_dir).where("is_click = 1 and keyword = 'kw1'").select(F.expr("substring(aid, 2)").cast("long").alias("a")).distinct()
-    return top_similar(table(spark, sf_dir, "embeddings"), 5, within="label").join(seeds, "a").select("a", F.explode("near").alias("n")).select("a", F.col("n.b").alias("b"))
+    near = top_similar(table(spark, sf_dir, "embeddings"), 5, within="label", queries=seeds)
+    return near.select("a", F.explode("near").alias("n")).select("a", F.col("n.b").alias("b"))
 
 
 @query(f"WITH {FACT_SQL}, k AS (SELECT DISTINCT uckey, {BUCKET_SQL.format('uckey', 10)} AS bucket_id FROM fact) SELECT count(*) AS keys, count(DISTINCT uckey) AS distinct_keys, count(*) - count(DISTINCT uckey) AS in_two FROM k")

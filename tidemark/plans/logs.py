@@ -102,7 +102,8 @@ _EXT = f"{LOGS_SQL}, {VECTORS_SQL}, seeds AS (SELECT DISTINCT CAST(substr(aid, 2
 
 def extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = logs(spark, sf_dir).where("is_click = 1 and keyword = 'kw1'").select(F.expr("substring(aid, 2)").cast("long").alias("a")).distinct()
-    near = V.top_similar(table(spark, sf_dir, "embeddings"), 5, within="label").join(seeds, "a").select(F.explode("near").alias("n")).select(F.col("n.b").alias("id")).distinct()
+    near = V.top_similar(table(spark, sf_dir, "embeddings"), 5, within="label", queries=seeds)
+    near = near.select(F.explode("near").alias("n")).select(F.col("n.b").alias("id")).distinct()
     return near.join(seeds.withColumnRenamed("a", "id"), "id", "left_anti")
 
 

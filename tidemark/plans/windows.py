@@ -9,7 +9,7 @@ from tidemark.functions import series as Z
 from tidemark.functions.keys import part
 from tidemark.operators import logs as L
 from tidemark.operators.indexing import bucketed_row_index, dense_index
-from tidemark.operators.similarity import merged_top, top_similar
+from tidemark.operators.similarity import merged_top, top_similar, top_similar_in_cells
 from tidemark.plans.aggregates import COUNTS_SQL, daily_logs
 from tidemark.plans.filters import IMP, NONZERO
 from tidemark.plans.inputs import FACT_SQL, LOGS_SQL, SERIES_SQL, fact, logs, raw_events, series, table
@@ -92,6 +92,13 @@ def topk_similar_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("a", F.array_join(F.transform("near", lambda n: n["b"].cast("string")), ",").alias("near"), F.round(F.aggregate("near", F.lit(0.0), lambda s, n: s + n["score"]), 3).alias("total"))
 
 
+@query()
+def topk_coarse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all vectors by a coarse index of 16 cells. These vectors lie about evenly, so many are probed."""
+    t = top_similar_in_cells(table(spark, sf_dir, "embeddings"), 5, 16, 12)
+    return t.select("a", F.array_join(F.transform("near", lambda n: n["b"].cast("string")), ",").alias("near"))
+
+
 @query(f"WITH {VECTORS_SQL} SELECT a, string_agg(CAST(b AS VARCHAR), ',' ORDER BY round(score, 9) DESC, b) AS near FROM top GROUP BY 1")
 def topk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best five of two halves of the vectors' neighbours, merged."""
