@@ -356,24 +356,58 @@ def denoise_low(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series(spark, sf_dir).withColumn("ts", Z.denoised(F.col("ts"), 1.5)).select("uckey", "price_cat", text_of("ts").alias("ts"))
 
 
-@query()
+def _medians_sql(x: str, w: str) -> str:
+    """Centered medians of w of the seven points of list x, taken from the nearest full window at the ends."""
+    centre = f"greatest(least(i, 7 - (({w}) - 1) // 2), 1 + ({w}) // 2)"
+    return f"list_transform(range(1, 8), lambda i: list_aggregate({x}[{centre} - ({w}) // 2 : {centre} + (({w}) - 1) // 2], 'median'))"
+
+
+def _hampel_sql(sigmas: float) -> str:
+    """Tables z (x, the series with zeros) and o (m, the medians; far; out) after it."""
+    return f"""
+m AS (SELECT *, {_medians_sql("x", "4")} AS m FROM z),
+f AS (SELECT *, list_transform(range(1, 8), lambda i: abs(x[i] - m[i])) AS far FROM m),
+d AS (SELECT *, {_medians_sql("far", "4")} AS mad FROM f),
+o AS (SELECT *, list_transform(range(1, 8), lambda i: far[i] >= CAST({sigmas} AS DOUBLE) * CAST(1.4826 AS DOUBLE) * mad[i] AND far[i] > 0) AS out FROM d)"""
+
+
+_ZEROED = f"{SERIES_SQL}, z AS (SELECT uckey, price_cat, list_transform(ts, lambda v: CAST(coalesce(v, 0) AS DOUBLE)) AS x FROM series)"
+_HAMPEL = f"WITH {_ZEROED}, {_hampel_sql(1.5)}"
+_OUTLIERS = "CAST(len(list_filter(out, lambda b: b)) AS INT) AS outliers"
+_BAND = f"""WITH {_ZEROED},
+b AS (SELECT *, greatest(list_aggregate(x, 'quantile_cont', 0.1), 4.0) AS lo, list_aggregate(x, 'quantile_cont', 0.9) AS hi, least(greatest(3, 2 * len(list_filter(x, lambda v: v = 0))), 7) AS w FROM z),
+m AS (SELECT *, {_medians_sql("x", "w")} AS m FROM b)"""
+
+
+@query(f"{_BAND} SELECT uckey, price_cat, array_to_string(list_transform(range(1, 8), lambda i: CAST(round(CASE WHEN x[i] BETWEEN lo AND hi THEN x[i] ELSE m[i] END, 4) AS VARCHAR)), ',') AS ts FROM m")
 def denoise_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against a brute-force form in the tests: rolling windows depend on each series' zeros."""
+    """Rolling windows depend on each series' zeros."""
     return series(spark, sf_dir).select("uckey", "price_cat", Z.denoised_band(F.col("ts"), 0.1, 0.9).alias("ts")).withColumn("ts", F.array_join(F.transform("ts", lambda x: F.round(x, 4).cast("string")), ","))
 
 
-@query()
+@query(f"{_HAMPEL} SELECT uckey, price_cat, {_OUTLIERS} FROM o")
 def hampel_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series(spark, sf_dir).select("uckey", "price_cat", Z.hampel(F.col("ts"), 2, 1.5)["outliers"].alias("outliers"))
 
 
-@query()
+@query(f"{_HAMPEL} SELECT uckey, price_cat, array_to_string(list_transform(range(1, 8), lambda i: CAST(round(CASE WHEN out[i] THEN m[i] ELSE x[i] END, 4) AS VARCHAR)), ',') AS ts, {_OUTLIERS} FROM o")
 def hampel_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = series(spark, sf_dir).select("uckey", "price_cat", Z.hampel(F.col("ts"), 2, 1.5).alias("h"))
     return h.select("uckey", "price_cat", F.array_join(F.transform("h.ts", lambda x: F.round(x, 4).cast("string")), ",").alias("ts"), "h.outliers")
 
 
-@query()
+_MENDED = ", ".join(
+    "CAST(ts[1] AS DOUBLE) AS d1" if i == 1 else f"CAST(ts[{i}] AS DOUBLE) AS d{i}" if i == 7
+    else f"CASE WHEN out[{i}] AND d{i - 1} IS NOT NULL AND ts[{i}] IS NOT NULL AND ts[{i + 1}] IS NOT NULL THEN (d{i - 1} + ts[{i + 1}]) / 2 ELSE CAST(ts[{i}] AS DOUBLE) END AS d{i}"
+    for i in range(1, 8)
+)
+
+
+@query(
+    f"WITH {SERIES_SQL}, t AS (SELECT unnest(range(1, 8)) AS pos, unnest(ts) AS n FROM series), z AS (SELECT list(CAST(n AS DOUBLE) ORDER BY pos) AS x FROM (SELECT pos, sum(coalesce(n, 0)) AS n FROM t GROUP BY 1)), {_hampel_sql(1.0)},"
+    f" mended AS (SELECT uckey, price_cat, {_MENDED} FROM series, o)"
+    " SELECT uckey, price_cat, array_to_string(list_transform([d1, d2, d3, d4, d5, d6, d7], lambda v: coalesce(CAST(round(v, 4) AS VARCHAR), '-')), ',') AS ts FROM mended"
+)
 def global_outlier_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = S.global_outlier_fix(series(spark, sf_dir), 2, 1.0)
     return fixed.select("uckey", "price_cat", F.array_join(F.transform("ts", lambda x: F.round(x, 4).cast("string")), ",", "-").alias("ts"))
