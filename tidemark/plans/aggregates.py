@@ -15,7 +15,11 @@ from tidemark.plans.inputs import BOOKINGS_SQL, FACT_SQL, INVENTORY_SQL, LOGS_SQ
 from tidemark.plans.registry import query
 
 _C = "CAST(sum(cnt) AS BIGINT)"
-COUNTS_SQL = f"{LOGS_SQL}, c AS (SELECT aid, sec - sec % 86400 AS interval, kwi, CAST(sum(is_click) AS BIGINT) AS clicks, CAST(sum(CASE WHEN is_click = 0 THEN 1 ELSE 0 END) AS BIGINT) AS shows FROM logs GROUP BY ALL)"
+COUNTS_SQL = f"""
+{LOGS_SQL},
+c AS (SELECT aid, sec - sec % 86400 AS interval, kwi, CAST(sum(is_click) AS BIGINT) AS clicks,
+  CAST(sum(CASE WHEN is_click = 0 THEN 1 ELSE 0 END) AS BIGINT) AS shows
+FROM logs GROUP BY ALL)"""
 
 
 def daily_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,32 +31,51 @@ def agg_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.daily_counts(fact(spark, sf_dir)).withColumnRenamed("count", "n")
 
 
-@query(f"WITH {FACT_SQL}, d AS (SELECT uckey, price_cat, day, {_C} AS n FROM fact GROUP BY ALL) SELECT uckey, price_cat, string_agg(strftime(day, '%Y%m%d') || ':' || n, ',' ORDER BY day) AS counts FROM d GROUP BY ALL")
+@query(f"""
+WITH {FACT_SQL},
+d AS (SELECT uckey, price_cat, day, {_C} AS n
+FROM fact GROUP BY ALL) SELECT uckey, price_cat, string_agg(strftime(day, '%Y%m%d') || ':' || n, ','
+ORDER BY day) AS counts FROM d GROUP BY ALL""")
 def agg_collect_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = S.daily_counts(fact(spark, sf_dir))
     m = d.groupBy("uckey", "price_cat").agg(F.map_from_entries(F.collect_list(F.struct(F.date_format("day", "yyyyMMdd").alias("day"), "count"))).alias("m"))
     return m.select("uckey", "price_cat", F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias("counts"))
 
 
-@query("SELECT c_nationkey, string_agg(c_name, '|' ORDER BY c_name) AS names, string_agg(c_mktsegment, '|' ORDER BY c_name) AS segments FROM customer GROUP BY 1")
+@query("""
+SELECT c_nationkey, string_agg(c_name, '|'
+ORDER BY c_name) AS names, string_agg(c_mktsegment, '|'
+ORDER BY c_name) AS segments FROM customer
+GROUP BY 1""")
 def agg_collect_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("c_name", "c_mktsegment")))
     g = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(rows.alias("r"))
     return g.select("c_nationkey", F.array_join("r.c_name", "|").alias("names"), F.array_join("r.c_mktsegment", "|").alias("segments"))
 
 
-@query("WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2) SELECT c_nationkey, c_mktsegment, round(n / CAST(sum(n) OVER (PARTITION BY c_nationkey) AS DOUBLE), 9) AS share FROM c")
+@query("""
+WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n
+FROM customer GROUP BY 1, 2) SELECT c_nationkey, c_mktsegment, round(n / CAST(sum(n) OVER (PARTITION BY c_nationkey) AS DOUBLE), 9) AS share
+FROM c""")
 def agg_value_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
     return c.join(c.groupBy("c_nationkey").agg(F.sum("n").alias("total")), "c_nationkey").select("c_nationkey", "c_mktsegment", F.round(F.col("n") / F.col("total"), 9).alias("share"))
 
 
-@query(f"WITH {SERIES_SQL}, x AS (SELECT split_part(uckey, ',', 2) AS si, unnest(range(7)) AS pos, unnest(ts) AS n FROM series) SELECT si, CAST(pos AS INT) AS pos, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n FROM x GROUP BY ALL")
+@query(f"""
+WITH {SERIES_SQL},
+x AS (SELECT split_part(uckey, ',', 2) AS si, unnest(range(7)) AS pos, unnest(ts) AS n
+FROM series) SELECT si, CAST(pos AS INT) AS pos, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n
+FROM x GROUP BY ALL""")
 def agg_vector_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.index_totals(series(spark, sf_dir).withColumn("si", part(F.col("uckey"), 1)), ["si"]).withColumnRenamed("total", "n")
 
 
-@query(f"WITH {FACT_SQL}, d AS (SELECT uckey, day, price_cat, {_C} AS n FROM fact GROUP BY ALL) SELECT uckey, day, string_agg(price_cat || ':' || n, ',' ORDER BY price_cat) AS counts FROM d GROUP BY ALL")
+@query(f"""
+WITH {FACT_SQL},
+d AS (SELECT uckey, day, price_cat, {_C} AS n
+FROM fact GROUP BY ALL) SELECT uckey, day, string_agg(price_cat || ':' || n, ','
+ORDER BY price_cat) AS counts FROM d GROUP BY ALL""")
 def agg_count_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours' 'price:count' arrays of a key and day, merged by price: exploded, summed, nested once."""
     hours = fact(spark, sf_dir).select("uckey", "day", F.array(F.concat_ws(":", "price_cat", F.col("cnt").cast("string"))).alias("count_array"))
@@ -68,7 +91,11 @@ def agg_count_array_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrays.groupBy("uckey").agg(F.sum(each).alias("n"))
 
 
-@query(f"WITH {LOGS_SQL}, k AS (SELECT keyword, count(*) AS n FROM logs GROUP BY 1) SELECT keyword, n, row_number() OVER (ORDER BY keyword) - 1 AS ix FROM k WHERE n > 0.08 * (SELECT sum(n) FROM k)")
+@query(f"""
+WITH {LOGS_SQL},
+k AS (SELECT keyword, count(*) AS n FROM logs
+GROUP BY 1) SELECT keyword, n, row_number() OVER (ORDER BY keyword) - 1 AS ix
+FROM k WHERE n > 0.08 * (SELECT sum(n) FROM k)""")
 def agg_keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = L.effective_keywords(logs(spark, sf_dir), 0.08)
     return k.join(dense_index(k, "keyword", first=0, into="ix"), "keyword")
@@ -79,7 +106,9 @@ def agg_click_show(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.click_show_counts(daily_logs(spark, sf_dir), ["aid", "interval", "kwi"])
 
 
-@query(f"WITH {LOGS_SQL} SELECT keyword, sec - sec % 86400 AS interval, CAST(sum(is_click) AS BIGINT) AS clicks, count(*) AS shows FROM logs GROUP BY ALL")
+@query(f"""
+WITH {LOGS_SQL} SELECT keyword, sec - sec % 86400 AS interval, CAST(sum(is_click) AS BIGINT) AS clicks, count(*) AS shows
+FROM logs GROUP BY ALL""")
 def agg_click_show_uckey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.click_show_counts(daily_logs(spark, sf_dir), ["keyword", "interval"], all_rows_are_shows=True)
 
@@ -91,19 +120,32 @@ def agg_concat_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("aid", "interval").agg(F.array_join(F.transform(pairs, lambda s: F.concat_ws(":", s["kwi"].cast("string"), s["shows"].cast("string"))), ",").alias("shows"))
 
 
-@query(f"WITH {COUNTS_SQL}, i AS (SELECT aid, interval, string_agg(kwi || ':' || clicks, ',' ORDER BY kwi) AS s FROM c GROUP BY ALL) SELECT aid, string_agg(interval::VARCHAR, ',' ORDER BY interval DESC) AS intervals, string_agg(s, ' ' ORDER BY interval DESC) AS clicks FROM i GROUP BY aid")
+@query(f"""
+WITH {COUNTS_SQL},
+i AS (SELECT aid, interval, string_agg(kwi || ':' || clicks, ',' ORDER BY kwi) AS s
+FROM c GROUP BY ALL) SELECT aid, string_agg(interval::VARCHAR, ','
+ORDER BY interval DESC) AS intervals, string_agg(s, ' '
+ORDER BY interval DESC) AS clicks FROM i GROUP BY aid""")
 def agg_user_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = L.timeline(L.click_show_counts(daily_logs(spark, sf_dir), ["aid", "interval", "kwi"]))
     return t.select("aid", F.array_join(F.transform("timeline", lambda s: s["interval"].cast("string")), ",").alias("intervals"), L.timeline_text("clicks").alias("clicks"))
 
 
-@query("SELECT round(avg(l_quantity), 6) AS q_avg, round(stddev_samp(l_quantity), 6) AS q_std, round(avg(l_extendedprice), 4) AS p_avg, round(stddev_samp(l_extendedprice), 4) AS p_std FROM lineitem")
+@query("""
+SELECT round(avg(l_quantity), 6) AS q_avg, round(stddev_samp(l_quantity), 6) AS q_std, round(avg(l_extendedprice), 4) AS p_avg,
+  round(stddev_samp(l_extendedprice), 4) AS p_std
+FROM lineitem""")
 def agg_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     std = lambda c: F.coalesce(F.nullif(F.stddev_samp(c), F.lit(0.0)), F.lit(1.0))
     return table(spark, sf_dir, "lineitem").agg(F.round(F.avg("l_quantity"), 6).alias("q_avg"), F.round(std("l_quantity"), 6).alias("q_std"), F.round(F.avg("l_extendedprice"), 4).alias("p_avg"), F.round(std("l_extendedprice"), 4).alias("p_std"))
 
 
-@query(f"WITH {SERIES_SQL}, p AS (SELECT {IMP} / 7.0 AS p, {NONZERO} > 3 AS dense FROM series) SELECT round(quantile_cont(p, 0.5) FILTER (NOT dense), 6) AS sparse_median, round(quantile_cont(p, 0.5) FILTER (dense), 6) AS dense_median, count(*) FILTER (NOT dense) AS sparse, count(*) FILTER (dense) AS dense FROM p")
+@query(f"""
+WITH {SERIES_SQL},
+p AS (SELECT {IMP} / 7.0 AS p, {NONZERO} > 3 AS dense
+FROM series) SELECT round(quantile_cont(p, 0.5) FILTER (NOT dense), 6) AS sparse_median, round(quantile_cont(p, 0.5) FILTER (dense),
+  6) AS dense_median, count(*) FILTER (NOT dense) AS sparse, count(*) FILTER (dense) AS dense
+FROM p""")
 def agg_approx_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact percentiles, to be held against SQL."""
     ts = F.col("ts")
@@ -121,7 +163,11 @@ def agg_sketched_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.agg(med(~F.col("dense")).alias("sparse_median"), med(F.col("dense")).alias("dense_median"))
 
 
-@query(f"WITH {SERIES_SQL}, x AS (SELECT unnest(range(7)) AS pos, unnest(ts) AS n FROM series) SELECT CAST(pos AS INT) AS pos, CAST(sum(coalesce(n, 0)) AS BIGINT) AS total FROM x GROUP BY ALL")
+@query(f"""
+WITH {SERIES_SQL},
+x AS (SELECT unnest(range(7)) AS pos, unnest(ts) AS n
+FROM series) SELECT CAST(pos AS INT) AS pos, CAST(sum(coalesce(n, 0)) AS BIGINT) AS total
+FROM x GROUP BY ALL""")
 def agg_index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.index_totals(series(spark, sf_dir))
 
@@ -131,7 +177,12 @@ def agg_max_array_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users(spark, sf_dir).agg(F.max(F.size("kws")).alias("longest"))
 
 
-@query(f"WITH {SERIES_SQL} SELECT coalesce(split_part(uckey, ',', 2), 'all') AS si, CAST(sum({IMP}) AS BIGINT) AS imp, CAST(sum(CASE WHEN {NONZERO} > 3 THEN {IMP} ELSE 0 END) AS BIGINT) AS dense_imp, count(*) AS n FROM series GROUP BY 1 UNION ALL SELECT 'all', CAST(sum({IMP}) AS BIGINT), CAST(sum(CASE WHEN {NONZERO} > 3 THEN {IMP} ELSE 0 END) AS BIGINT), count(*) FROM series")
+@query(f"""
+WITH {SERIES_SQL} SELECT coalesce(split_part(uckey, ',', 2), 'all') AS si, CAST(sum({IMP}) AS BIGINT) AS imp,
+  CAST(sum(CASE WHEN {NONZERO} > 3 THEN {IMP} ELSE 0 END) AS BIGINT) AS dense_imp, count(*) AS n
+FROM series GROUP BY 1 UNION ALL SELECT 'all', CAST(sum({IMP}) AS BIGINT), CAST(sum(CASE WHEN {NONZERO} > 3 THEN {IMP} ELSE 0 END) AS BIGINT),
+  count(*)
+FROM series""")
 def agg_total_imp(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = series(spark, sf_dir).select(part(F.col("uckey"), 1).alias("si"), Z.total(F.col("ts")).alias("imp"), (F.size(Z.nonzero(F.col("ts"))) > 3).alias("dense"))
     return s.rollup("si").agg(F.sum("imp").alias("imp"), F.sum(F.when(F.col("dense"), F.col("imp")).otherwise(0)).alias("dense_imp"), F.count("*").alias("n")).withColumn("si", F.coalesce("si", F.lit("all")))
@@ -142,7 +193,11 @@ def agg_dataset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs(spark, sf_dir).agg(F.count("*").alias("n"), (F.countDistinct("aid") + 1).alias("users"), (F.countDistinct("keyword") + 1).alias("items"))
 
 
-@query(f"WITH {PERSONA_SQL}, d AS (SELECT DISTINCT * FROM persona) SELECT aid, gender, CAST(age AS INT) AS age FROM d WHERE aid IN (SELECT aid FROM d GROUP BY aid HAVING count(*) = 1)")
+@query(f"""
+WITH {PERSONA_SQL},
+d AS (SELECT DISTINCT * FROM persona) SELECT aid, gender, CAST(age AS INT) AS age
+FROM d WHERE aid IN (SELECT aid FROM d GROUP BY aid
+HAVING count(*) = 1)""")
 def agg_distinct_persona(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.clean_persona(persona(spark, sf_dir))
 
@@ -162,7 +217,15 @@ def agg_score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.agg(F.round(F.avg("v") - 0.5 * F.stddev_pop("v"), 6).alias("threshold"))
 
 
-@query(f"WITH {FACT_SQL}, d AS (SELECT uckey, split_part(uckey, ',', 2) AS si, year(day) AS y, sum(cnt) AS n FROM fact GROUP BY ALL), p AS (SELECT uckey, 100.0 * n / sum(n) OVER (PARTITION BY si, y) AS w FROM d), v AS (SELECT uckey, var_pop(w) AS v FROM p GROUP BY 1) SELECT count(*) AS keys, count(*) FILTER (v <= 0.01) AS steady, round(count(*) FILTER (v <= 0.01) / CAST(count(*) AS DOUBLE), 6) AS share FROM v")
+@query(f"""
+WITH {FACT_SQL},
+d AS (SELECT uckey, split_part(uckey, ',', 2) AS si, year(day) AS y, sum(cnt) AS n
+FROM fact GROUP BY ALL),
+p AS (SELECT uckey, 100.0 * n / sum(n) OVER (PARTITION BY si, y) AS w
+FROM d),
+v AS (SELECT uckey, var_pop(w) AS v FROM p
+GROUP BY 1) SELECT count(*) AS keys, count(*) FILTER (v <= 0.01) AS steady, round(count(*) FILTER (v <= 0.01) / CAST(count(*) AS DOUBLE), 6) AS share
+FROM v""")
 def agg_weight_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fact(spark, sf_dir).groupBy("uckey", F.year("day").alias("y")).agg(F.sum("cnt").alias("n")).withColumn("si", part(F.col("uckey"), 1))
     w = d.join(d.groupBy("si", "y").agg(F.sum("n").alias("total")), ["si", "y"]).select("uckey", (100.0 * F.col("n") / F.col("total")).alias("w"))
@@ -170,13 +233,21 @@ def agg_weight_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.agg(F.count("*").alias("keys"), F.count_if(F.col("v") <= 0.01).alias("steady"), F.round(F.count_if(F.col("v") <= 0.01) / F.count("*"), 6).alias("share"))
 
 
-@query(f"WITH {LOGS_SQL}, u AS (SELECT aid, CAST(sum(is_click) AS DOUBLE) / nullif(count(*) FILTER (is_click = 0), 0) AS ctr FROM logs WHERE keyword = 'kw2' AND sec BETWEEN 1704412800 AND 1705881600 GROUP BY 1) SELECT count(*) AS users, round(avg(coalesce(ctr, 0)), 6) AS ctr FROM u")
+@query(f"""
+WITH {LOGS_SQL},
+u AS (SELECT aid, CAST(sum(is_click) AS DOUBLE) / nullif(count(*) FILTER (is_click = 0), 0) AS ctr
+FROM logs WHERE keyword = 'kw2' AND sec BETWEEN 1704412800 AND 1705881600
+GROUP BY 1) SELECT count(*) AS users, round(avg(coalesce(ctr, 0)), 6) AS ctr
+FROM u""")
 def agg_avg_ctr(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = logs(spark, sf_dir).where((F.col("keyword") == "kw2") & F.col("sec").between(1704412800, 1705881600))
     return L.rates(w, ["aid"]).agg(F.count("*").alias("users"), F.round(F.avg("ctr"), 6).alias("ctr"))
 
 
-@query(f"WITH {LOGS_SQL}, {PERSONA_SQL} SELECT CAST(sum(is_click) AS BIGINT) AS clicks FROM logs WHERE keyword = 'kw2' AND aid IN (SELECT aid FROM persona WHERE gender = 'g_f')")
+@query(f"""
+WITH {LOGS_SQL}, {PERSONA_SQL} SELECT CAST(sum(is_click) AS BIGINT) AS clicks
+FROM logs WHERE keyword = 'kw2' AND aid IN (SELECT aid
+FROM persona WHERE gender = 'g_f')""")
 def agg_keyword_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = persona(spark, sf_dir).where("gender = 'g_f'").select("aid").distinct()
     return logs(spark, sf_dir).where("keyword = 'kw2'").join(chosen, "aid", "left_semi").agg(F.sum("is_click").alias("clicks"))
@@ -205,19 +276,27 @@ def agg_tbr_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where(F.arrays_overlap(F.split("au", "-"), F.array(F.lit("au1"), F.lit("au7")))).groupBy("a", "g").agg(F.sum(total).alias("n"))
 
 
-@query(f"WITH {BOOKINGS_SQL} SELECT g AS day, arg_max(bk_id, amount * 100 + CAST(p AS INT)) AS bk_id, max(amount * 100 + CAST(p AS INT)) AS priority FROM bookings GROUP BY 1")
+@query(f"""
+WITH {BOOKINGS_SQL} SELECT g AS day, arg_max(bk_id, amount * 100 + CAST(p AS INT)) AS bk_id, max(amount * 100 + CAST(p AS INT)) AS priority
+FROM bookings GROUP BY 1""")
 def agg_max_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bookings(spark, sf_dir).select(F.col("g")[0].alias("day"), "bk_id", (F.col("amount") * 100 + F.substring("bk_id", 2, 1).cast("int")).alias("priority"))
     return b.groupBy("day").agg(F.max_by("bk_id", "priority").alias("bk_id"), F.max("priority").alias("priority"))
 
 
-@query(f"WITH {USERS_SQL} SELECT count(DISTINCT aid) AS users FROM users WHERE day IN ('2024-01-03', '2024-01-04', '2024-01-09') AND list_has_any(kws, ['kw1', 'kw6'])")
+@query(f"""
+WITH {USERS_SQL} SELECT count(DISTINCT aid) AS users
+FROM users WHERE day IN ('2024-01-03', '2024-01-04', '2024-01-09') AND list_has_any(kws, ['kw1', 'kw6'])""")
 def agg_user_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = users(spark, sf_dir).where(F.col("day").isin("2024-01-03", "2024-01-04", "2024-01-09") & F.arrays_overlap("kws", F.array(F.lit("kw1"), F.lit("kw6"))))
     return u.agg(F.countDistinct("aid").alias("users"))
 
 
-@query(f"WITH {LOGS_SQL}, s AS (SELECT day, keyword, CAST(sum(is_click) AS BIGINT) AS n FROM logs GROUP BY ALL) SELECT day, string_agg(keyword || '=' || n, ',' ORDER BY keyword) AS allocated FROM s GROUP BY 1")
+@query(f"""
+WITH {LOGS_SQL},
+s AS (SELECT day, keyword, CAST(sum(is_click) AS BIGINT) AS n
+FROM logs GROUP BY ALL) SELECT day, string_agg(keyword || '=' || n, ','
+ORDER BY keyword) AS allocated FROM s GROUP BY 1""")
 def agg_merge_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' keyword -> clicks maps of a day, summed key by key."""
     per = logs(spark, sf_dir).groupBy("day", "aid", "keyword").agg(F.sum("is_click").alias("n")).groupBy("day", "aid").agg(F.map_from_entries(F.collect_list(F.struct("keyword", "n"))).alias("m"))
@@ -225,7 +304,11 @@ def agg_merge_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.groupBy("day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda s: F.concat_ws("=", s["k"], s["n"].cast("string"))), ",").alias("allocated"))
 
 
-@query("SELECT o_orderstatus AS bucket, round(sum(o_totalprice) - sum(q), 2) AS remaining FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey GROUP BY 1")
+@query("""
+SELECT o_orderstatus AS bucket, round(sum(o_totalprice) - sum(q), 2) AS remaining
+FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS q
+FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey
+GROUP BY 1""")
 def agg_remaining_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What orders leave of their price after the quantities allotted to line numbers."""
     alloc = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q")).groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_linenumber", "q"))).alias("allocated"))
@@ -237,7 +320,10 @@ def agg_remaining_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KIND = f"CASE WHEN {NONZERO} > 4 THEN 'dense' WHEN {NONZERO} > 1 THEN 'sparse' ELSE 'other' END"
 
 
-@query(f"WITH {SERIES_SQL} SELECT {_KIND} AS kind, count(*) AS keys, CAST(sum({IMP}) AS BIGINT) AS imp, round(100.0 * count(*) / (SELECT count(*) FROM series), 6) AS key_percent, round(100.0 * sum({IMP}) / (SELECT sum({IMP}) FROM series), 6) AS imp_percent FROM series GROUP BY 1")
+@query(f"""
+WITH {SERIES_SQL} SELECT {_KIND} AS kind, count(*) AS keys, CAST(sum({IMP}) AS BIGINT) AS imp, round(100.0 * count(*) / (SELECT count(*) FROM series),
+  6) AS key_percent, round(100.0 * sum({IMP}) / (SELECT sum({IMP}) FROM series), 6) AS imp_percent
+FROM series GROUP BY 1""")
 def agg_dense_sparse_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.size(Z.nonzero(F.col("ts")))
     g = series(spark, sf_dir).groupBy(F.when(n > 4, "dense").when(n > 1, "sparse").otherwise("other").alias("kind")).agg(F.count("*").alias("keys"), F.sum(Z.total(F.col("ts"))).alias("imp"))
@@ -251,12 +337,19 @@ def agg_keyword_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("aid", F.array_join(F.transform(F.array_sort(F.map_entries("kws")), lambda e: F.concat_ws("=", e["key"], F.format_string("%.6f", e["value"]))), ",").alias("ctr"))
 
 
-@query(f"WITH {LOGS_SQL}, i AS (SELECT DISTINCT keyword, kwi FROM logs) SELECT count(*) AS n, count(*) FILTER (c > 1) AS broken FROM (SELECT keyword, count(DISTINCT kwi) AS c FROM i GROUP BY 1)")
+@query(f"""
+WITH {LOGS_SQL},
+i AS (SELECT DISTINCT keyword, kwi FROM logs) SELECT count(*) AS n, count(*) FILTER (c > 1) AS broken
+FROM (SELECT keyword, count(DISTINCT kwi) AS c
+FROM i GROUP BY 1)""")
 def agg_index_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = logs(spark, sf_dir).groupBy("keyword").agg(F.countDistinct("kwi").alias("c"))
     return per.agg(F.count("*").alias("n"), F.count_if(F.col("c") > 1).alias("broken"))
 
 
-@query(f"WITH {FACT_SQL} SELECT count(*) AS n, count(DISTINCT uckey) AS keys, count(DISTINCT day) AS days, min(day) AS first_day, max(day) AS last_day, count(*) FILTER (cnt IS NULL) AS nulls FROM fact")
+@query(f"""
+WITH {FACT_SQL} SELECT count(*) AS n, count(DISTINCT uckey) AS keys, count(DISTINCT day) AS days, min(day) AS first_day, max(day) AS last_day,
+  count(*) FILTER (cnt IS NULL) AS nulls
+FROM fact""")
 def agg_table_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact(spark, sf_dir).agg(F.count("*").alias("n"), F.countDistinct("uckey").alias("keys"), F.countDistinct("day").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count_if(F.col("cnt").isNull()).alias("nulls"))

@@ -25,13 +25,17 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact(spark, sf_dir).select("uckey").distinct()
 
 
-@query(f"WITH {FACT_SQL}, {_KEYS} SELECT uckey, split_part(uckey, ',', 2) AS si, split_part(uckey, ',', 7) AS r, split_part(uckey, ',', 9) AS missing FROM k")
+@query(f"""
+WITH {FACT_SQL}, {_KEYS} SELECT uckey, split_part(uckey, ',', 2) AS si, split_part(uckey, ',', 7) AS r, split_part(uckey, ',', 9) AS missing
+FROM k""")
 def uckey_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("uckey")
     return keys(spark, sf_dir).select("uckey", K.part(k, 1).alias("si"), K.part(k, 6).alias("r"), K.part(k, 8).alias("missing"))
 
 
-@query("SELECT c_custkey, coalesce(c_mktsegment, '') || ',' || c_nationkey || ',' || CASE WHEN c_acctbal < 0 THEN '' ELSE 'p' END AS uckey FROM customer")
+@query("""
+SELECT c_custkey, coalesce(c_mktsegment, '') || ',' || c_nationkey || ',' || CASE WHEN c_acctbal < 0 THEN '' ELSE 'p' END AS uckey
+FROM customer""")
 def uckey_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", K.joined_key(F.col("c_mktsegment"), F.col("c_nationkey"), F.when(F.col("c_acctbal") >= 0, "p")).alias("uckey"))
 
@@ -46,7 +50,11 @@ def uckey_drop_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys(spark, sf_dir).select("uckey", K.drop_part(F.col("uckey"), 5).alias("dropped"))
 
 
-@query(f"WITH {FACT_SQL}, {_KEYS}, map AS (SELECT CAST(n_nationkey AS VARCHAR) AS old, n_name AS new FROM nation WHERE n_nationkey < 3) SELECT uckey, CASE WHEN new IS NULL THEN uckey ELSE regexp_replace(uckey, '[^,]*$', new) END AS mapped FROM k LEFT JOIN map ON split_part(uckey, ',', 7) = old")
+@query(f"""
+WITH {FACT_SQL}, {_KEYS},
+map AS (SELECT CAST(n_nationkey AS VARCHAR) AS old, n_name AS new
+FROM nation WHERE n_nationkey < 3) SELECT uckey, CASE WHEN new IS NULL THEN uckey ELSE regexp_replace(uckey, '[^,]*$', new) END AS mapped
+FROM k LEFT JOIN map ON split_part(uckey, ',', 7) = old""")
 def remap_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = table(spark, sf_dir, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").cast("string").alias("old"), F.col("n_name").alias("new"))
     k = keys(spark, sf_dir).withColumn("old", K.part(F.col("uckey"), 6))
@@ -58,7 +66,9 @@ def filter_slot_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact(spark, sf_dir).where(K.part(F.col("uckey"), 1).isin("slot1", "slot3")).groupBy("uckey").agg(F.sum("cnt").alias("n"))
 
 
-@query(f"WITH {FACT_SQL} SELECT uckey, day, cnt FROM fact WHERE split_part(uckey, ',', 1) = 'R' AND split_part(uckey, ',', 4) = 'F' AND split_part(uckey, ',', 5) = '2'")
+@query(f"""
+WITH {FACT_SQL} SELECT uckey, day, cnt FROM fact
+WHERE split_part(uckey, ',', 1) = 'R' AND split_part(uckey, ',', 4) = 'F' AND split_part(uckey, ',', 5) = '2'""")
 def filter_traffic_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("uckey")
     named = fact(spark, sf_dir).select("uckey", "day", "cnt", K.part(k, 0).alias("m"), K.part(k, 3).alias("g"), K.part(k, 4).alias("a"))
@@ -95,7 +105,11 @@ def flag_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series(spark, sf_dir).select("uckey", "price_cat", is_sparse(Z.popularity(ts), ts, 0.5, 15.0).alias("sparse"))
 
 
-@query(f"WITH {SERIES_SQL}, p AS (SELECT *, {IMP} / 7.0 AS p FROM series), g AS (SELECT avg(p) AS av FROM p) SELECT uckey, price_cat, p > av AND {NONZERO} < 0.6 * 7 AS spiked FROM p, g")
+@query(f"""
+WITH {SERIES_SQL},
+p AS (SELECT *, {IMP} / 7.0 AS p FROM series),
+g AS (SELECT avg(p) AS av FROM p) SELECT uckey, price_cat, p > av AND {NONZERO} < 0.6 * 7 AS spiked
+FROM p, g""")
 def flag_spiked(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = series(spark, sf_dir).withColumn("p", Z.popularity(F.col("ts")))
     mean = s.agg(F.avg("p").alias("av"))  # one row
@@ -112,7 +126,10 @@ def filter_min_active_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs(spark, sf_dir).groupBy("aid").agg(F.countDistinct(F.col("sec") - F.col("sec") % 86400).alias("days")).where("days > 10")
 
 
-@query(f"WITH {LOGS_SQL}, s AS (SELECT DISTINCT aid FROM logs WHERE is_click = 1 AND keyword = 'kw1') SELECT aid, CAST(sum(is_click) AS BIGINT) AS clicks, aid IN (SELECT aid FROM s) AS seed FROM logs GROUP BY 1")
+@query(f"""
+WITH {LOGS_SQL},
+s AS (SELECT DISTINCT aid FROM logs WHERE is_click = 1 AND keyword = 'kw1') SELECT aid, CAST(sum(is_click) AS BIGINT) AS clicks, aid IN (SELECT aid
+FROM s) AS seed FROM logs GROUP BY 1""")
 def filter_user_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = logs(spark, sf_dir)
     seeds = log.where("is_click = 1 and keyword = 'kw1'").select("aid").distinct()
@@ -120,7 +137,9 @@ def filter_user_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(seeds, "aid", "left_semi").withColumn("seed", F.lit(True)).unionByName(per.join(seeds, "aid", "left_anti").withColumn("seed", F.lit(False)))
 
 
-@query(f"WITH {SERIES_SQL} SELECT uckey, price_cat, array_to_string(list_transform(ts, lambda x: CAST(coalesce(x, 0) AS VARCHAR)), ',') AS ts FROM series")
+@query(f"""
+WITH {SERIES_SQL} SELECT uckey, price_cat, array_to_string(list_transform(ts, lambda x: CAST(coalesce(x, 0) AS VARCHAR)), ',') AS ts
+FROM series""")
 def fill_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series(spark, sf_dir).withColumn("ts", Z.zero_filled(F.col("ts"))).select("uckey", "price_cat", text_of("ts").alias("ts"))
 
@@ -135,19 +154,28 @@ def predicate_single_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPLIT = "string_split(ai, '-')", "string_split(au, '-')"
 
 
-@query(f"WITH {TBR_SQL} SELECT a, g, ai, au, day, n FROM tbr WHERE list_has_any({_SPLIT[0]}, ['ai0', 'ai5']) AND NOT list_has_any({_SPLIT[1]}, ['au2'])")
+@query(f"""
+WITH {TBR_SQL} SELECT a, g, ai, au, day, n
+FROM tbr WHERE list_has_any({_SPLIT[0]}, ['ai0', 'ai5']) AND NOT list_has_any({_SPLIT[1]}, ['au2'])""")
 def predicate_multi_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     lit = lambda *v: F.array(*[F.lit(x) for x in v])
     return behaviour(spark, sf_dir).where(T.any_of(F.split("ai", "-"), lit("ai0", "ai5")) & T.none_of(F.split("au", "-"), lit("au2")))
 
 
-@query(f"WITH {TBR_SQL} SELECT a IN ('2', '5') AND g = 'O' AND list_has_any({_SPLIT[0]}, ['ai1']) AS multi, CAST(sum(n) AS BIGINT) AS n FROM tbr WHERE a IN ('2', '5') AND g = 'O' GROUP BY 1")
+@query(f"""
+WITH {TBR_SQL} SELECT a IN ('2', '5') AND g = 'O' AND list_has_any({_SPLIT[0]}, ['ai1']) AS multi, CAST(sum(n) AS BIGINT) AS n
+FROM tbr WHERE a IN ('2', '5') AND g = 'O'
+GROUP BY 1""")
 def predicate_age_gender(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = F.col("a").isin("2", "5") & (F.col("g") == "O")
     return behaviour(spark, sf_dir).where(people).groupBy((people & F.array_contains(F.split("ai", "-"), "ai1")).alias("multi")).agg(F.sum("n").alias("n"))
 
 
-@query(f"WITH {INVENTORY_SQL} SELECT 'and' AS op, {H_SUM} FROM inv WHERE (g = 'O' AND a IN ('1', '2')) AND (si = 'slot1') UNION ALL SELECT 'or', {H_SUM} FROM inv WHERE (g = 'O' AND a IN ('1', '2')) OR si = 'slot1' UNION ALL SELECT 'not', {H_SUM} FROM inv WHERE NOT (g = 'O' AND a IN ('1', '2'))")
+@query(f"""
+WITH {INVENTORY_SQL} SELECT 'and' AS op, {H_SUM}
+FROM inv WHERE (g = 'O' AND a IN ('1', '2')) AND (si = 'slot1')
+UNION ALL SELECT 'or', {H_SUM} FROM inv WHERE (g = 'O' AND a IN ('1', '2')) OR si = 'slot1'
+UNION ALL SELECT 'not', {H_SUM} FROM inv WHERE NOT (g = 'O' AND a IN ('1', '2'))""")
 def predicate_and_or_not(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, two = (F.col("g") == "O") & F.col("a").isin("1", "2"), F.col("si") == "slot1"
     inv = inventory(spark, sf_dir)
@@ -155,7 +183,10 @@ def predicate_and_or_not(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.select("*", each).groupBy("op").agg(*[F.sum(f"h{i}").alias(f"h{i}") for i in range(4)])
 
 
-@query(f"WITH {INVENTORY_SQL} SELECT m, si, t, g, a, r, CAST(sum(h0 + h1 + h2 + h3) AS BIGINT) AS n FROM inv WHERE (g IN ('O', 'F') AND t = 'F') AND (si IN ('slot1') OR a IN ('2', '3') OR r IN ('4')) GROUP BY ALL")
+@query(f"""
+WITH {INVENTORY_SQL} SELECT m, si, t, g, a, r, CAST(sum(h0 + h1 + h2 + h3) AS BIGINT) AS n
+FROM inv WHERE (g IN ('O', 'F') AND t = 'F') AND (si IN ('slot1') OR a IN ('2', '3') OR r IN ('4'))
+GROUP BY ALL""")
 def predicate_ands_ors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The attributes of all `ands` must match; any attribute of any of `ors` is enough."""
     ands = [{"g": ["O", "F"]}, {"t": ["F"]}]
@@ -165,7 +196,10 @@ def predicate_ands_ors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory(spark, sf_dir).where(must & may).groupBy(*ATTRIBUTES).agg(F.sum(F.expr("h0 + h1 + h2 + h3")).alias("n"))
 
 
-@query(f"WITH {INVENTORY_SQL} SELECT m, si, t, g, a, r, day, CAST(sum(h0 + h1 + h2 + h3) AS BIGINT) AS n FROM inv WHERE g IN ('O', 'F') AND NOT (si = 'slot1' OR a IN ('2', '3')) GROUP BY ALL")
+@query(f"""
+WITH {INVENTORY_SQL} SELECT m, si, t, g, a, r, day, CAST(sum(h0 + h1 + h2 + h3) AS BIGINT) AS n
+FROM inv WHERE g IN ('O', 'F') AND NOT (si = 'slot1' OR a IN ('2', '3'))
+GROUP BY ALL""")
 def predicate_ands_minus(spark: SparkSession, sf_dir: str) -> DataFrame:
     minus = (F.col("si") == "slot1") | F.col("a").isin("2", "3")
     return inventory(spark, sf_dir).where(F.col("g").isin("O", "F") & ~minus).groupBy(*ATTRIBUTES, "day").agg(F.sum(F.expr("h0 + h1 + h2 + h3")).alias("n"))
@@ -180,7 +214,9 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs(spark, sf_dir).groupBy("aid", "day").agg(F.sort_array(F.collect_set("keyword")).alias("kws"))
 
 
-@query(f"WITH {USERS_SQL} SELECT aid FROM users WHERE day BETWEEN '2024-01-10' AND '2024-01-14' GROUP BY aid HAVING bool_or(list_has_any(kws, ['kw1', 'kw2'])) AND bool_or(list_contains(kws, 'kw5')) AND NOT bool_or(list_contains(kws, 'kw9'))")
+@query(f"""
+WITH {USERS_SQL} SELECT aid FROM users WHERE day BETWEEN '2024-01-10' AND '2024-01-14'
+GROUP BY aid HAVING bool_or(list_has_any(kws, ['kw1', 'kw2'])) AND bool_or(list_contains(kws, 'kw5')) AND NOT bool_or(list_contains(kws, 'kw9'))""")
 def predicate_user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each attribute, on any of the days any value matches; the excluded audience on none."""
     has = lambda *v: F.bool_or(F.arrays_overlap("kws", F.array(*[F.lit(x) for x in v])))
@@ -191,7 +227,9 @@ def predicate_user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCORES = f"{LOGS_SQL}, s AS (SELECT aid, keyword, sum(is_click) / CAST(count(*) AS DOUBLE) AS v FROM logs GROUP BY ALL)"
 
 
-@query(f"WITH {_SCORES} SELECT aid, CAST(trunc(v * 100) AS INT) % 100 AS b FROM s WHERE keyword = 'kw3' AND CAST(trunc(v * 100) AS INT) % 100 BETWEEN 30 AND 80")
+@query(f"""
+WITH {_SCORES} SELECT aid, CAST(trunc(v * 100) AS INT) % 100 AS b
+FROM s WHERE keyword = 'kw3' AND CAST(trunc(v * 100) AS INT) % 100 BETWEEN 30 AND 80""")
 def predicate_bucket_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = logs(spark, sf_dir).groupBy("aid", "keyword").agg((F.sum("is_click") / F.count("*")).alias("v"))
     kws = s.groupBy("aid").agg(F.map_from_entries(F.collect_list(F.struct("keyword", F.struct("v", ((F.col("v") * 100).cast("int") % 100).alias("b"))))).alias("kws"))

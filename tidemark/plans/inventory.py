@@ -16,8 +16,16 @@ from tidemark.plans.registry import query
 _SUM = "h0 + h1 + h2 + h3"
 _KEYS = [*ATTRIBUTES, "hour"]
 # inventory rows by the bookings that they fit
-MATCHED_SQL = f"{INVENTORY_SQL}, {BOOKINGS_SQL}, fits AS (SELECT inv.*, {_SUM} AS n, bk_id FROM inv JOIN query q ON list_contains(q.g, inv.g) AND list_contains(q.a, inv.a))"
-_SIGNED = f"{MATCHED_SQL}, sig AS (SELECT day, m, si, t, g, a, r, hour, n, array_to_string(list_sort(list(bk_id)), '|') AS ands FROM fits GROUP BY ALL), bb AS (SELECT day, ands, CAST(sum(n) AS BIGINT) AS amount FROM sig GROUP BY ALL HAVING sum(n) > 0)"
+MATCHED_SQL = f"""
+{INVENTORY_SQL}, {BOOKINGS_SQL},
+fits AS (SELECT inv.*, {_SUM} AS n, bk_id
+FROM inv JOIN query q ON list_contains(q.g, inv.g) AND list_contains(q.a, inv.a))"""
+_SIGNED = f"""
+{MATCHED_SQL},
+sig AS (SELECT day, m, si, t, g, a, r, hour, n, array_to_string(list_sort(list(bk_id)), '|') AS ands
+FROM fits GROUP BY ALL),
+bb AS (SELECT day, ands, CAST(sum(n) AS BIGINT) AS amount
+FROM sig GROUP BY ALL HAVING sum(n) > 0)"""
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +128,13 @@ def allocation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.groupBy("day", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bk_id", "n"))), lambda s: F.concat_ws("=", s["bk_id"], s["n"].cast("string"))), ",").alias("plan"))
 
 
-_T = f"{TBR_SQL}, {BOOKINGS_SQL}, t AS (SELECT bk_id, CAST(sum(CASE WHEN list_contains(string_split(ai, '-'), 'ai' || (CAST(substr(bk_id, 2, 1) AS INT) % 3)) THEN n ELSE 0 END) AS DOUBLE) AS x, CAST(sum(n) AS DOUBLE) AS y FROM tbr JOIN query q ON list_contains(q.g, tbr.g) AND list_contains(q.a, tbr.a) GROUP BY 1), tr AS (SELECT bk_id, CASE WHEN abs(x - y) <= 0.001 THEN 1 WHEN x = 0 THEN 0 ELSE x / y END AS tbr FROM t)"
+_T = f"""
+{TBR_SQL}, {BOOKINGS_SQL},
+t AS (SELECT bk_id, CAST(sum(CASE WHEN list_contains(string_split(ai, '-'), 'ai' || (CAST(substr(bk_id, 2, 1) AS INT) % 3)) THEN n ELSE 0 END) AS DOUBLE) AS x, CAST(sum(n) AS DOUBLE) AS y
+FROM tbr JOIN query q ON list_contains(q.g, tbr.g) AND list_contains(q.a, tbr.a)
+GROUP BY 1),
+tr AS (SELECT bk_id, CASE WHEN abs(x - y) <= 0.001 THEN 1 WHEN x = 0 THEN 0 ELSE x / y END AS tbr
+FROM t)"""
 
 
 def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +151,16 @@ def tbr_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # For each booking: the bookings of its status with a priority one or two further on are subtracted
-_MINUS = f"{_T}, {INVENTORY_SQL}, pn AS (SELECT bk_id, CAST(sum({_SUM}) AS DOUBLE) AS p FROM inv JOIN query q ON list_contains(q.g, inv.g) AND list_contains(q.a, inv.a) GROUP BY 1), mm AS (SELECT x.bk_id, y.bk_id AS minus FROM bookings x JOIN bookings y ON x.g = y.g AND CAST(y.p AS INT) - CAST(x.p AS INT) IN (1, 2)), av AS (SELECT mm.bk_id, sum(tbr * p) / sum(p) AS avg_tbr FROM mm JOIN tr ON tr.bk_id = minus JOIN pn ON pn.bk_id = minus GROUP BY 1)"
+_MINUS = f"""
+{_T}, {INVENTORY_SQL},
+pn AS (SELECT bk_id, CAST(sum({_SUM}) AS DOUBLE) AS p
+FROM inv JOIN query q ON list_contains(q.g, inv.g) AND list_contains(q.a, inv.a)
+GROUP BY 1),
+mm AS (SELECT x.bk_id, y.bk_id AS minus FROM bookings x
+JOIN bookings y ON x.g = y.g AND CAST(y.p AS INT) - CAST(x.p AS INT) IN (1, 2)),
+av AS (SELECT mm.bk_id, sum(tbr * p) / sum(p) AS avg_tbr
+FROM mm JOIN tr ON tr.bk_id = minus JOIN pn ON pn.bk_id = minus
+GROUP BY 1)"""
 
 
 def minus_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +183,15 @@ def avg_tbr_for_minus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _Q = "(g IN ('O', 'F') AND a IN ('3', '4'))"
-_PARTS = f"{_MINUS}, fit AS (SELECT q.bk_id, inv.g, inv.a, CAST({_SUM} AS DOUBLE) AS n, EXISTS (SELECT 1 FROM mm JOIN query z ON z.bk_id = mm.minus WHERE mm.bk_id = q.bk_id AND list_contains(z.g, inv.g) AND list_contains(z.a, inv.a)) AS minus FROM inv JOIN query q ON list_contains(q.g, inv.g) AND list_contains(q.a, inv.a)), parts AS (SELECT bk_id, sum(n) AS p, sum(CASE WHEN minus OR {_Q} THEN n ELSE 0 END) AS with_q, sum(CASE WHEN minus OR NOT {_Q} THEN n ELSE 0 END) AS with_not_q, sum(CASE WHEN NOT minus AND {_Q} THEN n ELSE 0 END) AS only_q FROM fit GROUP BY 1)"
+_PARTS = f"""
+{_MINUS},
+fit AS (SELECT q.bk_id, inv.g, inv.a, CAST({_SUM} AS DOUBLE) AS n,
+  EXISTS (SELECT 1 FROM mm JOIN query z ON z.bk_id = mm.minus WHERE mm.bk_id = q.bk_id AND list_contains(z.g, inv.g) AND list_contains(z.a,
+  inv.a)) AS minus
+FROM inv JOIN query q ON list_contains(q.g, inv.g) AND list_contains(q.a, inv.a)),
+parts AS (SELECT bk_id, sum(n) AS p, sum(CASE WHEN minus OR {_Q} THEN n ELSE 0 END) AS with_q,
+  sum(CASE WHEN minus OR NOT {_Q} THEN n ELSE 0 END) AS with_not_q, sum(CASE WHEN NOT minus AND {_Q} THEN n ELSE 0 END) AS only_q
+FROM fit GROUP BY 1)"""
 
 
 def bucket_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,14 +206,20 @@ def bucket_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(ratios(spark, sf_dir), "bk_id").join(average_minus(spark, sf_dir), "bk_id", "left").withColumn("avg_tbr", F.coalesce("avg_tbr", F.lit(1.0)))
 
 
-@query(f"WITH {_PARTS} SELECT parts.bk_id, round(greatest(p * tbr - greatest(with_q * coalesce(avg_tbr, 1), 0), 0), 4) AS n FROM parts JOIN tr ON tr.bk_id = parts.bk_id LEFT JOIN av ON av.bk_id = parts.bk_id")
+@query(f"""
+WITH {_PARTS} SELECT parts.bk_id, round(greatest(p * tbr - greatest(with_q * coalesce(avg_tbr, 1), 0), 0), 4) AS n
+FROM parts JOIN tr ON tr.bk_id = parts.bk_id
+LEFT JOIN av ON av.bk_id = parts.bk_id""")
 def bucket_minus_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a bucket keeps outside the query."""
     n = F.col("p") * F.col("tbr") - F.greatest(F.col("with_q") * F.col("avg_tbr"), F.lit(0.0))
     return bucket_parts(spark, sf_dir).select("bk_id", F.round(F.greatest(n, F.lit(0.0)), 4).alias("n"))
 
 
-@query(f"WITH {_PARTS} SELECT parts.bk_id, round(greatest(p * tbr - with_not_q * coalesce(avg_tbr, 1) - only_q * tbr * 0.5, 0), 4) AS n FROM parts JOIN tr ON tr.bk_id = parts.bk_id LEFT JOIN av ON av.bk_id = parts.bk_id")
+@query(f"""
+WITH {_PARTS} SELECT parts.bk_id, round(greatest(p * tbr - with_not_q * coalesce(avg_tbr, 1) - only_q * tbr * 0.5, 0), 4) AS n
+FROM parts JOIN tr ON tr.bk_id = parts.bk_id
+LEFT JOIN av ON av.bk_id = parts.bk_id""")
 def bucket_cross_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a bucket and the query share; half of the bucket's people are taken to lack the query's behaviour."""
     n = F.col("p") * F.col("tbr") - F.col("with_not_q") * F.col("avg_tbr") - F.col("only_q") * F.col("tbr") * 0.5
@@ -264,7 +301,11 @@ def daily_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("id", "day", *[F.round(c, 4).alias(h) for c, h in zip(left, M.H)])
 
 
-@query(f"WITH {INVENTORY_SQL}, {CHANNELS_SQL}, ratio(r, ratio) AS (VALUES ('0', 0.5), ('1', 0.5), ('2', 0.25)) SELECT tc.id, hour, round(CAST(sum(({_SUM}) * coalesce(ratio, 1.0)) AS DOUBLE), 4) AS n FROM tc JOIN inv ON {MATCH_SQL} LEFT JOIN ratio ON ratio.r = inv.r GROUP BY ALL")
+@query(f"""
+WITH {INVENTORY_SQL}, {CHANNELS_SQL}, ratio(r, ratio) AS (VALUES ('0', 0.5), ('1', 0.5), ('2', 0.25)) SELECT tc.id, hour,
+  round(CAST(sum(({_SUM}) * coalesce(ratio, 1.0)) AS DOUBLE), 4) AS n
+FROM tc JOIN inv ON {MATCH_SQL} LEFT JOIN ratio ON ratio.r = inv.r
+GROUP BY ALL""")
 def hourly_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratio = spark.createDataFrame([("0", 0.5), ("1", 0.5), ("2", 0.25)], "r string, ratio double")
     inv = inventory(spark, sf_dir).join(F.broadcast(ratio), "r", "left").withColumn("ratio", F.coalesce("ratio", F.lit(1.0)))
@@ -272,7 +313,9 @@ def hourly_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("id", "hour", F.round(M.total_of([F.col(h) for h in M.H]), 4).alias("n"))
 
 
-_LINE = "list_sum(list_transform(range(len(y)), lambda i: (i - (len(y) - 1) / 2.0) * y[i + 1])) / list_sum(list_transform(range(len(y)), lambda i: (i - (len(y) - 1) / 2.0) * (i - (len(y) - 1) / 2.0)))"
+_LINE = """
+list_sum(list_transform(range(len(y)), lambda i: (i - (len(y) - 1) / 2.0) * y[i + 1])) / list_sum(list_transform(range(len(y)),
+  lambda i: (i - (len(y) - 1) / 2.0) * (i - (len(y) - 1) / 2.0)))"""
 
 
 @query(f"""WITH RECURSIVE {USERS_SQL},
@@ -324,13 +367,23 @@ def cancel_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bookings(spark, sf_dir).select("bk_id").join(sums, "bk_id", "left").select("bk_id", gone.alias("del"), F.coalesce("n", F.lit(0)).cast("long").alias("allocated"))
 
 
-@query(f"WITH {BOOKINGS_SQL}, e AS (SELECT bk_id, amount, unnest(days) AS day FROM bookings) SELECT day, string_agg(bk_id, ',' ORDER BY bk_id) AS ids, CAST(sum(amount) AS BIGINT) AS amount FROM e WHERE bk_id <> 'b1F' GROUP BY 1")
+@query(f"""
+WITH {BOOKINGS_SQL},
+e AS (SELECT bk_id, amount, unnest(days) AS day
+FROM bookings) SELECT day, string_agg(bk_id, ','
+ORDER BY bk_id) AS ids, CAST(sum(amount) AS BIGINT) AS amount
+FROM e WHERE bk_id <> 'b1F' GROUP BY 1""")
 def bookings_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = bookings(spark, sf_dir).where("bk_id <> 'b1F'").select("bk_id", "amount", F.explode("days").alias("day"))
     return live.groupBy("day").agg(F.array_join(F.array_sort(F.collect_list("bk_id")), ",").alias("ids"), F.sum("amount").alias("amount"))
 
 
-_CURVE = f"{LOGS_SQL}, s AS (SELECT aid, sum(is_click) / CAST(count(*) AS DOUBLE) AS v, count(*) AS n FROM logs WHERE keyword = 'kw3' GROUP BY 1), b AS (SELECT CAST(trunc(v * 100) AS INT) // 10 AS bucket, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY 1)"
+_CURVE = f"""
+{LOGS_SQL},
+s AS (SELECT aid, sum(is_click) / CAST(count(*) AS DOUBLE) AS v, count(*) AS n
+FROM logs WHERE keyword = 'kw3' GROUP BY 1),
+b AS (SELECT CAST(trunc(v * 100) AS INT) // 10 AS bucket, CAST(sum(n) AS BIGINT) AS n
+FROM s GROUP BY 1)"""
 
 
 @query(f"WITH {_CURVE} SELECT CAST(bucket AS INT) AS bucket, n, CAST(sum(n) OVER (ORDER BY bucket DESC) AS BIGINT) AS reached FROM b")
@@ -347,7 +400,10 @@ def booking_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bookings(spark, sf_dir).select(F.explode("days").alias("day")).where("day >= '1997'").distinct()
 
 
-@query(f"WITH {_SIGNED} SELECT day, ands, amount, day >= '2000' AS del FROM bb UNION ALL SELECT day, ands, amount * 2, false FROM bb WHERE day >= '2000'")
+@query(f"""
+WITH {_SIGNED} SELECT day, ands, amount, day >= '2000' AS del
+FROM bb UNION ALL SELECT day, ands, amount * 2, false
+FROM bb WHERE day >= '2000'""")
 def replace_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buckets of some days are marked deleted and new ones added."""
     bb = buckets(spark, sf_dir).withColumn("ands", F.array_join("ands", "|"))

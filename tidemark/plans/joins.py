@@ -51,27 +51,43 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series(spark, sf_dir).select("uckey", "price_cat", "ts", Z.total(F.col("ts")).alias("imp"), F.concat(part(F.col("uckey"), 1), F.lit("/"), F.substring("uckey", 1, 1)).alias("cluster_uckey"))
 
 
-@query(f"WITH {MEMBERS_SQL} SELECT f.uckey, f.day, f.cnt, round(ratio, 9) AS ratio FROM fact f JOIN dist d ON f.uckey = d.uckey AND f.price_cat = d.price_cat")
+@query(f"""
+WITH {MEMBERS_SQL} SELECT f.uckey, f.day, f.cnt, round(ratio, 9) AS ratio
+FROM fact f JOIN dist d ON f.uckey = d.uckey AND f.price_cat = d.price_cat""")
 def join_fact_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = S.distribution(members(spark, sf_dir).drop("ts"))
     return fact(spark, sf_dir).join(d, ["uckey", "price_cat"]).select("uckey", "day", "cnt", F.round("ratio", 9).alias("ratio"))
 
 
-@query(f"WITH {MEMBERS_SQL}, n AS (SELECT cluster_uckey, price_cat, CAST(sum(imp) AS BIGINT) AS cluster_imp, count(*) AS size FROM members GROUP BY ALL) SELECT d.uckey, d.price_cat, n.cluster_imp, n.size FROM dist d JOIN n ON d.cluster_uckey = n.cluster_uckey AND d.price_cat = n.price_cat")
+@query(f"""
+WITH {MEMBERS_SQL},
+n AS (SELECT cluster_uckey, price_cat, CAST(sum(imp) AS BIGINT) AS cluster_imp, count(*) AS size
+FROM members GROUP BY ALL) SELECT d.uckey, d.price_cat, n.cluster_imp, n.size
+FROM dist d JOIN n ON d.cluster_uckey = n.cluster_uckey AND d.price_cat = n.price_cat""")
 def join_cluster_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = members(spark, sf_dir).drop("ts")
     norm = m.groupBy("cluster_uckey", "price_cat").agg(F.sum("imp").alias("cluster_imp"), F.count("*").alias("size"))
     return S.distribution(m).join(norm, ["cluster_uckey", "price_cat"]).select("uckey", "price_cat", "cluster_imp", "size")
 
 
-@query(f"WITH {SERIES_SQL}, c AS (SELECT DISTINCT CAST(split_part(uckey, ',', 5) AS INT) AS id, price_cat FROM series) SELECT s.uckey, s.price_cat, CAST(c.id AS VARCHAR) AS cluster_uckey FROM series s JOIN c ON split_part(s.uckey, ',', 5) = CAST(c.id AS VARCHAR) AND s.price_cat = c.price_cat")
+@query(f"""
+WITH {SERIES_SQL},
+c AS (SELECT DISTINCT CAST(split_part(uckey, ',', 5) AS INT) AS id, price_cat
+FROM series) SELECT s.uckey, s.price_cat, CAST(c.id AS VARCHAR) AS cluster_uckey
+FROM series s JOIN c ON split_part(s.uckey, ',', 5) = CAST(c.id AS VARCHAR) AND s.price_cat = c.price_cat""")
 def join_sparse_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = series(spark, sf_dir).select("uckey", "price_cat", part(F.col("uckey"), 4).alias("cluster_uckey"))
     clusters = s.select(F.col("cluster_uckey").cast("int").alias("id"), "price_cat").distinct()
     return s.join(clusters.select(F.col("id").cast("string").alias("cluster_uckey"), "price_cat"), ["cluster_uckey", "price_cat"])
 
 
-@query(f"WITH {FACT_SQL}, s AS (SELECT uckey, year(day) AS y, split_part(uckey, ',', 2) AS si, sum(cnt) AS n FROM fact GROUP BY ALL), t AS (SELECT si, y, sum(n) AS total FROM s GROUP BY ALL) SELECT uckey, s.y, round(100.0 * n / total, 6) AS percent FROM s JOIN t ON s.si = t.si AND s.y = t.y")
+@query(f"""
+WITH {FACT_SQL},
+s AS (SELECT uckey, year(day) AS y, split_part(uckey, ',', 2) AS si, sum(cnt) AS n
+FROM fact GROUP BY ALL),
+t AS (SELECT si, y, sum(n) AS total FROM s
+GROUP BY ALL) SELECT uckey, s.y, round(100.0 * n / total, 6) AS percent
+FROM s JOIN t ON s.si = t.si AND s.y = t.y""")
 def join_broadcast_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fact(spark, sf_dir).groupBy("uckey", F.year("day").alias("y")).agg(F.sum("cnt").alias("n")).withColumn("si", part(F.col("uckey"), 1))
     totals = s.groupBy("si", "y").agg(F.sum("n").alias("total"))  # slots and years
@@ -91,7 +107,10 @@ def join_left_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("uckey", "price_cat").join(dense, ["uckey", "price_cat"], "left_anti").join(sparse, ["uckey", "price_cat"], "left_anti")
 
 
-@query(f"WITH {MEMBERS_SQL} SELECT m.uckey, m.price_cat, m.imp FROM members m JOIN dist d ON m.uckey = d.uckey AND m.price_cat = d.price_cat WHERE d.ratio > 0.004")
+@query(f"""
+WITH {MEMBERS_SQL} SELECT m.uckey, m.price_cat, m.imp
+FROM members m JOIN dist d ON m.uckey = d.uckey AND m.price_cat = d.price_cat
+WHERE d.ratio > 0.004""")
 def join_sql_multi_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = members(spark, sf_dir).drop("ts")
     return spark.sql("SELECT m.uckey, m.price_cat, m.imp FROM {m} m JOIN {d} d ON m.uckey = d.uckey AND m.price_cat = d.price_cat WHERE d.ratio > 0.004", m=m, d=S.distribution(m))
@@ -103,7 +122,11 @@ near AS (SELECT x.vec_id AS a, y.vec_id AS b, 8.0 - sqrt(greatest(list_dot_produ
 top AS (SELECT a, b, score FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, b) <= 5)"""
 
 
-@query(f"WITH {LOGS_SQL}, {VECTORS_SQL}, seeds AS (SELECT DISTINCT CAST(substr(aid, 2) AS BIGINT) AS id FROM logs WHERE is_click = 1 AND keyword = 'kw1') SELECT a, b FROM top JOIN seeds ON a = id")
+@query(f"""
+WITH {LOGS_SQL}, {VECTORS_SQL},
+seeds AS (SELECT DISTINCT CAST(substr(aid, 2) AS BIGINT) AS id
+FROM logs WHERE is_click = 1 AND keyword = 'kw1') SELECT a, b
+FROM top JOIN seeds ON a = id""")
 def join_seed_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators.similarity import top_similar
 
@@ -112,14 +135,22 @@ def join_seed_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("a", F.explode("near").alias("n")).select("a", F.col("n.b").alias("b"))
 
 
-@query(f"WITH {FACT_SQL}, k AS (SELECT DISTINCT uckey, {BUCKET_SQL.format('uckey', 10)} AS bucket_id FROM fact) SELECT count(*) AS keys, count(DISTINCT uckey) AS distinct_keys, count(*) - count(DISTINCT uckey) AS in_two FROM k")
+@query(f"""
+WITH {FACT_SQL},
+k AS (SELECT DISTINCT uckey, {BUCKET_SQL.format('uckey', 10)} AS bucket_id
+FROM fact) SELECT count(*) AS keys, count(DISTINCT uckey) AS distinct_keys, count(*) - count(DISTINCT uckey) AS in_two
+FROM k""")
 def join_bucket_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = fact(spark, sf_dir).select("uckey").withColumn("bucket_id", sha256_bucket(F.col("uckey"), 10)).distinct()
     per = k.groupBy("uckey").agg(F.countDistinct("bucket_id").alias("n"))
     return per.agg(F.sum("n").alias("keys"), F.count("*").alias("distinct_keys"), F.sum(F.col("n") - 1).alias("in_two"))
 
 
-@query(f"WITH {LOGS_SQL}, i AS (SELECT aid, row_number() OVER (ORDER BY aid) AS ix FROM (SELECT DISTINCT aid FROM logs)) SELECT event_id, ix FROM logs JOIN i ON logs.aid = i.aid")
+@query(f"""
+WITH {LOGS_SQL},
+i AS (SELECT aid, row_number() OVER (ORDER BY aid) AS ix
+FROM (SELECT DISTINCT aid FROM logs)) SELECT event_id, ix
+FROM logs JOIN i ON logs.aid = i.aid""")
 def join_index_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = logs(spark, sf_dir)
     return log.join(dense_index(log, "aid", into="ix"), "aid").select("event_id", "ix")

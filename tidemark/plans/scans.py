@@ -14,7 +14,9 @@ from tidemark.plans.registry import query
 from tidemark.sources import tables as S
 from tidemark.sources.scratch import new_folder
 
-BUCKET_SQL = "CAST(list_reduce(list_prepend(0::BIGINT, list_transform(range(8), lambda i: ('0x'||substr(sha256({0}), CAST(i*8+1 AS INT), 8))::BIGINT)), lambda a,x: (a*4294967296 + x) % {1}) AS INT)"
+BUCKET_SQL = """
+CAST(list_reduce(list_prepend(0::BIGINT, list_transform(range(8), lambda i: ('0x'||substr(sha256({0}), CAST(i*8+1 AS INT), 8))::BIGINT)),
+  lambda a,x: (a*4294967296 + x) % {1}) AS INT)"""
 
 
 def _name(what: str) -> str:
@@ -26,7 +28,9 @@ def scan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.scan(spark, f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
 
 
-@query(f"WITH b AS (SELECT c_name, c_mktsegment, {BUCKET_SQL.format('c_name', 10)} AS bucket_id FROM customer) SELECT * FROM b WHERE bucket_id BETWEEN 2 AND 5 AND c_mktsegment <> 'MACHINERY'")
+@query(f"""
+WITH b AS (SELECT c_name, c_mktsegment, {BUCKET_SQL.format('c_name', 10)} AS bucket_id
+FROM customer) SELECT * FROM b WHERE bucket_id BETWEEN 2 AND 5 AND c_mktsegment <> 'MACHINERY'""")
 def scan_bucket_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_name", "c_mktsegment").withColumn("bucket_id", sha256_bucket(F.col("c_name"), 10))
     return T.bucket_range(c, "bucket_id", 2, 5, F.col("c_mktsegment") != "MACHINERY")
@@ -37,7 +41,11 @@ def scan_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.time_range(table(spark, sf_dir, "events"), "ts", "2024-01-05", "2024-01-12 06:00:00").select("event_id", "user_id", "event_type")
 
 
-@query(f"WITH {LOGS_SQL}, b AS (SELECT *, {BUCKET_SQL.format('aid', 4)} AS aid_bucket FROM raw) SELECT event_id, aid, day, aid_bucket FROM b WHERE day BETWEEN '2024-01-03' AND '2024-01-20' AND ts >= TIMESTAMP '2024-01-03 12:00:00' AND ts < TIMESTAMP '2024-01-19' AND aid_bucket = 1")
+@query(f"""
+WITH {LOGS_SQL},
+b AS (SELECT *, {BUCKET_SQL.format('aid', 4)} AS aid_bucket
+FROM raw) SELECT event_id, aid, day, aid_bucket
+FROM b WHERE day BETWEEN '2024-01-03' AND '2024-01-20' AND ts >= TIMESTAMP '2024-01-03 12:00:00' AND ts < TIMESTAMP '2024-01-19' AND aid_bucket = 1""")
 def scan_day_bucket_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = raw_events(spark, sf_dir).withColumn("aid_bucket", sha256_bucket(F.col("aid"), 4)).where(F.col("day").between("2024-01-03", "2024-01-20") & (F.col("aid_bucket") == 1))
     return T.time_range(r, "ts", "2024-01-03 12:00:00", "2024-01-19").select("event_id", "aid", "day", "aid_bucket")
@@ -54,7 +62,10 @@ def write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
-@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders UNION ALL SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+@query("""
+SELECT o_orderkey, o_totalprice, o_orderstatus
+FROM orders UNION ALL SELECT o_orderkey, o_totalprice, o_orderstatus
+FROM orders WHERE o_orderstatus = 'F'""")
 def write_table_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     S.write_partitioned(o, name := _name("orders"), ["o_orderstatus"])
@@ -79,7 +90,10 @@ def create_then_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
-@query("SELECT o_orderstatus AS s, count(*) AS n, '2020-01-02' AS pt_d FROM orders GROUP BY 1 UNION ALL SELECT o_orderpriority, count(*), '2020-01-01' FROM orders GROUP BY 1")
+@query("""
+SELECT o_orderstatus AS s, count(*) AS n, '2020-01-02' AS pt_d
+FROM orders GROUP BY 1 UNION ALL SELECT o_orderpriority, count(*), '2020-01-01'
+FROM orders GROUP BY 1""")
 def insert_overwrite_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, path = table(spark, sf_dir, "orders"), new_folder(spark, "by-day")
     count = lambda c: o.groupBy(F.col(c).alias("s")).agg(F.count("*").alias("n"))
@@ -120,7 +134,12 @@ def read_keyword_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.keyword_lines(spark, path)
 
 
-@query(f"WITH {LOGS_SQL}, i AS (SELECT keyword, row_number() OVER (ORDER BY keyword) - 1 AS ix FROM (SELECT DISTINCT keyword FROM logs)), d(keyword, category) AS (VALUES ('kw0', 'video'), ('kw1', 'video'), ('kw2', 'shopping'), ('kw3', 'travel'), ('kw99', 'none')) SELECT d.keyword, category, ix FROM d JOIN i ON d.keyword = i.keyword")
+@query(f"""
+WITH {LOGS_SQL},
+i AS (SELECT keyword, row_number() OVER (ORDER BY keyword) - 1 AS ix
+FROM (SELECT DISTINCT keyword FROM logs)), d(keyword, category) AS (VALUES ('kw0', 'video'), ('kw1', 'video'), ('kw2', 'shopping'), ('kw3', 'travel'),
+  ('kw99', 'none')) SELECT d.keyword, category, ix
+FROM d JOIN i ON d.keyword = i.keyword""")
 def dict_to_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators.indexing import dense_index
 

@@ -43,7 +43,10 @@ def udaf_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("keyword", "n", "s", (F.col("z") - F.col("a")).alias("span"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, 'kept' AS part, l_quantity - 10 AS q FROM lineitem WHERE l_quantity > 10 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'moved', least(l_quantity, 10) FROM lineitem")
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, 'kept' AS part, l_quantity - 10 AS q
+FROM lineitem WHERE l_quantity > 10 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'moved', least(l_quantity, 10)
+FROM lineitem""")
 def udtf_flatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row becomes one or two."""
     q = F.col("l_quantity")
@@ -51,20 +54,31 @@ def udtf_flatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.inline(parts))
 
 
-@query(f"WITH {SERIES_SQL}, x AS (SELECT uckey, price_cat, unnest(range(7)) AS pos, unnest(ts) AS n FROM series) SELECT uckey, price_cat, CAST(pos AS INT) AS pos, CASE WHEN n > 20 THEN 1 ELSE 0 END AS label FROM x WHERE n IS NOT NULL")
+@query(f"""
+WITH {SERIES_SQL},
+x AS (SELECT uckey, price_cat, unnest(range(7)) AS pos, unnest(ts) AS n
+FROM series) SELECT uckey, price_cat, CAST(pos AS INT) AS pos, CASE WHEN n > 20 THEN 1 ELSE 0 END AS label
+FROM x WHERE n IS NOT NULL""")
 def udtf_explode_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = F.filter(F.transform("ts", lambda x, i: F.struct(i.alias("pos"), x.alias("n"), F.when(x > 20, 1).otherwise(0).alias("label"))), lambda s: s["n"].isNotNull())
     return series(spark, sf_dir).select("uckey", "price_cat", F.inline(samples)).drop("n")
 
 
-@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL HAVING CAST(strftime(max(ts), '%Y-%m-%d') AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+@query("""
+SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n
+FROM events GROUP BY ALL HAVING CAST(strftime(max(ts), '%Y-%m-%d') AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts)
+FROM events) - INTERVAL 1 DAY""")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days that the watermark has closed; the batch form gives the same rows."""
     s = W.event_stream(spark, f"{sf_dir}/events.parquet", _EVENTS)
     return W.drained(W.daily_counts(s, "ts", ["event_type"]), "stream-days").select("event_type", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n")
 
 
-@query(f"WITH {LOGS_SQL}, w AS (SELECT aid, keyword, sec - sec % 43200 AS start, CAST(sum(is_click) AS BIGINT) AS clicks, CAST(sum(1 - is_click) AS BIGINT) AS shows FROM logs GROUP BY ALL) SELECT * FROM w WHERE start + 43200 <= (SELECT epoch(max(ts)) FROM logs) - 21600")
+@query(f"""
+WITH {LOGS_SQL},
+w AS (SELECT aid, keyword, sec - sec % 43200 AS start, CAST(sum(is_click) AS BIGINT) AS clicks, CAST(sum(1 - is_click) AS BIGINT) AS shows
+FROM logs GROUP BY ALL) SELECT * FROM w WHERE start + 43200 <= (SELECT epoch(max(ts))
+FROM logs) - 21600""")
 def stream_click_show(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = W.event_stream(spark, f"{sf_dir}/events.parquet", _EVENTS).where(F.col("event_type").isin("view", "click"))
     k = F.regexp_extract("props", '"k": *([0-9]+)', 1).cast("long") % 12

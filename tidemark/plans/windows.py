@@ -18,14 +18,20 @@ from tidemark.plans.registry import query
 from tidemark.plans.scans import BUCKET_SQL
 
 
-@query(f"WITH {SERIES_SQL} SELECT uckey, price_cat, {IMP} AS imp, CAST(sum({IMP}) OVER (PARTITION BY split_part(uckey, ',', 2)) AS BIGINT) AS slot_total FROM series")
+@query(f"""
+WITH {SERIES_SQL} SELECT uckey, price_cat, {IMP} AS imp, CAST(sum({IMP}) OVER (PARTITION BY split_part(uckey, ',', 2)) AS BIGINT) AS slot_total
+FROM series""")
 def win_slot_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of slots joined back: they are combined before the shuffle, where a window would gather a whole slot."""
     s = series(spark, sf_dir).select("uckey", "price_cat", Z.total(F.col("ts")).alias("imp"), part(F.col("uckey"), 1).alias("si"))
     return s.join(s.groupBy("si").agg(F.sum("imp").alias("slot_total")), "si").select("uckey", "price_cat", "imp", "slot_total")
 
 
-@query(f"WITH {FACT_SQL}, k AS (SELECT DISTINCT uckey, split_part(uckey, ',', 2) || '/' || split_part(uckey, ',', 5) AS pair FROM fact) SELECT uckey, dense_rank() OVER (ORDER BY pair) AS cluster_id FROM k")
+@query(f"""
+WITH {FACT_SQL},
+k AS (SELECT DISTINCT uckey, split_part(uckey, ',', 2) || '/' || split_part(uckey, ',', 5) AS pair
+FROM fact) SELECT uckey, dense_rank() OVER (ORDER BY pair) AS cluster_id
+FROM k""")
 def win_cluster_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = fact(spark, sf_dir).select("uckey").distinct().withColumn("pair", F.concat_ws("/", part(F.col("uckey"), 1), part(F.col("uckey"), 4)))
     return k.join(dense_index(k, "pair", into="cluster_id"), "pair").select("uckey", "cluster_id")
@@ -37,19 +43,30 @@ def win_cluster_imp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(m.groupBy("cluster_uckey").agg(F.sum("imp").alias("cluster_imp")), "cluster_uckey").select("uckey", "price_cat", "cluster_imp")
 
 
-@query(f"WITH {LOGS_SQL}, w AS (SELECT event_id, sum(1 - is_click) OVER (PARTITION BY aid, sec - sec % 86400, keyword) AS shows FROM logs) SELECT event_id FROM w WHERE shows > 0")
+@query(f"""
+WITH {LOGS_SQL},
+w AS (SELECT event_id, sum(1 - is_click) OVER (PARTITION BY aid, sec - sec % 86400, keyword) AS shows
+FROM logs) SELECT event_id FROM w WHERE shows > 0""")
 def win_show_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = daily_logs(spark, sf_dir)
     shown = L.drop_unshown(L.click_show_counts(log, ["aid", "interval", "keyword"])).select("aid", "interval", "keyword")
     return log.join(shown, ["aid", "interval", "keyword"], "left_semi").select("event_id")
 
 
-@query(f"WITH {LOGS_SQL}, u AS (SELECT DISTINCT aid, {BUCKET_SQL.format('aid', 4)} AS b FROM logs) SELECT aid, row_number() OVER (ORDER BY b, aid) AS user_index FROM u")
+@query(f"""
+WITH {LOGS_SQL},
+u AS (SELECT DISTINCT aid, {BUCKET_SQL.format('aid', 4)} AS b
+FROM logs) SELECT aid, row_number() OVER (ORDER BY b, aid) AS user_index
+FROM u""")
 def win_row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucketed_row_index(logs(spark, sf_dir).select("aid").distinct(), "aid", 4, into="user_index")
 
 
-@query(f"WITH {LOGS_SQL}, c AS (SELECT event_id, cume_dist() OVER (PARTITION BY keyword ORDER BY event_id) AS d FROM logs) SELECT event_id, CASE WHEN d <= 0.5 THEN 'r1' WHEN d <= 0.8 THEN 'r2' ELSE 'r3' END AS region FROM c")
+@query(f"""
+WITH {LOGS_SQL},
+c AS (SELECT event_id, cume_dist() OVER (PARTITION BY keyword ORDER BY event_id) AS d
+FROM logs) SELECT event_id, CASE WHEN d <= 0.5 THEN 'r1' WHEN d <= 0.8 THEN 'r2' ELSE 'r3' END AS region
+FROM c""")
 def win_cume_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = L.cumulative_share(logs(spark, sf_dir).select("keyword", "event_id"), "keyword", "event_id", "d")
     return placed.select("event_id", F.when(F.col("d") <= 0.5, "r1").when(F.col("d") <= 0.8, "r2").otherwise("r3").alias("region"))
@@ -66,7 +83,18 @@ def win_zip_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_index(table(spark, sf_dir, "part"), "p_name", first=0, into="ix")
 
 
-@query(f"WITH {SERIES_SQL}, x AS (SELECT uckey, price_cat, unnest(range(7)) AS pos, coalesce(unnest(ts), 0) AS n FROM series), m AS (SELECT uckey, price_cat, pos, CASE WHEN pos BETWEEN 1 AND 5 THEN median(n) OVER (PARTITION BY uckey, price_cat ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS md FROM x), e AS (SELECT *, first_value(md IGNORE NULLS) OVER (PARTITION BY uckey, price_cat ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f, last_value(md IGNORE NULLS) OVER (PARTITION BY uckey, price_cat ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM m) SELECT uckey, price_cat, string_agg(CAST(CAST(coalesce(md, CASE WHEN pos = 0 THEN f ELSE l END) AS BIGINT) AS VARCHAR), ',' ORDER BY pos) AS medians FROM e GROUP BY ALL")
+@query(f"""
+WITH {SERIES_SQL},
+x AS (SELECT uckey, price_cat, unnest(range(7)) AS pos, coalesce(unnest(ts), 0) AS n
+FROM series),
+m AS (SELECT uckey, price_cat, pos, CASE WHEN pos BETWEEN 1 AND 5 THEN median(n) OVER (PARTITION BY uckey,
+  price_cat ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS md
+FROM x),
+e AS (SELECT *, first_value(md IGNORE NULLS) OVER (PARTITION BY uckey,
+  price_cat ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f, last_value(md IGNORE NULLS) OVER (PARTITION BY uckey,
+  price_cat ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l
+FROM m) SELECT uckey, price_cat, string_agg(CAST(CAST(coalesce(md, CASE WHEN pos = 0 THEN f ELSE l END) AS BIGINT) AS VARCHAR), ','
+ORDER BY pos) AS medians FROM e GROUP BY ALL""")
 def win_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = series(spark, sf_dir).select("uckey", "price_cat", Z.rolling_median(Z.zero_filled(F.col("ts")), F.lit(3)).alias("m"))
     return m.select("uckey", "price_cat", F.array_join(F.transform("m", lambda x: x.cast("long").cast("string")), ",").alias("medians"))
@@ -86,7 +114,10 @@ def sort_kw_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("aid", F.array_join(F.transform(F.array_sort(F.transform(F.split("s", ","), lambda x: x.cast("int"))), lambda x: x.cast("string")), ",").alias("kwi"))
 
 
-@query(f"WITH {VECTORS_SQL} SELECT a, string_agg(CAST(b AS VARCHAR), ',' ORDER BY round(score, 9) DESC, b) AS near, round(sum(score), 3) AS total FROM top GROUP BY 1")
+@query(f"""
+WITH {VECTORS_SQL} SELECT a, string_agg(CAST(b AS VARCHAR), ','
+ORDER BY round(score, 9) DESC, b) AS near, round(sum(score), 3) AS total
+FROM top GROUP BY 1""")
 def topk_similar_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = top_similar(table(spark, sf_dir, "embeddings"), 5, within="label")
     return t.select("a", F.array_join(F.transform("near", lambda n: n["b"].cast("string")), ",").alias("near"), F.round(F.aggregate("near", F.lit(0.0), lambda s, n: s + n["score"]), 3).alias("total"))
@@ -117,20 +148,37 @@ def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey").orderBy(F.md5(F.concat(F.lit("7/"), F.col("c_custkey").cast("string"))), "c_custkey").limit(100)
 
 
-@query(f"WITH {LOGS_SQL}, s AS (SELECT aid, round(avg(is_click), 9) AS mean_score FROM logs GROUP BY 1) SELECT * FROM s ORDER BY mean_score DESC, aid LIMIT 40")
+@query(f"""
+WITH {LOGS_SQL},
+s AS (SELECT aid, round(avg(is_click), 9) AS mean_score
+FROM logs GROUP BY 1) SELECT * FROM s ORDER BY mean_score DESC, aid LIMIT 40""")
 def top_extend_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = logs(spark, sf_dir).groupBy("aid").agg(F.round(F.avg("is_click"), 9).alias("mean_score"))
     return s.orderBy(F.desc("mean_score"), "aid").limit(40)
 
 
-@query(f"WITH {SERIES_SQL}, p AS (SELECT uckey, price_cat, {IMP} AS imp FROM series), r AS (SELECT *, row_number() OVER (ORDER BY imp, uckey, price_cat) AS lo, row_number() OVER (ORDER BY imp DESC, uckey, price_cat) AS hi FROM p) SELECT 'min' AS which, uckey, price_cat, imp FROM r WHERE lo <= 3 UNION ALL SELECT 'max', uckey, price_cat, imp FROM r WHERE hi <= 3")
+@query(f"""
+WITH {SERIES_SQL},
+p AS (SELECT uckey, price_cat, {IMP} AS imp
+FROM series),
+r AS (SELECT *, row_number() OVER (ORDER BY imp, uckey, price_cat) AS lo, row_number() OVER (ORDER BY imp DESC, uckey, price_cat) AS hi
+FROM p) SELECT 'min' AS which, uckey, price_cat, imp
+FROM r WHERE lo <= 3 UNION ALL SELECT 'max', uckey, price_cat, imp
+FROM r WHERE hi <= 3""")
 def min_max_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = series(spark, sf_dir).select("uckey", "price_cat", Z.total(F.col("ts")).alias("imp"))
     low = p.orderBy("imp", "uckey", "price_cat").limit(3).select(F.lit("min").alias("which"), "*")
     return low.unionByName(p.orderBy(F.desc("imp"), "uckey", "price_cat").limit(3).select(F.lit("max").alias("which"), "*"))
 
 
-@query(f"WITH {LOGS_SQL}, u AS (SELECT aid, count(*) AS n, sum(is_click) AS c FROM logs GROUP BY 1), h AS (SELECT count(*) // 2 AS h FROM u), r AS (SELECT aid, row_number() OVER (ORDER BY n DESC, aid) AS x, row_number() OVER (ORDER BY c DESC, aid) AS y FROM u) SELECT round(count(*) / CAST((SELECT h FROM h) AS DOUBLE), 6) AS overlap FROM r, h WHERE x <= h AND y <= h")
+@query(f"""
+WITH {LOGS_SQL},
+u AS (SELECT aid, count(*) AS n, sum(is_click) AS c
+FROM logs GROUP BY 1),
+h AS (SELECT count(*) // 2 AS h FROM u),
+r AS (SELECT aid, row_number() OVER (ORDER BY n DESC, aid) AS x, row_number() OVER (ORDER BY c DESC, aid) AS y
+FROM u) SELECT round(count(*) / CAST((SELECT h FROM h) AS DOUBLE), 6) AS overlap
+FROM r, h WHERE x <= h AND y <= h""")
 def top_half_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = logs(spark, sf_dir).groupBy("aid").agg(F.count("*").alias("n"), F.sum("is_click").alias("c"))
     half = u.agg(F.expr("count(*) div 2").alias("h"))  # one row
@@ -142,14 +190,20 @@ def top_half_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Set operations --------------------------------------------------------------------------------------------------------
-@query(f"WITH {LOGS_SQL} SELECT event_id, aid, 0 AS is_click, sec - sec % 3600 AS interval FROM raw WHERE event_type = 'view' UNION ALL SELECT event_id, aid, 1, sec - sec % 3600 FROM raw WHERE event_type = 'click'")
+@query(f"""
+WITH {LOGS_SQL} SELECT event_id, aid, 0 AS is_click, sec - sec % 3600 AS interval
+FROM raw WHERE event_type = 'view' UNION ALL SELECT event_id, aid, 1, sec - sec % 3600
+FROM raw WHERE event_type = 'click'""")
 def union_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = raw_events(spark, sf_dir)
     shows, clicks = (r.where(F.col("event_type") == t) for t in ("view", "click"))
     return L.union_logs(shows.select("event_id", "aid", "sec"), clicks.select("sec", "aid", "event_id"), 3600).select("event_id", "aid", "is_click", "interval")
 
 
-@query(f"WITH {SERIES_SQL} SELECT uckey, price_cat, NULL::VARCHAR AS cluster, 'dense' AS kind FROM series WHERE {NONZERO} > 3 UNION ALL SELECT uckey, price_cat, split_part(uckey, ',', 2), 'sparse' FROM series WHERE {NONZERO} <= 3")
+@query(f"""
+WITH {SERIES_SQL} SELECT uckey, price_cat, NULL::VARCHAR AS cluster, 'dense' AS kind
+FROM series WHERE {NONZERO} > 3 UNION ALL SELECT uckey, price_cat, split_part(uckey, ',', 2), 'sparse'
+FROM series WHERE {NONZERO} <= 3""")
 def union_sparse_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = series(spark, sf_dir).withColumn("n", F.size(Z.nonzero(F.col("ts"))))
     dense = s.where("n > 3").select("uckey", "price_cat", F.lit("dense").alias("kind"))
