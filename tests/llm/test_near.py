@@ -172,23 +172,24 @@ def test_near_documents_of_many_edits(documents):
     assert near == 300 and got == {i: i // 2 * 2 for i in range(600)}
 
 
-@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
-def test_recall_of_near_documents(documents, share):
-    """Pairs of 200 words with that share of words replaced, and beside each a smaller document that shares 60 % with both."""
-    rng = random.Random(int(100 * share))
-    rows, pairs = [], []
-    for k in range(150):
-        w = words(rng, 200)
-        other, hub = list(w), list(w)
-        for i in rng.sample(range(200), int(200 * share)):
-            other[i] = f"e{rng.randrange(99999)}"
-        hub[120:] = words(rng, 80)
-        rows += [(k, " ".join(hub)), (1000 + 2 * k, " ".join(w)), (1001 + 2 * k, " ".join(other))]
-        assert N.edit_similarity(word_hashes(rows[-2][1]), word_hashes(rows[-1][1])) >= 0.8 > N.edit_similarity(word_hashes(rows[-3][1]), word_hashes(rows[-2][1]))
-        pairs.append((1000 + 2 * k, 1001 + 2 * k))
+def test_recall_of_near_documents(documents):
+    """Pairs of 200 words with 5 to 20 % of the words replaced, and beside each a smaller document that shares 60 % with both."""
+    rng = random.Random(15)
+    rows, pairs = [], {}
+    for share in (0.05, 0.1, 0.15, 0.2):
+        for k in range(int(1000 * share), int(1000 * share) + 40):
+            w = words(rng, 200)
+            other, hub = list(w), list(w)
+            for i in rng.sample(range(200), int(200 * share)):
+                other[i] = f"e{rng.randrange(99999)}"
+            hub[120:] = words(rng, 80)
+            rows += [(k, " ".join(hub)), (1000 + 2 * k, " ".join(w)), (1001 + 2 * k, " ".join(other))]
+            assert N.edit_similarity(word_hashes(rows[-2][1]), word_hashes(rows[-1][1])) >= 0.8 > N.edit_similarity(word_hashes(rows[-3][1]), word_hashes(rows[-2][1]))
+            pairs.setdefault(share, []).append((1000 + 2 * k, 1001 + 2 * k))
     got = {r["doc_id"]: r["class_id"] for r in N.near_documents(documents(rows)).collect()}
-    assert sum(got[a] == got[b] == a for a, b in pairs) >= 0.98 * len(pairs)
-    assert all(got[k] == k for k in range(150))
+    for share, own in pairs.items():
+        assert sum(got[a] == got[b] == a for a, b in own) >= 0.95 * len(own), share
+    assert all(got[k] == k for k, _ in rows if k < 1000)
 
 
 def test_near_documents_in_large_buckets(documents, monkeypatch):
