@@ -24,10 +24,10 @@ from tidemark.operators.graph import connected_components
 from tidemark.operators.indexing import starts_of_tasks
 from tidemark.sources.scratch import written
 
-#: Leading axes that cells and boxes are made of.
-AXES = 8
+#: Leading axes that cells are made of, and those that boxes are.
+AXES, BOX_AXES = 8, 32
 #: Vectors of a block at most, and of a leaf of the recursion; bytes of a block at most, if it has more than a leaf.
-BLOCK, LEAF, BLOCK_BYTES = 8192, 256, 4 << 20
+BLOCK, LEAF, BLOCK_BYTES = 8192, 64, 4 << 20
 #: Blocks on either side of the pairs that one task joins.
 TILE = 4
 #: Room for the rounding of projections, in distance.
@@ -69,7 +69,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
 
 
 def _axes(same: DataFrame, dim: int) -> np.ndarray:
-    """The leading principal axes of the unit vectors, (dim, AXES). Sums of dim x dim products, one row a task."""
+    """The leading principal axes of the unit vectors, (dim, BOX_AXES). Sums of dim x dim products, one row a task."""
     schema = pa.schema([("k", pa.int32()), ("s", pa.float64())])
 
     def sums(batches):
@@ -84,7 +84,7 @@ def _axes(same: DataFrame, dim: int) -> np.ndarray:
     n = max(1, same.count())
     total = got.reshape(dim + 1, dim)
     mean = total[dim] / n
-    return np.linalg.eigh(total[:dim] / n - np.outer(mean, mean))[1][:, ::-1][:, : min(AXES, dim)]
+    return np.linalg.eigh(total[:dim] / n - np.outer(mean, mean))[1][:, ::-1][:, : min(BOX_AXES, dim)]
 
 
 def _unit(vectors: pa.Array, dim: int) -> np.ndarray:
@@ -103,18 +103,19 @@ def _blocks(same: DataFrame, dim: int, least: float, block: int) -> tuple[DataFr
     """(block, ids, copies, unit, lo, hi), packed runs of the grid order, and the leading axes."""
     eps = math.sqrt(2 - 2 * least)
     axes = _axes(same, dim)
-    cells = ", ".join(f"c{i} int" for i in range(axes.shape[1]))
-    schema = pa.schema([*[(f"c{i}", pa.int32()) for i in range(axes.shape[1])], ("key", pa.int64()), ("copies", pa.int64()), ("unit", pa.binary())])
+    order = [f"c{i}" for i in range(min(AXES, dim))]
+    cells = ", ".join(f"{c} int" for c in order)
+    schema = pa.schema([*[(c, pa.int32()) for c in order], ("key", pa.int64()), ("copies", pa.int64()), ("unit", pa.binary())])
 
     def place(batches):
         for batch in batches:
             if batch.num_rows:
                 x = _unit(batch.column(0), dim)
-                cell = np.floor(x @ axes / max(eps, 1e-6)).astype(np.int32)
+                cell = np.floor(x @ axes[:, :AXES] / max(eps, 1e-6)).astype(np.int32)
                 yield record_batch(schema, [*cell.T, batch.column(1), batch.column(2), [r.tobytes() for r in x]])
 
     placed = same.select("v", "key", "copies").mapInArrow(place, f"{cells}, key long, copies long, unit binary")
-    order = [f"c{i}" for i in range(axes.shape[1])] + ["key"]
+    order.append("key")
     block = max(LEAF, min(block, same.count() // 16, BLOCK_BYTES // (8 * dim)))
     dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order)
 
