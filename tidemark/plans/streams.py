@@ -91,3 +91,16 @@ def stream_user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users of three days by event type; approximate, so the tests hold it against exact counts with a tolerance."""
     s = W.event_stream(spark, f"{sf_dir}/events.parquet", _EVENTS)
     return W.drained(W.user_days(s, "ts", "user_id", ["event_type"], 3), "stream-users").select("event_type", F.date_format("window_start", "yyyy-MM-dd").alias("first_day"), "users")
+
+
+@query("""
+WITH d AS (SELECT event_type, user_id, CAST(ts AS DATE) AS day FROM events),
+w AS (SELECT event_type, user_id, unnest([day - 2, day - 1, day]) AS first FROM d)
+SELECT event_type, strftime(first, '%Y-%m-%d') AS first_day, count(DISTINCT user_id) AS users
+FROM w WHERE CAST(first AS TIMESTAMP) + INTERVAL 3 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY
+GROUP BY ALL""")
+def stream_exact_user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of three days by event type, each counted once."""
+    s = W.event_stream(spark, f"{sf_dir}/events.parquet", _EVENTS)
+    days = W.drained(W.exact_user_days(s, "ts", "user_id", ["event_type"], 3), "stream-exact-users")
+    return days.select("event_type", F.date_format("window_start", "yyyy-MM-dd").alias("first_day"), "users")

@@ -31,6 +31,12 @@ def user_days(stream: DataFrame, time: str, user: str, keys: list[str], days: in
     return stream.withWatermark(time, delay).groupBy(F.window(time, f"{days} days", "1 day").alias("w"), *keys).agg(F.approx_count_distinct(user, 0.01).alias("users"))
 
 
+def exact_user_days(stream: DataFrame, time: str, user: str, keys: list[str], days: int, delay: str = "1 day") -> DataFrame:
+    """user_days without an error: each user of a window is kept as state once, so the state grows with the users."""
+    in_windows = stream.withWatermark(time, delay).select(F.window(time, f"{days} days", "1 day").alias("w"), *keys, user)
+    return in_windows.dropDuplicates(["w", *keys, user]).groupBy("w", *keys).agg(F.count("*").alias("users"))
+
+
 def drained(counted: DataFrame, name: str) -> DataFrame:
     """Runs the stream over what is there, appends closed windows to a new table and returns it."""
     spark = counted.sparkSession
