@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class Recent(dict):
@@ -35,5 +37,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+def slices_of_bytes(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `size` bytes of a string column, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy().astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
