@@ -106,7 +106,7 @@ def test_allocation_keeps_within_amounts(spark, sf):
     assert j.where("not (k <=> allocated)").count() == 0
 
 
-def test_large_components_are_allocated_booking_by_booking(spark):
+def test_large_components_are_allocated_by_levels(spark):
     import random
 
     rng = random.Random(5)
@@ -122,6 +122,45 @@ def test_large_components_are_allocated_booking_by_booking(spark):
     assert one == many and len(one) > 10
 
 
+def plain_hwm(buckets, demand):
+    """The fold: one booking after another."""
+    left, out = dict(buckets), {}
+    for b, wants in demand:
+        own = [k for k in left if b in k]
+        remaining = sum(left[k] for k in own)
+        for k in own:
+            out[k, b] = int(left[k] * min(wants / remaining, 1.0) + 0.5) if remaining else 0
+            left[k] -= out[k, b]
+    return out
+
+
+def test_five_thousand_bookings_in_rounds_of_the_longest_chain(spark):
+    import random
+
+    from tidemark.operators.levels import placed_by_level
+
+    rng, n = random.Random(8), 5000
+    # neighbours share buckets, so that all bookings are one component; few of them wait for one another
+    sets = {tuple(sorted({f"b{i}", f"b{(i + 1) % n}"})) for i in range(n)} | {tuple(sorted({f"b{rng.randrange(n)}" for _ in range(2)})) for _ in range(1000)}
+    buckets = {a: rng.randrange(50, 900) for a in sets}
+    order = rng.sample(range(n), n)
+    demand = [(f"b{b}", rank, float(rng.randrange(1, 900)), ["d"]) for rank, b in enumerate(order)]
+    rows = spark.createDataFrame([("d", list(a), x) for a, x in buckets.items()], "day string, ands array<string>, amount long")
+    got = B.hwm_allocate(rows, spark.createDataFrame(demand, "bk_id string, rank int, per_day double, days array<string>"), one_task=0)
+    want = plain_hwm(buckets, [(b, w) for b, _, w, _ in demand])
+    assert {(tuple(r["ands"].split("|")), r["bk_id"]): r["allocated"] for r in got.collect()} == want
+
+    level, last = {}, {}
+    for b, *_ in demand:
+        own = [a for a in sets if b in a]
+        level[b] = 1 + max(last.get(a, 0) for a in own)
+        last.update({a: level[b] for a in own})
+    held = rows.withColumn("bk_id", F.explode("ands")).join(spark.createDataFrame([r[:2] for r in demand], "bk_id string, rank int"), "bk_id").withColumn("ands", F.array_join("ands", "|"))
+    placed, levels = placed_by_level(held, ["day", "ands"], ["day", "bk_id"], ["rank", "bk_id"])
+    assert levels == max(level.values()) < 30
+    assert {(r["bk_id"], r["level"]) for r in placed.collect()} == set(level.items())
+
+
 def test_running_sums_and_shares_of_hot_keys(spark):
     import random
 

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.amounts import behaviour_ratio
 from tidemark.operators.graph import connected_components
 from tidemark.operators.indexing import running_sum
+from tidemark.operators.levels import placed_by_level, served_by_level
 from tidemark.sources.scratch import written
 
-#: Rows (a bucket with a booking) of a component up to which one task allocates it; larger ones go booking by booking.
+#: Rows (a bucket with a booking) of a component up to which one task allocates it; larger ones go by levels.
 ONE_TASK = 200_000
 
 
@@ -75,8 +77,9 @@ def hwm_allocate(buckets: DataFrame, demand: DataFrame, scope: str = "day", one_
     buckets: day, ands, amount. demand: bk_id, rank, per_day (what a booking wants on each of its days), days. Day by
     day, a booking takes per_day / remaining (1 at most) of every bucket of the day that serves it, rounded to whole
     impressions. scope: remaining is what its buckets of that `day` have left, or those of `all_days`. Buckets that
-    share no booking are independent. A component of at most one_task rows is one group; in larger ones the components'
-    next bookings are served together, one after another, each by sums over its buckets.
+    share no booking are independent. A component of at most one_task rows is one group; larger ones are served by
+    levels: bookings of a day that share no bucket take their turn in the same round, so there are as many rounds as the
+    longest chain of bookings of which each shares a bucket with the next (for all_days, on each day).
     """
     wanted = demand.select("bk_id", "rank", "per_day", F.explode("days").alias("day"))
     held = components(buckets, scope == "day").withColumn("bk_id", F.explode("ands")).join(wanted, ["day", "bk_id"])
@@ -86,43 +89,64 @@ def hwm_allocate(buckets: DataFrame, demand: DataFrame, scope: str = "day", one_
     sized = rows.join(sizes, keys)
 
     def allocate(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(bucket=rows["day"] + "\x1e" + rows["ands"])
-        left = rows.groupby("bucket")["amount"].first().astype(float).to_dict()
-        of_booking = rows.groupby("bk_id")["bucket"].agg(list).to_dict()
-        out = []
-        for (_, _, bk), own in rows.sort_values(["day", "rank", "bk_id", "bucket"]).groupby(["day", "rank", "bk_id"], sort=True):
-            remaining = sum(left[b] for b in (of_booking[bk] if scope == "all_days" else own["bucket"]))
-            share = min(own["per_day"].iloc[0] / remaining, 1.0) if remaining > 0 else 0.0
-            for r in own.itertuples():
-                got = int(left[r.bucket] * share + 0.5)
-                left[r.bucket] -= got
-                out.append((r.day, r.ands, int(r.amount), bk, got))
-        return pd.DataFrame(out, columns=["day", "ands", "amount", "bk_id", "allocated"])
+        rows, bucket, amounts, turns = _in_turns(rows, ["day", "rank", "bk_id"])
+        left, allocated, own = amounts.astype(float), np.zeros(len(rows), np.int64), {}
+        if scope == "all_days":
+            own = {b: bucket[at] for b, at in rows.groupby("bk_id").indices.items()}
+        for start, stop in turns:
+            at = bucket[start:stop]
+            remaining = left[own[rows["bk_id"].iat[start]] if own else at].sum()
+            share = min(rows["per_day"].iat[start] / remaining, 1.0) if remaining > 0 else 0.0
+            allocated[start:stop] = np.floor(left[at] * share + 0.5)
+            left[at] -= allocated[start:stop]
+        return rows.assign(allocated=allocated)[["day", "ands", "amount", "bk_id", "allocated"]]
 
     columns = "day string, ands string, amount long, bk_id string, allocated long"
     small = sized.where(f"rows <= {one_task}").groupBy(*keys).applyInPandas(allocate, columns)
     large = written(sized.where(f"rows > {one_task}").drop("rows"), "large-components")
-    return small.union(_by_booking(large, keys)) if large.limit(1).count() else small
-
-
-def _by_booking(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """hwm_allocate of large components: turn k serves the k-th booking of each, and the tables stay distributed."""
-    turns = rows.select(*keys, "day", "rank", "bk_id").distinct() if "day" not in keys else rows.select(*keys, "rank", "bk_id").distinct()
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy("day", "rank", "bk_id"))  # one row a booking and day
-    placed = written(rows.join(turns.withColumn("turn", turn), [*keys, *[c for c in ("day", "rank", "bk_id") if c not in keys]]), "turns")
-    left = written(rows.select("day", "ands", F.col("amount").cast("double").alias("left")).distinct(), "left")
-    found = []
-    for k in range(1, (placed.agg(F.max("turn")).first()[0] or 0) + 1):
-        now = placed.where(F.col("turn") == k)
-        serves = now.select(*keys, "bk_id").distinct()
-        # what is left in the booking's buckets of the scope: with days in the keys those of the day, else of all days
-        remaining = placed.join(serves, [*keys, "bk_id"]).join(left, ["day", "ands"]).groupBy(*keys, "bk_id").agg(F.sum("left").alias("remaining"))
-        share = F.when(F.col("remaining") > 0, F.least(F.col("per_day") / F.col("remaining"), F.lit(1.0))).otherwise(0.0)
-        got = now.join(remaining, [*keys, "bk_id"]).join(left, ["day", "ands"]).withColumn("allocated", F.floor(F.col("left") * share + 0.5).cast("long"))
-        found.append(written(got.select("day", "ands", "amount", "bk_id", "allocated"), "allocated"))
-        taken = found[-1].select("day", "ands", "allocated")
-        left = written(left.join(taken, ["day", "ands"], "left").select("day", "ands", (F.col("left") - F.coalesce("allocated", F.lit(0))).alias("left")), "left")
-    return reduce(DataFrame.union, found)
+    return small.union(_hwm_by_levels(large, scope)) if large.limit(1).count() else small
+
+
+def _in_turns(rows: pd.DataFrame, order: list[str]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """The rows of a component in order of turns; each row's bucket's number; the buckets' amounts; where turns begin and end."""
+    rows = rows.sort_values([*order, "ands"]).reset_index(drop=True)
+    bucket, _ = pd.factorize(pd.MultiIndex.from_frame(rows[["day", "ands"]]))
+    amounts = np.zeros(bucket.max() + 1, np.int64)
+    amounts[bucket] = rows["amount"]
+    begins = np.flatnonzero((rows[order] != rows[order].shift()).any(axis=1))
+    return rows, bucket, amounts, list(zip(begins, [*begins[1:], len(rows)]))
+
+
+def _hwm_by_levels(rows: DataFrame, scope: str) -> DataFrame:
+    """hwm_allocate of large components, in rounds of bookings that don't meet; the tables stay distributed."""
+    placed, levels = placed_by_level(rows, ["day", "ands"], ["day", "bk_id"], ["rank", "bk_id"])
+    found = "day", "ands", "amount", "bk_id", F.col("taken").alias("allocated")
+    share = F.when(F.col("remaining") > 0, F.least(F.col("per_day") / F.col("remaining"), F.lit(1.0))).otherwise(0.0)
+    taken = F.floor(F.col("left") * share + 0.5).cast("long")
+
+    def of_day(now: DataFrame) -> DataFrame:
+        remaining = now.groupBy("day", "bk_id").agg(F.sum("left").cast("double").alias("remaining"))
+        return now.join(remaining, ["day", "bk_id"]).withColumn("taken", taken).drop("remaining")
+
+    if scope == "day":
+        return served_by_level(placed, levels, ["day", "ands"], "amount", of_day).select(*found)
+
+    # day after day; what a booking's buckets of all days had left in the morning, less what is gone of the day's own
+    pool = written(rows.groupBy("bk_id").agg(F.sum("amount").alias("pool")), "pool")
+    days = placed.groupBy("day").agg(F.max("level").alias("levels")).orderBy("day").collect()  # one row a day
+    each = []
+    for day, levels in days:
+        own = placed.where(F.col("day") == day)
+
+        def of_all_days(now: DataFrame, pool: DataFrame = pool) -> DataFrame:
+            gone = now.groupBy("bk_id").agg(F.sum(F.col("amount") - F.col("left")).alias("gone")).join(pool, "bk_id")
+            return now.join(gone, "bk_id").withColumn("remaining", (F.col("pool") - F.col("gone")).cast("double")).withColumn("taken", taken).drop("remaining", "pool", "gone")
+
+        each.append(served_by_level(own, levels, ["day", "ands"], "amount", of_all_days).select(*found))
+        of_bucket = each[-1].groupBy("ands").agg(F.sum("allocated").alias("n"))
+        spent = own.select("ands", "bk_id").join(of_bucket, "ands").groupBy("bk_id").agg(F.sum("n").alias("spent"))
+        pool = written(pool.join(spent, "bk_id", "left").select("bk_id", (F.col("pool") - F.coalesce("spent", F.lit(0))).alias("pool")), "pool")
+    return reduce(DataFrame.union, each)
 
 
 def hwm_resources(keys: DataFrame, allocated: DataFrame) -> DataFrame:
@@ -142,7 +166,7 @@ def allocate_batch(buckets: DataFrame, requests: DataFrame, one_task: int = ONE_
     """day, ands, request, booked: requests (request, rank, wanted, day) served in order from the buckets that name them.
 
     A request takes what it still wants from its buckets, those that serve fewest others first, and leaves the rest.
-    Components of over one_task rows are served request by request, as in hwm_allocate.
+    Components of over one_task rows are served by levels, as in hwm_allocate.
     """
     held = components(buckets).withColumn("request", F.explode("ands")).join(requests, ["day", "request"])
     rows = written(held.withColumn("width", F.size("ands")).withColumn("ands", F.array_join("ands", "|")), "request-rows")
@@ -150,38 +174,34 @@ def allocate_batch(buckets: DataFrame, requests: DataFrame, one_task: int = ONE_
     sized = rows.join(rows.groupBy(*keys).agg(F.count("*").alias("rows")), keys)
 
     def serve(rows: pd.DataFrame) -> pd.DataFrame:
-        left = rows.groupby("ands")["amount"].first().to_dict()
-        out = []
-        for _, own in rows.sort_values(["rank", "request", "width", "ands"]).groupby(["rank", "request"], sort=True):
-            wanted = int(own["wanted"].iloc[0])
-            for r in own.itertuples():
-                got = min(wanted, int(left[r.ands]))
-                if got:
-                    left[r.ands] -= got
-                    wanted -= got
-                    out.append((r.day, r.ands, r.request, got))
-        return pd.DataFrame(out, columns=["day", "ands", "request", "booked"])
+        rows, bucket, left, turns = _in_turns(rows, ["rank", "request", "width"])
+        booked = np.zeros(len(rows), np.int64)
+        wanted = dict(zip(rows["request"], rows["wanted"]))
+        for start, stop in turns:  # a request's buckets of one width
+            at, request = bucket[start:stop], rows["request"].iat[start]
+            upto = np.cumsum(left[at])
+            booked[start:stop] = np.clip(wanted[request] - upto + left[at], 0, left[at])
+            left[at] -= booked[start:stop]
+            wanted[request] -= booked[start:stop].sum()
+        return rows.assign(booked=booked)[["day", "ands", "request", "booked"]][booked > 0]
 
     columns = "day string, ands string, request string, booked long"
     small = sized.where(f"rows <= {one_task}").groupBy(*keys).applyInPandas(serve, columns)
     large = written(sized.where(f"rows > {one_task}").drop("rows"), "large-components")
-    return small.union(_by_request(large)) if large.limit(1).count() else small
+    return small.union(_batch_by_levels(large)) if large.limit(1).count() else small
 
 
-def _by_request(rows: DataFrame) -> DataFrame:
-    """allocate_batch of large components: turn k serves the k-th request of each; running sums say what it takes."""
-    keys = ["day", "component"]
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "request"))  # one row a request
-    placed = written(rows.join(rows.select(*keys, "rank", "request").distinct().withColumn("turn", turn), [*keys, "rank", "request"]), "turns")
-    left = written(rows.select("day", "ands", F.col("amount").alias("left")).distinct(), "left")
-    found = []
-    for k in range(1, (placed.agg(F.max("turn")).first()[0] or 0) + 1):
-        now = running_sum(placed.where(F.col("turn") == k).join(left, ["day", "ands"]), keys, ["width", "ands"], "left", "upto")
-        got = F.greatest(F.least("left", F.col("wanted") - F.col("upto") + F.col("left")), F.lit(0))
-        found.append(written(now.select("day", "ands", "request", got.cast("long").alias("booked")).where("booked > 0"), "booked"))
-        taken = found[-1].select("day", "ands", "booked")
-        left = written(left.join(taken, ["day", "ands"], "left").select("day", "ands", (F.col("left") - F.coalesce("booked", F.lit(0))).alias("left")), "left")
-    return reduce(DataFrame.union, found)
+def _batch_by_levels(rows: DataFrame) -> DataFrame:
+    """allocate_batch of large components, in rounds of requests that don't meet; running sums say what each takes."""
+    placed, levels = placed_by_level(rows, ["day", "ands"], ["day", "request"], ["rank", "request"])
+
+    def serve(now: DataFrame) -> DataFrame:
+        upto = running_sum(now, ["day", "request"], ["width", "ands"], "left", "upto")
+        taken = F.greatest(F.least("left", F.col("wanted") - F.col("upto") + F.col("left")), F.lit(0))
+        return upto.withColumn("taken", taken.cast("long")).drop("upto")
+
+    served = served_by_level(placed, levels, ["day", "ands"], "amount", serve)
+    return served.where("taken > 0").select("day", "ands", "request", F.col("taken").alias("booked"))
 
 
 def replace_buckets(old: DataFrame, new: DataFrame) -> DataFrame:
