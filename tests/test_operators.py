@@ -176,16 +176,77 @@ def test_running_sums_and_shares_of_hot_keys(spark):
     assert got == sorted((k or "", n, round(sum(q == k and m <= n for q, _, m in rows) / sum(q == k for q, _, _ in rows), 9)) for k, _, n in rows)
 
 
+def fits(lists, values):
+    """A null list fits nothing, a null value only empty lists."""
+    return all(x is not None and (not x or v in x and v is not None) for x, v in zip(lists, values))
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_channels_beyond_the_few(spark, monkeypatch, how):
-    from tidemark.operators import targeting as T
-
-    channels = spark.createDataFrame([(1, ["x"], []), (2, [], ["p", "q"]), (3, [], []), (4, ["x", "y"], ["p"]), (5, ["none"], [])], "id int, g array<string>, a array<string>").where("id <> 3")
-    rows = spark.createDataFrame([("x", "p", 1), ("y", "p", 2), ("z", "z", 3), ("x", None, 4), ("*", "q", 5), ("x", "p", 1)], "g string, a string, n int")
-    few = sorted(map(repr, T.match_channels(channels, rows, ["g", "a"], how).select("g", "a", "n", "id", "tc_g", "tc_a").collect()))
-    monkeypatch.setattr(T, "FEW", 0)
-    assert sorted(map(repr, T.match_channels(channels, rows, ["g", "a"], how).select("g", "a", "n", "id", "tc_g", "tc_a").collect())) == few
-    assert len(few) == (10 if how == "inner" else 11)
+def test_channels_of_odd_rows(spark, how):
+    from tidemark.operators.targeting import match_channels
+
+    channels = [(1, ["x"], []), (2, [], ["p", "q"]), (3, ["x", "x"], [None, "p"]), (4, ["x", "y"], ["p"]), (5, ["none"], []), (6, None, []), (7, [], [None])]
+    rows = [("x", "p", 1), ("y", "p", 2), ("z", "z", 3), ("x", None, 4), ("*", "q", 5), ("x", "p", 1), (None, None, 6), ("", "", 7)]
+    df = match_channels(spark.createDataFrame(channels, "id int, g array<string>, a array<string>"), spark.createDataFrame(rows, "g string, a string, n int"), ["g", "a"], how)
+    want = [(*r, c[0]) for r in rows for c in channels if fits(c[1:], r)]
+    want += [(*r, None) for r in rows if how == "left" and not any(fits(c[1:], r) for c in channels)]
+    assert sorted(map(repr, (tuple(r) for r in df.select("g", "a", "n", "id").collect()))) == sorted(map(repr, want))
+    assert match_channels(df.sparkSession.createDataFrame([], "id int, g array<string>, a array<string>"), spark.createDataFrame(rows, "g string, a string, n int"), ["g", "a"], how).count() == (8 if how == "left" else 0)
+
+
+def test_fifty_thousand_channels(spark):
+    import random
+
+    from tidemark.operators.targeting import match_channels
+
+    rng = random.Random(3)
+    pick = lambda n: [f"v{rng.randrange(n)}" for _ in range(rng.randrange(4))]
+    channels = [(i, pick(40), pick(9), pick(500)) for i in range(50_000)]
+    rows = [(f"v{i % 45}", f"v{i % 10}", f"v{rng.randrange(500)}", i) for i in range(60)]
+    df = match_channels(spark.createDataFrame(channels, "id int, g array<string>, a array<string>, r array<string>"), spark.createDataFrame(rows, "g string, a string, r string, n int"), ["g", "a", "r"])
+    assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("NestedLoop", "Cartesian"))
+    got = {(r["id"], r["n"]) for r in df.select("id", "n").collect()}
+    assert got == {(c[0], r[3]) for c in channels for r in rows if fits(c[1:], r)}
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_channels_that_meet(spark):
+    import random
+
+    from tidemark.operators.targeting import intersecting
+
+    rng = random.Random(4)
+    pick = lambda n: [f"v{rng.randrange(n)}" for _ in range(rng.randrange(3))]
+    channels = [(i, pick(5), pick(9)) for i in range(150)] + [(150, None, [])]
+    meet = lambda x, y: all(a is not None and b is not None and (not a or not b or set(a) & set(b)) for a, b in zip(x[1:], y[1:]))
+    got = {tuple(r) for r in intersecting(spark.createDataFrame(channels, "id int, g array<string>, a array<string>"), "id", ["g", "a"]).collect()}
+    assert got == {(x[0], y[0], bool(meet(x, y))) for x in channels for y in channels if x[0] < y[0]}
+
+
+def test_exact_search_leaves_blocks_out(spark, monkeypatch):
+    import numpy as np
+
+    from tidemark.operators import nearest as N
+
+    monkeypatch.setattr(N, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(9)
+    grouped = rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] * 4 + rng.normal(size=(4000, 16)) * 0.3
+    grouped[100:140] = grouped[7]  # copies, a tie of all of them
+    even = rng.normal(size=(1200, 16))
+    for x, skipped in ((grouped, 0.8), (even, 0.0)):
+        rows = [(["p", "q"][i % 7 == 0], i, v.tolist(), i % 3 != 1) for i, v in enumerate(x)]
+        found = N.nearest(spark.createDataFrame(rows, "g string, id long, v array<double>, asked boolean"), 6, cell_rows=50).collect()
+        assert sorted(r["a"] for r in found) == [i for _, i, _, asked in rows if asked]
+        own = {g: np.array([i for h, i, *_ in rows if h == g]) for g in "pq"}
+        for r in found:
+            ids = own[rows[r["a"]][0]]
+            d = N.distances(x[r["a"] : r["a"] + 1], x[ids])[0]
+            want = ids[np.lexsort((ids, np.round(d, 6)))[:6]]
+            assert np.allclose(d[np.searchsorted(ids, r["b"])], np.sort(d)[:6], atol=1e-6) and len(set(r["b"])) == 6
+            assert r["a"] >= 100 and r["a"] < 140 or r["b"] == want.tolist()
+        compared, pairs = sum(r["seen"] for r in found), sum(len(own[rows[r["a"]][0]]) for r in found)
+        assert compared <= (1 - skipped) * pairs
+    assert N.nearest(spark.createDataFrame([], "g string, id long, v array<double>, asked boolean"), 3).collect() == []
 
 
 def test_recall_of_the_coarse_index(spark, sf):

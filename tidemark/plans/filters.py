@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import keys as K
 from tidemark.functions import series as Z
 from tidemark.operators import tables as T
+from tidemark.operators.targeting import intersecting, match_channels
 from tidemark.plans.inputs import BOOKINGS_SQL, CHANNELS_SQL, FACT_SQL, INVENTORY_SQL, LOGS_SQL, MATCH_SQL, SERIES_SQL, TBR_SQL, behaviour, bookings, channels, fact, inventory, logs, series, table, text_of
 from tidemark.plans.registry import query
 
@@ -146,8 +147,6 @@ def fill_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {INVENTORY_SQL}, {CHANNELS_SQL} SELECT tc.id, count(*) AS n FROM tc JOIN inv ON {MATCH_SQL} GROUP BY 1")
 def predicate_single_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.operators.targeting import match_channels
-
     return match_channels(channels(spark, sf_dir), inventory(spark, sf_dir), ATTRIBUTES).groupBy("id").agg(F.count("*").alias("n"))
 
 
@@ -248,11 +247,8 @@ _CROSS = " AND ".join(f"(len(x.{c}) = 0 OR len(y.{c}) = 0 OR list_has_any(x.{c},
 
 @query(f"WITH {CHANNELS_SQL} SELECT x.id AS a_id, y.id AS b_id, {_CROSS} AS meets FROM tc x JOIN tc y ON x.id < y.id")
 def targeting_intersects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Channels are a parameter table of a few rows; each is held against the others."""
-    tc = channels(spark, sf_dir)
-    x, y = tc.alias("x"), F.broadcast(tc).alias("y")
-    sides = [{c: F.col(f"{s}.{c}") for c in ("a", "g", "si", "t", "m")} for s in "xy"]
-    return x.join(y, F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a_id"), F.col("y.id").alias("b_id"), T.channels_intersect(*sides, ("a", "g", "si", "t", "m")).alias("meets"))
+    """Each channel against the others, by bitmaps of channels."""
+    return intersecting(channels(spark, sf_dir), "id", ("a", "g", "si", "t", "m"))
 
 
 @query(f"WITH {CHANNELS_SQL} SELECT id, len(a) > 0 OR len(m) > 0 OR len(r) > 0 AS multi FROM tc")
