@@ -342,6 +342,74 @@ def test_user_windows_match_batch(spark, sf):
     assert j and all(abs(r["users"] - r["n"]) <= max(2, 0.05 * r["n"]) for r in j)
 
 
+def test_bucketed_tables_are_joined_without_a_shuffle(spark, sf):
+    from tidemark.plans.joins import join_bucketed_fact
+
+    plan = join_bucketed_fact(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_distinct_sketches(spark, sf):
+    from tidemark.operators import sketches as K
+    from tidemark.streaming import windows as W
+
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("day", F.to_date("ts"))
+    batch = K.distinct_sketch(e, ["day", "event_type"], "user_id")
+    stream = W.event_stream(spark, f"{sf}/events.parquet", "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    streamed = W.drained(W.daily_sketches(stream, "ts", "user_id", ["event_type"]), "sketches").select(F.to_date("window_start").alias("day"), "event_type", "register", "rank")
+    days = [r["day"] for r in streamed.select("day").distinct().collect()]
+    assert len(days) > 5 and sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.where(F.col("day").isin(days)).collect()))
+    merged = K.merged_sketch(K.distinct_sketch(e, ["day", "event_type"], "user_id"), ["event_type"])
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, K.distinct_sketch(e, ["event_type"], "user_id").collect()))
+    for n, most in ((1, 0), (50, 0.01), (3000, 0.022), (20_000, 0.022)):  # 20 groups of n values, each twice
+        values = spark.range(40 * n).select((F.col("id") % (20 * n)).alias("u")).withColumn("k", F.expr(f"u div {n}"))
+        got = [r["n"] for r in K.distinct_estimate(K.distinct_sketch(values, ["k"], "u"), ["k"], "n").collect()]
+        assert len(got) == 20 and (sum((x / n - 1) ** 2 for x in got) / 20) ** 0.5 <= most
+    assert K.distinct_estimate(K.distinct_sketch(values.limit(0), ["k"], "u"), ["k"], "n").collect() == []
+
+
+def test_quantile_sketches(spark):
+    from tidemark.operators import sketches as K
+
+    values = spark.range(40_000).select((F.col("id") % 30).alias("day"), F.lit("k").alias("k"), F.when(F.col("id") % 7 > 0, F.pow(F.xxhash64("id") % 1000, F.lit(3.0))).alias("x"))
+    found = K.merged_quantiles(K.quantile_sketch(values, ["k", "day"], "x"), ["k"], [0.1, 0.5, 0.99]).first()
+    x = sorted(r["x"] for r in values.where("x is not null").collect())
+    assert found["n"] == len(x)
+    for r, q in zip((0.1, 0.5, 0.99), found["quantiles"]):
+        assert sum(v < q for v in x) <= (r + 0.02) * len(x) and sum(v <= q for v in x) >= (r - 0.02) * len(x)
+
+
+def test_folds(spark, monkeypatch):
+    import random
+
+    from tidemark.operators import folds
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(3), rng.randrange(5000) if rng.random() < 0.95 else None) for _ in range(2000)] + [("c", 1, None)]
+    df = spark.createDataFrame(rows, "k string, day int, at long").repartition(7)
+    for groups in (10_000, 1):
+        monkeypatch.setattr(folds, "GROUPS", groups)
+        got = {(r["k"], r["day"]): (r["n"], r["covered"]) for r in folds.folded(df, ["k", "day"], folds.Coverage("at", 4)).collect()}
+        want = {}
+        for k, day, at in rows:
+            n, seen = want.get((k, day), (0, set()))
+            want[k, day] = n + 1, seen | (set(range(at, at + 4)) if at is not None else set())
+        assert got == {k: (n, len(seen)) for k, (n, seen) in want.items()}
+    assert folds.folded(df.limit(0), ["k"], folds.Coverage("at", 4)).collect() == []
+
+
+def test_table_functions(spark):
+    from tidemark.operators.table_functions import register_table_functions
+
+    register_table_functions(spark)
+    rows = spark.sql("SELECT n, part, q FROM VALUES (3), (10), (25), (null) AS t(n), LATERAL split_amount(n, 10)").collect()
+    assert sorted(map(tuple, rows)) == [(3, "moved", 3), (10, "moved", 10), (25, "kept", 15), (25, "moved", 10)]
+    assert sorted(map(tuple, spark.sql("SELECT part, q FROM split_amount(2.5D, 1)").collect())) == [("kept", 1.5), ("moved", 1.0)]
+    lines = spark.createDataFrame([("a", 2, 5), ("a", 1, 7), ("b", 1, None), ("a", 3, 4), ("b", 2, 30)], "k string, o int, q int")
+    got = spark.sql("SELECT * FROM split_running(TABLE({t}), 10, 'k', 'o', 'q')", t=lines).collect()
+    assert sorted(map(tuple, got)) == [("a", 1, "moved", 7.0), ("a", 2, "kept", 2.0), ("a", 2, "moved", 3.0), ("a", 3, "kept", 4.0), ("b", 2, "kept", 20.0), ("b", 2, "moved", 10.0)]
+
+
 def test_auc_ties_and_one_class(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1)], "y int, s double")
     assert L.auc(df, "y", "s").first()["auc"] == pytest.approx(0.875)

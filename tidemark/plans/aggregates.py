@@ -10,9 +10,11 @@ from tidemark.functions.keys import part
 from tidemark.operators import logs as L
 from tidemark.operators import series as S
 from tidemark.operators.indexing import dense_index
+from tidemark.operators.sketches import merged_quantiles, quantile_sketch
 from tidemark.plans.filters import H_SUM, IMP, NONZERO, users, USERS_SQL
 from tidemark.plans.inputs import BOOKINGS_SQL, FACT_SQL, INVENTORY_SQL, LOGS_SQL, PERSONA_SQL, SERIES_SQL, TBR_SQL, behaviour, bookings, fact, inventory, logs, persona, series, table
 from tidemark.plans.registry import query
+from tidemark.sources.scratch import written
 
 _C = "CAST(sum(cnt) AS BIGINT)"
 COUNTS_SQL = f"""
@@ -163,6 +165,21 @@ def agg_sketched_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.agg(med(~F.col("dense")).alias("sparse_median"), med(F.col("dense")).alias("dense_median"))
 
 
+@query("SELECT l_returnflag AS flag, CAST(year(l_shipdate) AS INT) AS year, count(*) AS n, true AS within FROM lineitem GROUP BY ALL")
+def agg_quantiles_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price quartiles by year from sketches that are kept by day, and whether each has its rank within 2 % of the rows."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.to_date("l_shipdate").alias("day"), F.year("l_shipdate").cast("int").alias("year"), F.col("l_extendedprice").alias("price"))
+    daily = written(quantile_sketch(rows, ["flag", "year", "day"], "price"), "daily-quantiles")
+    ranks = (0.25, 0.5, 0.75)
+    found = merged_quantiles(daily, ["flag", "year"], ranks)
+    at = F.col("quantiles")
+    j = rows.join(found.select("flag", "year", "quantiles"), ["flag", "year"])
+    counted = [F.count_if(F.col("price") < at[k]).alias(f"below{k}") for k in range(3)] + [F.count_if(F.col("price") <= at[k]).alias(f"upto{k}") for k in range(3)]
+    held = j.groupBy("flag", "year").agg(F.count("*").alias("n"), *counted)
+    near = [(F.col(f"below{k}") <= (r + 0.02) * F.col("n") + 1) & (F.col(f"upto{k}") >= (r - 0.02) * F.col("n") - 1) for k, r in enumerate(ranks)]
+    return held.select("flag", "year", "n", (near[0] & near[1] & near[2]).alias("within"))
+
+
 @query(f"""
 WITH {SERIES_SQL},
 x AS (SELECT unnest(range(7)) AS pos, unnest(ts) AS n

@@ -15,7 +15,8 @@ from tidemark.operators.targeting import match_channels
 from tidemark.plans.filters import ATTRIBUTES, H_SUM, IMP, NONZERO
 from tidemark.plans.inputs import CHANNELS_SQL, FACT_SQL, INVENTORY_SQL, LOGS_SQL, MATCH_SQL, PERSONA_SQL, SERIES_SQL, channels, fact, inventory, logs, persona, raw_events, series, table
 from tidemark.plans.registry import query
-from tidemark.plans.scans import BUCKET_SQL
+from tidemark.plans.scans import BUCKET_SQL, _name
+from tidemark.sources.tables import write_bucketed
 
 KEYWORDS_SQL = "kw AS (SELECT DISTINCT spread_app_id, replace(spread_app_id, 'app', 'kw') AS keyword FROM raw WHERE spread_app_id <> 'app7')"
 
@@ -59,6 +60,19 @@ def join_fact_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact(spark, sf_dir).join(d, ["uckey", "price_cat"]).select("uckey", "day", "cnt", F.round("ratio", 9).alias("ratio"))
 
 
+@query(f"""
+WITH {MEMBERS_SQL} SELECT f.uckey, f.day, f.cnt, round(ratio, 9) AS ratio
+FROM fact f JOIN dist d ON f.uckey = d.uckey AND f.price_cat = d.price_cat""")
+def join_bucketed_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """join_fact_distribution over stored tables in buckets of the key: the join reads both without a shuffle."""
+    keys = ["uckey", "price_cat"]
+    stored = {"fact": fact(spark, sf_dir), "shares": S.distribution(members(spark, sf_dir).drop("ts"))}
+    names = {k: _name(k) for k in stored}
+    for k, df in stored.items():
+        write_bucketed(df, names[k], keys, 16)
+    return spark.table(names["fact"]).hint("merge").join(spark.table(names["shares"]), keys).select("uckey", "day", "cnt", F.round("ratio", 9).alias("ratio"))
+
+
 @query(f"""
 WITH {MEMBERS_SQL},
 n AS (SELECT cluster_uckey, price_cat, CAST(sum(imp) AS BIGINT) AS cluster_imp, count(*) AS size

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.folds import Coverage, folded
 from tidemark.operators.scoring import scored, value_bands
+from tidemark.operators.sketches import distinct_estimate, sliding_sketch
+from tidemark.operators.table_functions import register_table_functions
 from tidemark.plans.inputs import LOGS_SQL, SERIES_SQL, logs, series, table
 from tidemark.plans.registry import query
 from tidemark.streaming import windows as W
@@ -36,11 +39,13 @@ def udf_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(scaled(10.0, 40.0)(F.col("p_size")), 6).alias("s"))
 
 
-@query(f"WITH {LOGS_SQL} SELECT keyword, count(*) AS n, CAST(sum(sec % 1000) AS BIGINT) AS s, max(sec) - min(sec) AS span FROM logs GROUP BY 1")
+@query(f"""
+WITH {LOGS_SQL},
+g AS (SELECT keyword, sec, sec - max(sec) OVER (PARTITION BY keyword ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM logs)
+SELECT keyword, count(*) AS n, CAST(sum(least(coalesce(gap, 900), 900)) AS BIGINT) AS covered FROM g GROUP BY 1""")
 def udaf_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's aggregate as a fold over partial states (n, s, first, last), combined before the shuffle."""
-    x = logs(spark, sf_dir).groupBy("keyword").agg(F.count("*").alias("n"), F.sum(F.col("sec") % 1000).alias("s"), F.max("sec").alias("z"), F.min("sec").alias("a"))
-    return x.select("keyword", "n", "s", (F.col("z") - F.col("a")).alias("span"))
+    """A user's aggregate: how many seconds a keyword's visits cover if each lasts a quarter of an hour."""
+    return folded(logs(spark, sf_dir), ["keyword"], Coverage("sec", 900))
 
 
 @query("""
@@ -48,10 +53,22 @@ SELECT l_orderkey, l_linenumber, l_partkey, 'kept' AS part, l_quantity - 10 AS q
 FROM lineitem WHERE l_quantity > 10 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'moved', least(l_quantity, 10)
 FROM lineitem""")
 def udtf_flatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row becomes one or two."""
-    q = F.col("l_quantity")
-    parts = F.filter(F.array(F.struct(F.lit("kept").alias("part"), (q - 10).alias("q")), F.struct(F.lit("moved").alias("part"), F.least(q, F.lit(10.0)).alias("q"))), lambda s: s["q"] > 0)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.inline(parts))
+    """One row becomes one or two, by a table function in a lateral join."""
+    register_table_functions(spark)
+    sql = "SELECT l_orderkey, l_linenumber, l_partkey, part, q FROM {rows}, LATERAL split_amount(l_quantity, 10)"
+    return spark.sql(sql, rows=table(spark, sf_dir, "lineitem"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_extendedprice, l_quantity AS q, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice) AS upto FROM lineitem),
+m AS (SELECT *, greatest(least(q, 40 - upto + q), 0) AS moved FROM r)
+SELECT l_orderkey, l_extendedprice, 'moved' AS part, CAST(moved AS DOUBLE) AS q FROM m WHERE moved > 0
+UNION ALL SELECT l_orderkey, l_extendedprice, 'kept', CAST(q - moved AS DOUBLE) FROM m WHERE q > moved""")
+def udtf_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 40 of each order's quantities are moved, the cheapest lines first, by a table function over its lines."""
+    register_table_functions(spark)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_quantity")
+    return spark.sql("SELECT * FROM split_running(TABLE({lines}), 40, 'l_orderkey', 'l_extendedprice', 'l_quantity')", lines=lines)
 
 
 @query(f"""
@@ -86,11 +103,24 @@ def stream_click_show(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.drained(W.click_show(s, "ts", ["aid", "keyword"], "12 hours", "6 hours"), "stream-clicks").select("aid", "keyword", F.unix_timestamp("window_start").alias("start"), "clicks", "shows")
 
 
-@query()
+_REGISTERS = """
+h AS (SELECT DISTINCT event_type, CAST(ts AS DATE) AS day, md5(user_id::VARCHAR) AS h FROM events WHERE user_id IS NOT NULL),
+s AS (SELECT event_type, day, ('0x' || h[1:3])::INT AS register, max(53 - CASE WHEN ('0x' || h[4:16])::BIGINT > 0 THEN length(bin(('0x' || h[4:16])::BIGINT)) ELSE 0 END) AS rank FROM h GROUP BY ALL)"""
+_ESTIMATE = "CASE WHEN raw <= 10240 AND n < 4096 THEN 4096 * ln(4096 / (4096.0 - n)) ELSE raw END"
+
+
+@query(f"""
+WITH {_REGISTERS},
+closed AS (SELECT * FROM s WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY),
+m AS (SELECT event_type, first, register, max(rank) AS rank FROM (SELECT *, unnest([day - 2, day - 1, day]) AS first FROM closed) WHERE first + 2 <= (SELECT max(day) FROM closed) GROUP BY ALL),
+e AS (SELECT event_type, first, count(*) AS n, 0.7213 / (1 + 1.079 / 4096) * 4096 * 4096 / (sum(pow(2.0, -rank)) + 4096 - count(*)) AS raw FROM m GROUP BY ALL)
+SELECT event_type, strftime(first, '%Y-%m-%d') AS first_day, CAST(round({_ESTIMATE}) AS BIGINT) AS users FROM e""")
 def stream_user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users of three days by event type; approximate, so the tests hold it against exact counts with a tolerance."""
-    s = W.event_stream(spark, f"{sf_dir}/events.parquet", _EVENTS)
-    return W.drained(W.user_days(s, "ts", "user_id", ["event_type"], 3), "stream-users").select("event_type", F.date_format("window_start", "yyyy-MM-dd").alias("first_day"), "users")
+    """Users of every three days by event type, about: the stream keeps a sketch of each day, which are then merged."""
+    stream = W.event_stream(spark, f"{sf_dir}/events.parquet", _EVENTS)
+    daily = W.drained(W.daily_sketches(stream, "ts", "user_id", ["event_type"]), "stream-users").withColumn("day", F.to_date("window_start"))
+    users = distinct_estimate(sliding_sketch(daily, ["event_type"], 3), ["event_type", "first_day"], "users")
+    return users.select("event_type", F.date_format("first_day", "yyyy-MM-dd").alias("first_day"), "users")
 
 
 @query("""

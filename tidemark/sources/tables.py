@@ -21,6 +21,15 @@ def write_partitioned(df: DataFrame, name: str, columns: Sequence[str], mode: st
         df.write.partitionBy(*columns).mode(mode).saveAsTable(name)
 
 
+def write_bucketed(df: DataFrame, name: str, columns: Sequence[str], buckets: int) -> None:
+    """A table whose rows lie in files by a hash of the columns, each sorted by them.
+
+    Tables with as many buckets on their common columns are joined and grouped by them without a shuffle. Rows are dealt
+    by the same hash before the write, so a bucket is one file.
+    """
+    df.repartition(buckets, *columns).write.bucketBy(buckets, *columns).sortBy(*columns).mode("overwrite").saveAsTable(name)
+
+
 def overwrite_partition(df: DataFrame, path: str, column: str, value: str) -> None:
     """Replaces one partition of a folder of Parquet files; the others stay."""
     df.withColumn(column, F.lit(value)).write.option("partitionOverwriteMode", "dynamic").partitionBy(column).mode("overwrite").parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.sketches import distinct_sketch
 from tidemark.sources.scratch import new_folder
 
 
@@ -26,13 +27,13 @@ def click_show(stream: DataFrame, time: str, keys: list[str], width: str, delay:
     return stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), *keys).agg(F.sum("is_click").alias("clicks"), F.sum(1 - F.col("is_click")).alias("shows"))
 
 
-def user_days(stream: DataFrame, time: str, user: str, keys: list[str], days: int, delay: str = "1 day") -> DataFrame:
-    """Distinct users in sliding windows of some days, approximately (relative deviation of 1 %)."""
-    return stream.withWatermark(time, delay).groupBy(F.window(time, f"{days} days", "1 day").alias("w"), *keys).agg(F.approx_count_distinct(user, 0.01).alias("users"))
+def daily_sketches(stream: DataFrame, time: str, user: str, keys: list[str], delay: str = "1 day") -> DataFrame:
+    """A distinct sketch of the users of each day; the state is bounded by the sketch, whatever the number of users."""
+    return distinct_sketch(stream.withWatermark(time, delay).withColumn("w", F.window(time, "1 day")), ["w", *keys], user)
 
 
 def exact_user_days(stream: DataFrame, time: str, user: str, keys: list[str], days: int, delay: str = "1 day") -> DataFrame:
-    """user_days without an error: each user of a window is kept as state once, so the state grows with the users."""
+    """Distinct users in sliding windows of some days: each user of a window is kept as state once, so the state grows with the users."""
     in_windows = stream.withWatermark(time, delay).select(F.window(time, f"{days} days", "1 day").alias("w"), *keys, user)
     return in_windows.dropDuplicates(["w", *keys, user]).groupBy("w", *keys).agg(F.count("*").alias("users"))
 
