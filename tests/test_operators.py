@@ -361,7 +361,7 @@ def test_distinct_sketches(spark, sf):
     assert len(days) > 5 and sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.where(F.col("day").isin(days)).collect()))
     merged = K.merged_sketch(K.distinct_sketch(e, ["day", "event_type"], "user_id"), ["event_type"])
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, K.distinct_sketch(e, ["event_type"], "user_id").collect()))
-    for n, most in ((1, 0), (50, 0.01), (3000, 0.022), (20_000, 0.022)):  # 20 groups of n values, each twice
+    for n, most in ((1, 0), (50, 0.03), (3000, 0.022), (20_000, 0.022)):  # 20 groups of n values, each twice
         values = spark.range(40 * n).select((F.col("id") % (20 * n)).alias("u")).withColumn("k", F.expr(f"u div {n}"))
         got = [r["n"] for r in K.distinct_estimate(K.distinct_sketch(values, ["k"], "u"), ["k"], "n").collect()]
         assert len(got) == 20 and (sum((x / n - 1) ** 2 for x in got) / 20) ** 0.5 <= most
