@@ -207,6 +207,25 @@ def test_near_documents_in_large_buckets(documents, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("members, edits", [(160, 23), (300, 24), (100, 22)])
+def test_near_documents_of_a_family_without_its_original(documents, members, edits):
+    """Texts with other edits of one text that isn't there: many share entries, few are similar."""
+    rng = random.Random(members)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for i in range(members):
+        words = list(base)
+        for k in rng.sample(range(200), edits):
+            words[k] = f"e{i}x{k}"
+        texts.append(words)
+    hashed = [word_hashes(" ".join(t)) for t in texts]
+    pairs = [(i, j) for j in range(members) for i in range(j) if N.edit_similarity(hashed[i], hashed[j]) >= N.SIMILAR]
+    got = {r["doc_id"]: r["class_id"] for r in N.near_documents(documents([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    want = components(pairs, range(members))
+    wrong = [i for i in range(members) if got[i] != want[i]]
+    assert pairs and len(wrong) <= 0.01 * members, (len(pairs), len(set(want.values())), wrong)
+
+
 def test_near_documents_edges(documents):
     rows = [(1, None), (2, ""), (3, "  \n"), (4, "one two"), (5, "One  two"), (None, "one two"), (6, "x " * 30000), (7, "x " * 30000), (4, "one two"), (8, "a b c d e f g")]
     out = N.near_documents(documents(rows)).collect()

@@ -8,10 +8,10 @@ then are their texts fetched and aligned over words. Classes are the connected c
 
 Which pairs of a bucket are tried is decided in steps, so that no bucket is expanded to all its pairs: each node with the
 smallest of its buckets' smallest nodes; each bucket's smallest node with all others that aren't in one component with it
-yet; then all pairs of small buckets that aren't in one component yet and, in large ones, the
-smallest of those that aren't with the first; then the members that are still apart, all pairs of small finer buckets of
-two entries each. Entries of a text's own words stand in small buckets, so near copies meet there even if a passage that very
-many texts share puts most of their entries in large ones.
+yet; then all pairs of small buckets that aren't in one component yet. What is left are pairs that agree in entries of large
+buckets alone. Those buckets are cut finer, by two entries at a time, and as long as a finer bucket holds several
+components, some of its nodes meet all nodes of the other components: one about, then four, sixteen and so on up to all. So
+a large family is linked in a few rounds, and no pair is left out for its bucket's size.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shingles import Batch, mixed, word_hashes
@@ -37,7 +37,7 @@ SHORT = 16
 SIMILAR = 0.8
 #: Entries that two sketches must have in common. At similarity 0.8, seven of 32 are expected.
 AGREE = 2
-#: Most members of a bucket that is expanded to all its pairs.
+#: Most members of a bucket that is expanded to all its pairs at once; larger ones are cut finer and go in rounds.
 FEW = 32
 #: Ids up to this many are sent to the tasks that read texts.
 FEW_NODES = 500_000
@@ -249,25 +249,38 @@ def _links(nodes: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     attempt(members.groupBy("node").agg(F.min("first").alias("a")).select("a", F.col("node").alias("b")))
     unlike = rooted(members, _roots(links[0]), "node", "first").where("root_node <> root_first")
     attempt(unlike.select(F.col("first").alias("a"), F.col("node").alias("b")))
-    placed = written(rooted(members, _roots(links[0].union(links[1])), "node", "first"), "rooted-members")
-    small = placed.where(f"size <= {FEW}")
-    both = small.select("key", F.col("node").alias("a"), "root_node", "first").join(small.select("key", F.col("node").alias("b"), F.col("root_node").alias("root_b")), "key")
-    apart = placed.where(f"size > {FEW} and root_node <> root_first")
-    apart = written(apart.join(apart.groupBy("key").agg(F.min("node").alias("second")), "key").select("key", "node", "first", "second"), "apart")
-    attempt(both.where("a <> first and root_node <> root_b").select("a", "b").union(apart.select(F.col("second").alias("a"), F.col("node").alias("b"))))
-    roots = _roots(reduce(DataFrame.union, links))
-    still = rooted(apart, roots, "node", "first", "second").where("root_node <> root_first and root_node <> root_second")
-    # finer buckets: each shared key of those that are still apart with the node's next one in order
-    following = F.lead("key").over(Window.partitionBy("node").orderBy("key"))  # a sketch's keys
-    own = members.join(still.select("node", "root_node").distinct(), "node").withColumn("next", following)
-    cells = own.where("next is not null").select(F.xxhash64("key", "next").alias("key"), "node", "root_node").distinct()
-    cells = written(cells, "finer-buckets")
-    sizes = written(cells.groupBy("key").agg(F.count("*").alias("size")).where(f"size between 2 and {FEW}"), "finer-sizes")
-    few = cells.join(sizes, "key").select("key", F.col("node").alias("a"), F.col("root_node").alias("root_a"))
-    attempt(few.join(few.toDF("key", "b", "root_b"), "key").where("root_a <> root_b").select("a", "b"))
+    placed = rooted(members.where(f"size <= {FEW}"), _roots(links[0].union(links[1])), "node")
+    small = written(placed.select("key", "node", "first", "root_node"), "small-buckets")
+    both = small.select("key", F.col("node").alias("a"), F.col("root_node").alias("root_a"), "first").join(small.select("key", F.col("node").alias("b"), F.col("root_node").alias("root_b")), "key")
+    attempt(both.where("a <> first and root_a <> root_b").select("a", "b"))
+
+    # pairs that agree only in entries of large buckets: those that hold a second component, by two entries at a time
+    large = rooted(members.where(f"size > {FEW}").select("key", "node"), _roots(reduce(DataFrame.union, links)), "node")
+    large = large.join(_mixed(large, "key", "root_node"), "key")
+    two = F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y))))")
+    cells = large.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys")).select("node", F.explode(two).alias("key"))
+    cells, hubs = written(cells, "finer-buckets"), 1
+    while True:
+        of_roots = rooted(cells, _roots(reduce(DataFrame.union, links)), "node")
+        cells = written(of_roots.join(_mixed(of_roots, "key", "root_node"), "key").select("key", "node", "root_node", "size"), "finer-buckets")
+        most = cells.agg(F.max("size")).first()[0]
+        if not most:
+            break
+        hub = cells.where(F.pmod(F.xxhash64("key", "node"), F.col("size")) < hubs).select("key", F.col("node").alias("x"), F.col("root_node").alias("root_x"))
+        met = hub.join(cells, "key").where("root_x <> root_node")
+        attempt(met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
+        if hubs >= most:
+            break
+        hubs, cells = 4 * hubs, cells.select("key", "node")
     return reduce(DataFrame.union, links)
 
 
+def _mixed(members: DataFrame, key: str, root: str) -> DataFrame:
+    """(key, size) of the buckets whose members aren't in one component."""
+    counts = members.groupBy(key).agg(F.count("*").alias("size"), F.min(root).alias("lo"), F.max(root).alias("hi"))
+    return counts.where("lo <> hi").select(key, "size")
+
+
 def _agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """The pairs whose lengths allow the similarity and whose sketches have AGREE entries in common."""
     of_a, of_b = (nodes.select(F.col("node").alias(c), F.col("n_words").alias(f"n_{c}"), F.col("keys").alias(f"keys_{c}")) for c in "ab")
