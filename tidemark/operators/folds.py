@@ -48,7 +48,7 @@ def folded(df: DataFrame, keys: Sequence[str], fold: Fold) -> DataFrame:
         states: dict = {}
         for rows in batches:
             for key, own in rows.groupby(keys, dropna=False, sort=False):
-                key, state = tuple(None if pd.isna(k) else k for k in key), fold.state(own)
+                key, state = tuple(None if pd.isna(k) else k for k in key), fold.state(own)  # one null, whatever stands for it
                 states[key] = fold.merge(states[key], state) if key in states else state
             if len(states) > GROUPS:
                 yield _rows(keys, states)
@@ -62,11 +62,14 @@ def folded(df: DataFrame, keys: Sequence[str], fold: Fold) -> DataFrame:
             state = fold.merge(state, other)
         return state
 
+    def key_of(rows: pd.DataFrame) -> tuple:
+        return tuple(None if pd.isna(rows[k].iat[0]) else rows[k].iat[0] for k in keys)
+
     def by_salt(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.head(1)[keys].assign(state=pickle.dumps(merged(rows)))
+        return _rows(keys, {key_of(rows): merged(rows)})
 
     def last(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.head(1)[keys].assign(**dict(zip(names, ([x] for x in fold.result(merged(rows))))))
+        return _frame([*keys, *names], [(*key_of(rows), *fold.result(merged(rows)))])
 
     state_schema = StructType([*key_fields, StructField("state", BinaryType())])
     result_fields = StructType.fromDDL(fold.schema).fields
@@ -77,8 +80,12 @@ def folded(df: DataFrame, keys: Sequence[str], fold: Fold) -> DataFrame:
 
 
 def _rows(keys: list[str], states: dict) -> pd.DataFrame:
-    columns = list(zip(*states)) or [()] * len(keys)
-    return pd.DataFrame({**{k: list(c) for k, c in zip(keys, columns)}, "state": [pickle.dumps(s) for s in states.values()]})
+    return _frame([*keys, "state"], [(*k, pickle.dumps(s)) for k, s in states.items()])
+
+
+def _frame(names: list[str], rows: list[tuple]) -> pd.DataFrame:
+    """Rows as plain objects, so that nulls in keys don't change a column's type."""
+    return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
 
 
 class Coverage(Fold):
