@@ -9,9 +9,9 @@ then are their texts fetched and aligned over words. Classes are the connected c
 Which pairs of a bucket are tried is decided in steps, so that no bucket is expanded to all its pairs: each node with the
 smallest of its buckets' smallest nodes; each bucket's smallest node with all others that aren't in one component with it
 yet; then all pairs of small buckets that aren't in one component yet. What is left are pairs that agree in entries of large
-buckets alone. Those buckets are cut finer, by two entries at a time, and as long as a finer bucket holds several
-components, some of its nodes meet all nodes of the other components: one about, then four, sixteen and so on up to all. So
-a large family is linked in a few rounds, and no pair is left out for its bucket's size.
+buckets alone. Those buckets are cut finer, by three entries at a time and bands of length, and as long as a finer bucket
+holds several components, some of its nodes meet all nodes of the other components: few at first, in few of the buckets, in
+the end all in all. So a large family is linked in a few rounds, and no pair is left out for its bucket's size.
 """
 
 from __future__ import annotations
@@ -39,6 +39,10 @@ SIMILAR = 0.8
 AGREE = 2
 #: Most members of a bucket that is expanded to all its pairs at once; larger ones are cut finer and go in rounds.
 FEW = 32
+#: Triples of a sketch's entries: a text's finer keys.
+TRIPLES = [(a, b, c) for a in range(ENTRIES) for b in range(a + 1, ENTRIES) for c in range(b + 1, ENTRIES) if (7 * a + 11 * b + 13 * c) % 5 == 0]
+#: Rounds over finer buckets: how many 64ths of them take part, and about how many of a bucket's nodes meet all others.
+ROUNDS = [(2, 4), (8, 16), (32, 64), *((64, 4**k) for k in range(3, 31))]
 #: Ids up to this many are sent to the tasks that read texts.
 FEW_NODES = 500_000
 
@@ -257,24 +261,38 @@ def _links(nodes: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     # pairs that agree only in entries of large buckets: those that hold a second component, by two entries at a time
     large = rooted(members.where(f"size > {FEW}").select("key", "node"), _roots(reduce(DataFrame.union, links)), "node")
     large = large.join(_mixed(large, "key", "root_node"), "key")
-    two = F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y))))")
-    cells = large.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys")).select("node", F.explode(two).alias("key"))
-    cells, hubs = written(cells, "finer-buckets"), 1
-    while True:
-        of_roots = rooted(cells, _roots(reduce(DataFrame.union, links)), "node")
-        cells = written(of_roots.join(_mixed(of_roots, "key", "root_node"), "key").select("key", "node", "root_node", "size"), "finer-buckets")
-        most = cells.agg(F.max("size")).first()[0]
-        if not most:
+    cells = written(_finer(large, nodes, least), "finer-buckets")
+    for share, hubs in ROUNDS:
+        of_roots = rooted(cells.where(F.pmod("key", F.lit(64)) < share), _roots(reduce(DataFrame.union, links)), "node")
+        held = written(of_roots.join(_mixed(of_roots, "key", "root_node"), "key").select("key", "node", "root_node", "size"), "finer-members")
+        most = held.agg(F.max("size")).first()[0] or 0
+        if not most and share == 64:
             break
-        hub = cells.where(F.pmod(F.xxhash64("key", "node"), F.col("size")) < hubs).select("key", F.col("node").alias("x"), F.col("root_node").alias("root_x"))
-        met = hub.join(cells, "key").where("root_x <> root_node")
+        draw = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("size") < hubs * (1 << 20)  # the same nodes in all buckets
+        hub = held.where(draw).select("key", F.col("node").alias("x"), F.col("root_node").alias("root_x"))
+        met = hub.join(held, "key").where("root_x <> root_node")
         attempt(met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
-        if hubs >= most:
+        if share == 64 and hubs >= most:
             break
-        hubs, cells = 4 * hubs, cells.select("key", "node")
     return reduce(DataFrame.union, links)
 
 
+def _finer(large: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(key, node): buckets of nodes that agree in three entries and whose lengths lie in one band or two adjacent ones.
+
+    large: the keys that count. Three entries are far more seldom shared by texts that have but a passage in common than
+    two; of the triples, which are many, a fixed fifth is used.
+    """
+    known = large.groupBy("node").agg(F.collect_set("key").alias("counted")).join(nodes.select("node", "n_words", "keys"), "node")
+    known = known.withColumn("of", F.transform("keys", lambda k: F.when(F.array_contains("counted", k), k)))
+    triples = F.array(*[F.array(*[F.lit(p + shift) for p in t]) for t in TRIPLES for shift in (0, ENTRIES)])
+    at = lambda t, i: F.get(F.col("of"), t[i])
+    hashed = F.transform(triples, lambda t: F.when(at(t, 0).isNotNull() & at(t, 1).isNotNull() & at(t, 2).isNotNull(), F.xxhash64(at(t, 0), at(t, 1), at(t, 2))))
+    band = F.floor(F.log("n_words") / F.lit(-float(np.log(least))))
+    found = known.select("node", F.explode(F.array(band, band + 1)).alias("band"), F.filter(hashed, lambda h: h.isNotNull()).alias("hashed"))
+    return found.select("node", F.explode("hashed").alias("key"), "band").select(F.xxhash64("key", "band").alias("key"), "node")
+
+
 def _mixed(members: DataFrame, key: str, root: str) -> DataFrame:
     """(key, size) of the buckets whose members aren't in one component."""
     counts = members.groupBy(key).agg(F.count("*").alias("size"), F.min(root).alias("lo"), F.max(root).alias("hi"))
