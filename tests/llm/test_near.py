@@ -466,4 +466,4 @@ def test_queries_are_registered(spark):
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert set(Q.QUERIES) <= names and "pipeline" in names and {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in Q.QUERIES}
+    assert set(Q.QUERIES) <= names and "pipeline" in names and {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in Q.QUERIES}
