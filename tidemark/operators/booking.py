@@ -81,6 +81,7 @@ def hwm_allocate(buckets: DataFrame, demand: DataFrame, scope: str = "day", one_
     levels: bookings of a day that share no bucket take their turn in the same round, so there are as many rounds as the
     longest chain of bookings of which each shares a bucket with the next (for all_days, on each day).
     """
+    buckets = written(buckets, "buckets")
     wanted = demand.select("bk_id", "rank", "per_day", F.explode("days").alias("day"))
     held = components(buckets, scope == "day").withColumn("bk_id", F.explode("ands")).join(wanted, ["day", "bk_id"])
     rows = written(held.withColumn("ands", F.array_join("ands", "|")), "booking-rows")
@@ -168,6 +169,7 @@ def allocate_batch(buckets: DataFrame, requests: DataFrame, one_task: int = ONE_
     A request takes what it still wants from its buckets, those that serve fewest others first, and leaves the rest.
     Components of over one_task rows are served by levels, as in hwm_allocate.
     """
+    buckets = written(buckets, "buckets")
     held = components(buckets).withColumn("request", F.explode("ands")).join(requests, ["day", "request"])
     rows = written(held.withColumn("width", F.size("ands")).withColumn("ands", F.array_join("ands", "|")), "request-rows")
     keys = ["day", "component"]

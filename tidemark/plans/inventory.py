@@ -12,6 +12,7 @@ from tidemark.operators.targeting import match_channels
 from tidemark.plans.filters import ATTRIBUTES, USERS_SQL, users
 from tidemark.plans.inputs import BOOKINGS_SQL, CHANNELS_SQL, INVENTORY_SQL, LOGS_SQL, MATCH_SQL, TBR_SQL, behaviour, bookings, channels, inventory, logs
 from tidemark.plans.registry import query
+from tidemark.sources.scratch import written
 
 _SUM = "h0 + h1 + h2 + h3"
 _KEYS = [*ATTRIBUTES, "hour"]
@@ -254,10 +255,12 @@ def by_day(spark: SparkSession, sf_dir: str, first: str = FIRST_DAY, last: str =
 
 def booked(spark: SparkSession, sf_dir: str, first: str = FIRST_DAY, last: str = LAST_DAY) -> DataFrame:
     """id, day, booked: what the bookings' allocations take of each channel on each day."""
-    asked = in_days(matched(spark, sf_dir), first, last)
+    whole = written(matched(spark, sf_dir), "matched")
+    asked = in_days(whole, first, last)
     of_keys = asked.groupBy("day", *_KEYS).agg(F.array_join(F.sort_array(F.collect_set("bk_id")), "|").alias("ands"), F.first("n").alias("n")).where("n > 0")
     fitting = match_channels(channels(spark, sf_dir), of_keys, ATTRIBUTES).groupBy("id", "day", "ands").agg(F.sum("n").alias("inside"))
-    given = B.hwm_allocate(buckets(spark, sf_dir), demand(spark, sf_dir)).groupBy("day", "ands", "amount").agg(F.sum("allocated").alias("allocated"))
+    cut = B.booking_buckets(whole, _KEYS, amount="n").withColumnRenamed("n", "amount")
+    given = B.hwm_allocate(cut, demand(spark, sf_dir)).groupBy("day", "ands", "amount").agg(F.sum("allocated").alias("allocated"))
     return I.booked_by_channel(fitting, given)
 
 
