@@ -10,7 +10,8 @@ from tidemark.functions.keys import part
 from tidemark.functions.keys import sha256_bucket
 from tidemark.operators import series as S
 from tidemark.operators.indexing import dense_index
-from tidemark.operators.similarity import lsh_pairs, pairwise
+from tidemark.operators.probes import similar_pairs
+from tidemark.operators.similarity import pairwise
 from tidemark.operators.targeting import match_channels
 from tidemark.plans.filters import ATTRIBUTES, H_SUM, IMP, NONZERO
 from tidemark.plans.inputs import CHANNELS_SQL, FACT_SQL, INVENTORY_SQL, LOGS_SQL, MATCH_SQL, PERSONA_SQL, SERIES_SQL, channels, fact, inventory, logs, persona, raw_events, series, table
@@ -178,8 +179,8 @@ def join_cross_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def join_lsh_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate: random projections; pairs within a distance of 1.25 of each other."""
-    return lsh_pairs(table(spark, sf_dir, "embeddings"), 1.25)
+    """Approximate in its recall, exact in its pairs: within a distance of 1.25 of each other."""
+    return similar_pairs(table(spark, sf_dir, "embeddings"), 1.25)
 
 
 @query(f"WITH {INVENTORY_SQL}, {CHANNELS_SQL} SELECT tc.id, {H_SUM} FROM tc JOIN inv ON {MATCH_SQL} GROUP BY 1")
