@@ -38,7 +38,9 @@ def test_pairs_by_probes_against_all_pairs(spark, monkeypatch, distance, noise,
     monkeypatch.setattr(P, "tables_for", lambda distance, n, recall: chosen(distance, 20_000, recall))
     vectors = _grouped(40, 15, noise)
     want = _all_pairs(vectors, distance)
-    got = {(r["a"], r["b"]): r["similarity"] for r in P.similar_pairs(_table(spark, vectors), distance).collect()}
+    rows = P.similar_pairs(_table(spark, vectors), distance).collect()
+    got = {(r["a"], r["b"]): r["similarity"] for r in rows}
+    assert len(rows) == len(got)
     assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
     assert all(abs(s - want[p]) < 1e-5 for p, s in got.items())
 
@@ -55,7 +57,7 @@ def test_recall_where_all_pairs_are_at_the_distance(spark):
     frame = _table(spark, vectors)
     unit = frame.selectExpr("vec_id as id", "embedding as v")
     bits, tables = P.tables_for(0.6, 50_000, 0.95)
-    pairs = {(r["a"], r["b"]) for r in P._compared(P._placed(unit, bits, tables), 0.6).collect()}
+    pairs = {(r["a"], r["b"]) for r in P._compared(P._placed(unit, bits, tables), 0.6, bits).collect()}
     assert sum((k, 1000 + k) in pairs for k in range(400)) >= 0.9 * 400
     assert bits >= 6 and tables * 2**P.FLIPS / 2**bits < 0.2
 

@@ -63,13 +63,30 @@ def _codes(projected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, masks
 
 
+def _projected(x: np.ndarray, table: int, bits: int) -> np.ndarray:
+    return x @ np.random.default_rng([table, x.shape[1]]).standard_normal((x.shape[1], bits))
+
+
+def _found_here(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, first: np.ndarray, table: int, bits: int) -> np.ndarray:
+    """Whether row i of x, looking for row j of y in this table, is the one that reports the pair: no table before finds
+    it from either side, and if both find each other in this one, the row that is `first` does."""
+    here = np.ones(len(i), bool)
+    for t in range(table + 1):
+        (of_x, flips_x), (of_y, flips_y) = (_codes(_projected(v, t, bits)) for v in (x, y))
+        back = ((of_y[:, None] ^ flips_y)[j] == of_x[i, None]).any(1)
+        if t == table:
+            return here & (first | ~back)
+        here &= ~back & ~((of_x[:, None] ^ flips_x)[i] == of_y[j, None]).any(1)
+    return here
+
+
 def similar_pairs(vectors: DataFrame, distance: float, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(a, b, similarity = 1 - distance), a < b, of vectors whose unit vectors are at most `distance` apart.
 
     No pair beyond the distance is there; one at the distance is found with probability `recall`, nearer ones with more.
     Of equal unit vectors the one of smallest id stands for all, and each other is paired with that one alone. Vectors of
     different lengths aren't compared. Null, zero and non-finite vectors and null ids have no pairs; of rows that repeat
-    an id with other vectors each is compared; other columns are left out.
+    an id with other vectors each is compared and reports its own pairs; other columns are left out.
     """
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
@@ -79,9 +96,8 @@ def similar_pairs(vectors: DataFrame, distance: float, recall: float = 0.95, id_
     copies = unit.join(nodes.withColumnRenamed("id", "first"), "v").where("id <> first")
     bits, tables = tables_for(distance, nodes.count(), recall)
     placed = written(_placed(nodes, bits, tables), "signatures")
-    found = _compared(placed, distance).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     equal = copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")).distinct()
-    return found.unionByName(equal)
+    return _compared(placed, distance, bits).unionByName(equal)
 
 
 def _placed(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -93,8 +109,7 @@ def _placed(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
                 ids, kept = part["id"].to_numpy(), part["v"].to_numpy()
                 x = np.stack(kept)
                 for t in range(tables):
-                    planes = np.random.default_rng([t, size]).standard_normal((size, bits))
-                    codes, masks = _codes(x @ planes)
+                    codes, masks = _codes(_projected(x, t, bits))
                     for p in range(masks.shape[1]):
                         names = [f"{size}.{t}.{c}" for c in (codes ^ masks[:, p]).tolist()]
                         yield pd.DataFrame({"bucket": names, "own": p == 0, "id": ids, "v": kept})
@@ -102,8 +117,9 @@ def _placed(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
     return nodes.mapInPandas(run, f"bucket string, own boolean, id {dict(nodes.dtypes)['id']}, v array<double>")
 
 
-def _compared(placed: DataFrame, distance: float) -> DataFrame:
-    """(a, b, similarity) of the pairs of each bucket that hold, by products of tiles; a pair may come several times."""
+def _compared(placed: DataFrame, distance: float, bits: int) -> DataFrame:
+    """(a, b, similarity) of the pairs of each bucket that hold, by products of tiles. A pair that several buckets hold is
+    reported by one of them, so pairs aren't shuffled."""
     sizes = placed.groupBy("bucket").agg(F.count_if("own").alias("n_own"), F.count("*").alias("n"))
     sizes = written(sizes.where("n_own > 0 and n > 1"), "bucket-sizes")
     hot = F.col("n") * SHARE > F.lit(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
@@ -119,13 +135,15 @@ def _compared(placed: DataFrame, distance: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for rows, others in zip(batch["rows"], batch["others"]):
+            for bucket, rows, others in zip(batch["bucket"], batch["rows"], batch["others"]):
                 a, b = (np.array([r["id"] for r in side]) for side in (rows, others))
                 x, y = (np.stack([r["v"] for r in side]) for side in (rows, others))
                 d = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ y.T)))
                 i, j = np.nonzero(d <= distance)
                 i, j = i[a[i] != b[j]], j[a[i] != b[j]]
+                here = _found_here(x, y, i, j, a[i] < b[j], int(bucket.split(".")[1]), bits)
+                i, j = i[here], j[here]
                 yield pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "similarity": np.round(1 - d[i, j], 6)})
 
     of_id = dict(placed.dtypes)["id"]
-    return met.select("rows", "others").mapInPandas(run, f"a {of_id}, b {of_id}, similarity double")
+    return met.select("bucket", "rows", "others").mapInPandas(run, f"a {of_id}, b {of_id}, similarity double")
