@@ -9,9 +9,10 @@ then are their texts fetched and aligned over words. Classes are the connected c
 Which pairs of a bucket are tried is decided in steps, so that no bucket is expanded to all its pairs: each node with the
 smallest of its buckets' smallest nodes; each bucket's smallest node with all others that aren't in one component with it
 yet; then all pairs of small buckets that aren't in one component yet. What is left are pairs that agree in entries of large
-buckets alone. Those buckets are cut finer, by two entries at a time, and as long as a finer bucket holds several
-components, some of its nodes meet all nodes of the other components: one about, then four, sixteen and so on up to all. So
-a large family is linked in a few rounds, and no pair is left out for its bucket's size.
+buckets alone. As long as a large bucket holds several components, some of its nodes meet all nodes of the other components:
+sixteen about, then 256 and so on up to all, so a large family is linked in a few rounds and no pair is left out for its
+bucket's size. These meetings are no rows: a bucket goes to tasks in tiles of bounded size, which compare word counts, and
+only pairs whose counts allow the similarity leave them.
 """
 
 from __future__ import annotations
@@ -37,8 +38,14 @@ SHORT = 16
 SIMILAR = 0.8
 #: Entries that two sketches must have in common. At similarity 0.8, seven of 32 are expected.
 AGREE = 2
-#: Most members of a bucket that is expanded to all its pairs at once; larger ones are cut finer and go in rounds.
+#: Most members of a bucket that is expanded to all its pairs at once; larger ones go in tiles and rounds.
 FEW = 32
+#: About so many members of a bucket are a tile; a task compares two tiles at a time.
+TILE = 1024
+#: Nodes of a large bucket that meet all others in the first round, and how many times more each round.
+HUBS = 16
+#: Cells of a text's word counts, a byte each.
+CELLS = 256
 #: Ids up to this many are sent to the tasks that read texts.
 FEW_NODES = 500_000
 
@@ -70,6 +77,24 @@ def sketch_keys(batch: Batch, entries: int = ENTRIES) -> tuple[np.ndarray, np.nd
     return np.concatenate([np.tile(used, entries), np.tile(used[lengths < SHORT], entries)]), np.concatenate(keys + least_of).view(np.int64)
 
 
+def word_counts(batch: Batch) -> np.ndarray:
+    """A row of CELLS bytes for each text: how many of its words fall in each cell, 255 for as many or more."""
+    texts = len(batch.sizes)
+    at = np.repeat(np.arange(texts), batch.sizes) * CELLS + (batch.words % np.uint64(CELLS)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=texts * CELLS), 255).astype(np.uint8).reshape(texts, CELLS)
+
+
+def counts_allow(x: np.ndarray, y: np.ndarray, longest: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows of word counts allow texts of `longest` words to be `least` similar.
+
+    An edit changes one word, so the distance is at least the longer text's words less those that both have. Two full cells
+    prove nothing.
+    """
+    both = np.minimum(x, y)
+    most = np.floor(longest * (1 - least) + 1e-9)
+    return (both.sum(axis=1, dtype=np.int64) >= longest - most) | (both == 255).any(axis=1)
+
+
 def edit_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
     """1 - edit distance / longer length over words, if that is `least` or more; else some value below `least`.
 
@@ -180,7 +205,7 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     told = written(_sketches(rows), "sketches")
     worded = told.where("h is not null")
-    kept = [F.min("doc_id").alias("node"), F.any_value("n_words").alias("n_words"), F.any_value("keys").alias("keys"), F.count("*").alias("copies")]
+    kept = [F.min("doc_id").alias("node"), F.any_value("n_words").alias("n_words"), F.any_value("keys").alias("keys"), F.any_value("counts").alias("counts"), F.count("*").alias("copies")]
     nodes = written(worded.groupBy("h").agg(*kept), "texts")
     roots = _roots(_links(nodes, rows, least).union(_of_one_id(worded, nodes)))
     classes = nodes.select("h", "node", "copies").join(roots, "node", "left").select("h", "copies", F.coalesce("root", "node").alias("class_id"))
@@ -194,10 +219,10 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
-    """(doc_id, h, n_words, keys) of each row: h stands for the text's words in order and is null without one."""
+    """(doc_id, h, n_words, keys, counts) of each row: h stands for the text's words in order and is null without one."""
     from xxhash import xxh3_128_digest
 
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.binary()), ("n_words", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.binary()), ("n_words", pa.int64()), ("keys", pa.list_(pa.int64())), ("counts", pa.binary())])
 
     def run(batches):
         for batch in slices(batches):
@@ -207,9 +232,10 @@ def _sketches(rows: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=batch.num_rows))])
             h = [xxh3_128_digest(texts.words[a : a + n].tobytes()) if n else None for a, n in zip(texts.starts, texts.sizes)]
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.int64()))
-            yield record_batch(schema, [batch.column(0), h, texts.sizes, listed])
+            counts = [row.tobytes() for row in word_counts(texts)]
+            yield record_batch(schema, [batch.column(0), h, texts.sizes, listed, counts])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, h binary, n_words long, keys array<long>")
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, h binary, n_words long, keys array<long>, counts binary")
 
 
 def _of_one_id(worded: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -232,10 +258,10 @@ def _links(nodes: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     release(rows.sparkSession)
     tried, links = [], []
 
-    def attempt(pairs: DataFrame) -> None:
-        """Adds those of (a, b) that hold and haven't been tried to `links`."""
+    def attempt(pairs: DataFrame, allowed: bool = False) -> None:
+        """Adds those of (a, b) that hold and haven't been tried to `links`; `allowed` if word counts allow them."""
         new = reduce(lambda p, t: p.join(t, ["a", "b"], "left_anti"), tried, pairs.where("a < b").distinct())
-        tried.append(written(_agreeing(new, nodes, least), "pairs"))
+        tried.append(written(new if allowed else _agreeing(new, nodes, least), "pairs"))
         links.append(written(_similar(tried[-1], texts, least), "links"))
         release(rows.sparkSession)
 
@@ -254,27 +280,56 @@ def _links(nodes: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     both = small.select("key", F.col("node").alias("a"), F.col("root_node").alias("root_a"), "first").join(small.select("key", F.col("node").alias("b"), F.col("root_node").alias("root_b")), "key")
     attempt(both.where("a <> first and root_a <> root_b").select("a", "b"))
 
-    # pairs that agree only in entries of large buckets: those that hold a second component, by two entries at a time
-    large = rooted(members.where(f"size > {FEW}").select("key", "node"), _roots(reduce(DataFrame.union, links)), "node")
-    large = large.join(_mixed(large, "key", "root_node"), "key")
-    two = F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y))))")
-    cells = large.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys")).select("node", F.explode(two).alias("key"))
-    cells, hubs = written(cells, "finer-buckets"), 1
+    # pairs that agree in entries of large buckets alone: in tiles, some nodes of each bucket with all others first
+    large = members.where(f"size > {FEW}").select("key", "node")
+    large, hubs = written(large.join(nodes.select("node", "n_words", "counts"), "node"), "large-buckets"), HUBS
     while True:
-        of_roots = rooted(cells, _roots(reduce(DataFrame.union, links)), "node")
-        cells = written(of_roots.join(_mixed(of_roots, "key", "root_node"), "key").select("key", "node", "root_node", "size"), "finer-buckets")
-        most = cells.agg(F.max("size")).first()[0]
+        placed = rooted(large, _roots(reduce(DataFrame.union, links)), "node")
+        mixed_keys = written(_mixed(placed, "key", "root_node"), "mixed-buckets")
+        most = mixed_keys.agg(F.max("size")).first()[0]
         if not most:
             break
-        hub = cells.where(F.pmod(F.xxhash64("key", "node"), F.col("size")) < hubs).select("key", F.col("node").alias("x"), F.col("root_node").alias("root_x"))
-        met = hub.join(cells, "key").where("root_x <> root_node")
-        attempt(met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
+        attempt(_met(placed.join(mixed_keys, "key"), hubs, least), allowed=True)
         if hubs >= most:
             break
-        hubs, cells = 4 * hubs, cells.select("key", "node")
+        hubs *= HUBS
     return reduce(DataFrame.union, links)
 
 
+def _met(members: DataFrame, hubs: int, least: float) -> DataFrame:
+    """(a, b), a < b: pairs of nodes of a bucket in two components whose lengths and word counts allow the similarity, of
+    which one is among about `hubs` nodes of the bucket; all such pairs of a bucket of at most `hubs`.
+
+    A bucket's nodes are dealt to tiles by hash. A task gets a tile of these `hubs` and a tile of all nodes, so no group
+    grows with its bucket; a bucket whose nodes are all hubs has each two tiles once.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, root, words = (table[c].to_numpy() for c in ("node", "root_node", "n_words"))
+        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8).reshape(-1, CELLS)
+        is_hub = table["as_hub"].to_numpy().astype(bool)
+        x, y = np.flatnonzero(is_hub), np.flatnonzero(~is_hub)
+        found = []
+        for start in range(0, len(x), 16):
+            i = x[start : start + 16]
+            long, short = np.maximum(words[i][:, None], words[y][None]), np.minimum(words[i][:, None], words[y][None])
+            p, q = np.nonzero((root[i][:, None] != root[y][None]) & (short + 1e-6 >= least * long))
+            good = counts_allow(counts[i[p]], counts[y[q]], long[p, q], least)
+            found.append(np.stack([node[i[p[good]]], node[y[q[good]]]]))
+        pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.Table.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
+
+    whole = f"size <= {hubs}"
+    dealt = members.withColumn("tiles", F.ceil(F.col("size") / TILE)).withColumn("hub_tiles", F.least(F.col("tiles"), F.ceil(F.lit(hubs / TILE))))
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("is_hub", F.expr(f"{whole} or pmod(xxhash64(key, node), size) < {hubs}"))
+    dealt = dealt.withColumn("hub_tile", F.expr(f"if({whole}, tile, pmod(xxhash64(node), hub_tiles))"))
+    as_member = F.expr(f"transform(sequence(0L, if({whole}, tile, hub_tiles - 1)), t -> struct(t as u, tile as t, false as as_hub))")
+    as_hub = F.expr(f"if(is_hub, transform(sequence(if({whole}, tile, 0L), tiles - 1), t -> struct(hub_tile as u, t as t, true as as_hub)), array())")
+    sent = dealt.select("key", "node", "root_node", "n_words", "counts", F.inline(F.concat(as_member, as_hub)))
+    return sent.groupBy("key", "u", "t").applyInArrow(compare, "a long, b long")
+
+
 def _mixed(members: DataFrame, key: str, root: str) -> DataFrame:
     """(key, size) of the buckets whose members aren't in one component."""
     counts = members.groupBy(key).agg(F.count("*").alias("size"), F.min(root).alias("lo"), F.max(root).alias("hi"))
