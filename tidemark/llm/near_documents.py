@@ -44,8 +44,8 @@ FEW = 32
 TILE = 1024
 #: Nodes of a large bucket that meet all others in the first round, and how many times more each round.
 HUBS = 16
-#: Cells of a text's word counts, a byte each.
-CELLS = 256
+#: Cells of a text's word counts, a byte each, and up to which count a matrix product tells counts apart.
+CELLS, TOLD = 256, 2
 #: Ids up to this many are sent to the tasks that read texts.
 FEW_NODES = 500_000
 
@@ -95,6 +95,21 @@ def counts_allow(x: np.ndarray, y: np.ndarray, longest: np.ndarray, least: float
     return (both.sum(axis=1, dtype=np.int64) >= longest - most) | (both == 255).any(axis=1)
 
 
+def common_at_most(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of x and each of y a bound from above of the words that both have, by one matrix product.
+
+    Counts up to TOLD are one column for each step. What is above them adds at most the smaller text's sum of it.
+    """
+    (p, over_p), (q, over_q) = (
+        (
+            np.concatenate([c >= k + 1 for k in range(TOLD)], axis=1).astype(np.float32),
+            np.where((c == 255).any(axis=1), np.inf, np.maximum(c.astype(np.float32) - TOLD, 0).sum(axis=1)),
+        )
+        for c in (x, y)
+    )
+    return p @ q.T + np.minimum(over_p[:, None], over_q[None])
+
+
 def edit_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
     """1 - edit distance / longer length over words, if that is `least` or more; else some value below `least`.
 
@@ -123,6 +138,8 @@ def edit_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> flo
     _, i, j = np.intersect1d(values, others, assume_unique=True, return_indices=True)
     if max(len(a), len(b)) - np.minimum(counts_a[i], counts_b[j]).sum() > most:
         return 0.0
+    if max(len(a), len(b)) - 1 - _common_pairs(a, b) > 2 * most:  # an edit changes two pairs of adjacent words
+        return 0.0
     bound = _anchored_cost(a, b)
     if bound <= most:
         return 1 - bound / longest
@@ -130,6 +147,15 @@ def edit_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> flo
     return 1 - d / longest if d <= most else 0.0
 
 
+def _common_pairs(a: np.ndarray, b: np.ndarray) -> int:
+    """How many pairs of adjacent words both have, each as often as in the text that has it less often."""
+    x, y = (mixed(w[:-1], 1) ^ w[1:] for w in (a, b))
+    values, counts_x = np.unique(x, return_counts=True)
+    others, counts_y = np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(values, others, assume_unique=True, return_indices=True)
+    return int(np.minimum(counts_x[i], counts_y[j]).sum())
+
+
 def _anchored_cost(a: np.ndarray, b: np.ndarray) -> int:
     """The cost of an alignment through the pairs of words that occur once in both, in order: at least the distance."""
     ua, ia, na = np.unique(a, return_index=True, return_counts=True)
@@ -169,29 +195,39 @@ def _anchored_cost(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """The edit distance if it is at most `most`, else most + 1. Memory: 2 * most + 1 cells a row."""
-    n, m = len(a), len(b)
+    """The edit distance if it is at most `most`, else most + 1.
+
+    The band's differences between neighbouring cells are the bits of whole numbers of 2 * most + 1 bits, one step a word
+    of b (a published bit-parallel form of the recurrence). The distance is followed down the band's edge and then along
+    the last row.
+    """
+    x, y = a.tolist(), b.tolist()
+    if len(x) <= most:  # equal words in front change no distance and make room for the band
+        x, y = [-1] * (most + 1) + x, [-1] * (most + 1) + y
+    n, m = len(x), len(y)
+    if abs(n - m) > most:
+        return most + 1
+    places: dict[int, int] = {}
+    for k, word in enumerate(x):
+        places[word] = places.get(word, 0) | 1 << k
     width = 2 * most + 1
-    far = most + 1
-    shift = np.arange(width) - most  # column - row
-    row = np.where((shift >= 0) & (shift <= m), shift, far)
-    for i in range(1, n + 1):
-        col = i + shift
-        inside = (col >= 1) & (col <= m)
-        same = np.zeros(width, bool)
-        same[inside] = b[col[inside] - 1] == a[i - 1]
-        step = np.where(inside, row + np.where(same, 0, 1), far)
-        up = np.full(width, far)
-        up[:-1] = row[1:] + 1
-        best = np.minimum(step, up)
-        if 0 <= most - i < width:
-            best[most - i] = i
-        best = np.where((col < 0) | (col > m), far, best)
-        best = np.minimum.accumulate(best - np.arange(width)) + np.arange(width)  # insertions along the row
-        row = np.minimum(np.where((col < 0) | (col > m), far, best), far)
-        if row.min() >= far:
-            return far
-    return int(row[m - n + most]) if 0 <= m - n + most < width else far
+    full = (1 << width) - 1
+    up, down, d, row_bit = full ^ ((1 << most) - 1), 0, most, width - 2
+    for i in range(m):
+        begin = i - most
+        same = places.get(y[i], 0)
+        same = (same >> begin if begin >= 0 else same << -begin) & full
+        level = ((((same & up) + up) ^ up) | same | down) & full
+        right, left = down | (full & ~(level | up)), level & up
+        if i < n - most:
+            d += not level >> (width - 1)
+            if d > 2 * most + m - n:
+                return most + 1
+        else:
+            d += (right >> row_bit & 1) - (left >> row_bit & 1)
+            row_bit -= 1
+        up, down = left | (full & ~(level >> 1 | right)), level >> 1 & right
+    return min(d, most + 1)
 
 
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -258,10 +294,10 @@ def _links(nodes: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     release(rows.sparkSession)
     tried, links = [], []
 
-    def attempt(pairs: DataFrame, allowed: bool = False) -> None:
-        """Adds those of (a, b) that hold and haven't been tried to `links`; `allowed` if word counts allow them."""
+    def attempt(pairs: DataFrame) -> None:
+        """Adds those of (a, b) that hold and haven't been tried to `links`."""
         new = reduce(lambda p, t: p.join(t, ["a", "b"], "left_anti"), tried, pairs.where("a < b").distinct())
-        tried.append(written(new if allowed else _agreeing(new, nodes, least), "pairs"))
+        tried.append(written(_agreeing(new, nodes, least), "pairs"))
         links.append(written(_similar(tried[-1], texts, least), "links"))
         release(rows.sparkSession)
 
@@ -289,7 +325,7 @@ def _links(nodes: DataFrame, rows: DataFrame, least: float) -> DataFrame:
         most = mixed_keys.agg(F.max("size")).first()[0]
         if not most:
             break
-        attempt(_met(placed.join(mixed_keys, "key"), hubs, least), allowed=True)
+        attempt(_met(placed.join(mixed_keys, "key"), hubs, least))
         if hubs >= most:
             break
         hubs *= HUBS
@@ -311,12 +347,15 @@ def _met(members: DataFrame, hubs: int, least: float) -> DataFrame:
         is_hub = table["as_hub"].to_numpy().astype(bool)
         x, y = np.flatnonzero(is_hub), np.flatnonzero(~is_hub)
         found = []
-        for start in range(0, len(x), 16):
-            i = x[start : start + 16]
-            long, short = np.maximum(words[i][:, None], words[y][None]), np.minimum(words[i][:, None], words[y][None])
-            p, q = np.nonzero((root[i][:, None] != root[y][None]) & (short + 1e-6 >= least * long))
-            good = counts_allow(counts[i[p]], counts[y[q]], long[p, q], least)
-            found.append(np.stack([node[i[p[good]]], node[y[q[good]]]]))
+        for i, j in ((x[a : a + TILE], y[b : b + TILE]) for a in range(0, len(x), TILE) for b in range(0, len(y), TILE)):
+            long = np.maximum(words[i][:, None], words[j][None])
+            near = np.minimum(words[i][:, None], words[j][None]) + 1e-6 >= least * long
+            near &= common_at_most(counts[i], counts[j]) + 1e-3 >= least * long
+            p, q = np.nonzero(near & (root[i][:, None] != root[j][None]))
+            for s in range(0, len(p), 1 << 14):
+                u, v = p[s : s + (1 << 14)], q[s : s + (1 << 14)]
+                good = counts_allow(counts[i[u]], counts[j[v]], long[u, v], least)
+                found.append(np.stack([node[i[u[good]]], node[j[v[good]]]]))
         pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.Table.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
 
