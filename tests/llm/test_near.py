@@ -135,6 +135,19 @@ def test_edit_similarity_against_brute_force():
         assert got <= true + 1e-9
 
 
+def test_word_counts_bound_the_words_that_texts_share():
+    rng = random.Random(6)
+    texts = [[f"v{rng.randrange(v)}" for _ in range(n)] for v, n in ((3, 900), (3, 700), (40, 60), (900, 300), (900, 1), (1, 600), (50, 70)) for _ in range(3)]
+    counts = N.word_counts(N.Batch([" ".join(t) for t in texts], N.GRAM))
+    most = N.common_at_most(counts, counts)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            shared = sum(min(a.count(w), b.count(w)) for w in set(a))
+            longest = np.array([max(len(a), len(b))])
+            assert most[i, j] >= shared
+            assert N.counts_allow(counts[i : i + 1], counts[j : j + 1], longest, 0.8)[0] or shared < 0.8 * longest[0]
+
+
 def test_near_documents_against_brute_force(documents):
     rng = random.Random(4)
     rows, base = [], [words(rng, rng.randrange(40, 400)) for _ in range(120)]
