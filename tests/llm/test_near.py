@@ -386,6 +386,38 @@ def test_recall_of_edited_passages(documents, edits, least):
     assert sum(found.get(1000 + k, 0) >= 90 for k in range(100)) >= least * 100
 
 
+def test_edited_passages_around_a_line_of_a_large_bucket(documents, monkeypatch):
+    """120 documents share a line of 36 words, and each two of them 12 words before and after it as well, with a word
+    replaced beside the line. What is found is what is found if every bucket is expanded to all its pairs."""
+    rng = random.Random(41)
+    line, rows = words(rng, 36), []
+    for k in range(60):
+        before, after = words(rng, 12), words(rng, 12)
+        rows += [(k, " ".join([*words(rng, 20), *before, *line, *after, *words(rng, 20)])), (1000 + k, " ".join([*words(rng, 25), *before[:-1], "edited", *line, *after, *words(rng, 25)]))]
+
+    def found():
+        return {(r["doc_id"], r["start_word"], r["end_word"], r["first_doc_id"]) for r in S.repeated_passages(documents(rows)).collect()}
+
+    monkeypatch.setattr(S, "TILE", 16)
+    monkeypatch.setattr(S, "HUBS", 4)
+    got = found()
+    monkeypatch.setattr(S, "FEW", 1000)
+    want = found()
+    assert len({d for d, *_ in want if d >= 1000}) >= 50 and got == want
+
+
+def test_agreeing_places_against_sets(monkeypatch):
+    rng = np.random.default_rng(43)
+    x, y = (rng.integers(1, 60, (40, 2 * S.RUN - 1)).astype(np.uint32) for _ in range(2))
+    x[:, :10], y[:5, 40:] = 0, 0
+    most = lambda a, b: max(sum(v > 0 and v in b for v in a[s : s + S.RUN].tolist()) for s in range(S.RUN))
+    near = [(i, j) for i in range(40) for j in range(40) if most(x[i], set(y[j].tolist())) >= S.NEAR]
+    assert 0 < len(near) < 1600
+    assert list(zip(*(a.tolist() for a in S.agreeing_places(x, y)))) == near
+    monkeypatch.setattr(S, "COLUMNS", 16)  # several shingles a column let more pairs through, none less
+    assert set(zip(*(a.tolist() for a in S.agreeing_places(x, y)))) >= set(near)
+
+
 def test_passages_of_very_long_texts(documents):
     rng = random.Random(29)
     p = words(rng, 60)
