@@ -432,3 +432,11 @@ def test_auc_ties_and_one_class(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1)], "y int, s double")
     assert L.auc(df, "y", "s").first()["auc"] == pytest.approx(0.875)
     assert L.auc(df.where("y = 1"), "y", "s").first()["auc"] is None
+
+
+@pytest.mark.parametrize("name", ["compare_runs", "join_cluster_features", "join_left_anti", "win_cluster_imp", "join_bucketed_fact", "hourly_chart"])
+def test_lines_are_joined_once(spark, sf, name):
+    """What sums the lines of orders is written once; the plan that reads it several times doesn't join them again."""
+    from tidemark.plans.catalog import QUERIES
+
+    assert "lineitem" not in "".join(QUERIES[name](spark, sf).inputFiles())
