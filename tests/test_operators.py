@@ -450,3 +450,14 @@ def test_searches_ask_for_every_fiftieth_vector(spark, sf, name):
     rows = QUERIES[name](spark, sf).select("a", "near").collect()
     assert sorted(r["a"] for r in rows) == sorted(i for i in ids if i % 50 == 0)
     assert {int(b) for r in rows for b in r["near"].split(",")} - {i for i in ids if i % 50 == 0}
+
+
+def test_split_double_is_split_amount_without_python(spark, sf):
+    from tidemark.operators.table_functions import register_table_functions
+    from tidemark.plans.streams import udtf_flatmap
+
+    register_table_functions(spark)
+    values = "VALUES (3.0D, 10.0D), (10.0D, 10.0D), (25.5D, 10.0D), (-2.0D, 10.0D), (null, 10.0D), (7.0D, null), (0.0D, 0.0D) AS t(n, most)"
+    one, two = (spark.sql(f"SELECT n, most, part, q FROM {values}, LATERAL {f}(n, most)").collect() for f in ("split_amount", "split_double"))
+    assert len(two) == 6 and sorted(map(tuple, one)) == sorted(map(tuple, two))
+    assert "Python" not in udtf_flatmap(spark, sf)._jdf.queryExecution().executedPlan().toString()

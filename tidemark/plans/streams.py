@@ -55,7 +55,7 @@ FROM lineitem""")
 def udtf_flatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row becomes one or two, by a table function in a lateral join."""
     register_table_functions(spark)
-    sql = "SELECT l_orderkey, l_linenumber, l_partkey, part, q FROM {rows}, LATERAL split_amount(l_quantity, 10)"
+    sql = "SELECT l_orderkey, l_linenumber, l_partkey, part, q FROM {rows}, LATERAL split_double(l_quantity, 10)"
     return spark.sql(sql, rows=table(spark, sf_dir, "lineitem"))
 
 
