@@ -418,6 +418,13 @@ def test_agreeing_places_against_sets(monkeypatch):
     assert set(zip(*(a.tolist() for a in S.agreeing_places(x, y)))) >= set(near)
 
 
+def test_tiles_of_a_large_bucket_are_dealt_one_by_one(spark):
+    """A bucket's tiles are no single task's: Spark would take the joins' partitions by key if they were grouped by it."""
+    around = spark.createDataFrame([(1, k, 0, bytes(4 * (2 * S.RUN - 1))) for k in range(100)], "key long, node long, at long, near binary").hint("merge")
+    met = S._met(around.select("key", "node", "at"), around, 16)
+    assert "hashpartitioning(tile#" in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_passages_of_very_long_texts(documents):
     rng = random.Random(29)
     p = words(rng, 60)
