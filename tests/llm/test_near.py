@@ -148,6 +148,29 @@ def test_word_counts_bound_the_words_that_texts_share():
             assert N.counts_allow(counts[i : i + 1], counts[j : j + 1], longest, 0.8)[0] or shared < 0.8 * longest[0]
 
 
+def test_entries_that_sketches_have_in_common():
+    """As arrays' intersections have it, for short texts and long ones and pairs of both."""
+    rng = random.Random(53)
+    base = words(rng, 60)
+    texts = [" ".join(base[: rng.choice([3, 8, 12, 20, 40, 60])] + words(rng, rng.randint(0, 3))) for _ in range(40)]
+    which, key = N.sketch_keys(N.Batch(texts, N.GRAM))
+    keys = [key[which == t].tolist() for t in range(len(texts))]
+    rows, short = N.sketch_rows(keys)
+    i, j = np.divmod(np.arange(1600), 40)
+    got = N.entries_in_common(rows[i], rows[j], short[i] & short[j])
+    assert 0 < short.sum() < 40 and got.tolist() == [len(set(keys[a]) & set(keys[b])) for a, b in zip(i, j)]
+
+
+def test_pairs_of_tiles_agree_before_they_leave(spark):
+    """Nodes of one bucket with equal word counts leave a tile only if their sketches agree."""
+    sketch = lambda k: [1, *range(1000 * k, 1000 * k + N.ENTRIES - 1)]
+    rows = [(7, k, k, 100, sketch(k // 2 + 1), bytes([1] * 100 + [0] * (N.CELLS - 100)), 40) for k in range(40)]
+    members = spark.createDataFrame(rows, "key long, node long, root_node long, n_words long, keys array<long>, counts binary, size long")
+    met = N._met(members, 64, N.SIMILAR)
+    assert sorted((r["a"], r["b"]) for r in met.distinct().collect()) == [(k, k + 1) for k in range(0, 40, 2)]
+    assert "hashpartitioning(tile#" in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_documents_against_brute_force(documents):
     rng = random.Random(4)
     rows, base = [], [words(rng, rng.randrange(40, 400)) for _ in range(120)]
