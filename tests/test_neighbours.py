@@ -126,3 +126,22 @@ def test_kmeans_with_fewer_vectors_than_clusters(spark):
     rows = [(k, [1.0, 0.0]) for k in range(5)] + [(9, [0.0, 1.0])]
     of = {r["id"]: r["cluster"] for r in V.kmeans_clusters(_table(spark, rows), 4).collect()}
     assert len({of[k] for k in range(5)}) == 1 and of[9] != of[0]
+
+
+def test_links_of_similar_vectors(spark, monkeypatch):
+    """Counts and components are those of the pairs, copies included; vectors that no one can compare have no link."""
+    monkeypatch.setattr(P, "TILE", 20)
+    monkeypatch.setattr(P, "STEP", 7)
+    rng = np.random.default_rng(59)
+    x = rng.standard_normal((90, 6))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(200 + k, x[k % 3].tolist()) for k in range(6)] + [(300, None), (301, [0.0] * 6)]
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in P.similar_links(_table(spark, rows), 0.6).collect()}
+    ids, y = [k for k, _ in rows[:-2]], np.array([v for _, v in rows[:-2]])
+    y = y / np.linalg.norm(y, axis=1, keepdims=True)
+    near = np.linalg.norm(y[:, None] - y[None], axis=2) <= 0.6
+    at = P.similar_pairs(_table(spark, rows[:90]), 0.6).count()
+    assert at == (near[:90, :90].sum() - 90) // 2, "all pairs are found here"
+    root = list(ids)
+    for _ in ids:
+        root = [min(root[j] for j in np.flatnonzero(near[i])) for i in range(len(ids))]
+    assert got == {k: (int(near[i].sum()) - 1, root[i]) for i, k in enumerate(ids)} | {300: (0, 300), 301: (0, 301)}
