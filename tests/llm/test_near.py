@@ -171,6 +171,36 @@ def test_pairs_of_tiles_agree_before_they_leave(spark):
     assert "hashpartitioning(tile#" in met._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pairs_of_a_large_family_are_no_rows(documents, monkeypatch):
+    """Of 200 texts that are nearly all just below the similarity, the pairs of large buckets are aligned in the tiles."""
+    rng, rows, pairs, written = random.Random(61), [], [], N.written
+    base = words(rng, 200)
+    for i in range(200):
+        w = list(base)
+        for k in rng.sample(range(200), 25):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+
+    def counted(df, name):
+        df = written(df, name)
+        pairs.append(df.count() if name == "pairs" else 0)
+        return df
+
+    monkeypatch.setattr(N, "written", counted)
+    monkeypatch.setattr(N, "TILE", 64)
+    assert N.near_documents(documents(rows)).count() == 200
+    assert sum(pairs) <= 50 * len(rows)  # of 19,900
+
+
+def test_tiles_meet_every_pair_once_in_rounds(spark):
+    """Nodes of two buckets that are alike two by two, in tiles of eight; the rounds' links, put together, are all of them."""
+    text = lambda k: " ".join(f"w{k // 2}x{i}" for i in range(40))
+    rows = [(key, k, k, 40, [7, 8], N.word_counts(N.Batch([text(k)])).tobytes(), 64, 8, text(k)) for k in range(64) for key in (7, 8)]
+    members = spark.createDataFrame(rows, "key long, node long, root_node long, n_words long, keys array<long>, counts binary, size long, tiles long, text string")
+    rounds = [[(r["a"], r["b"]) for r in N._met(members, hubs, N.SIMILAR, met).collect()] for met, hubs in ((0, 4), (4, 16), (16, 64))]
+    assert all(rounds) and sorted(sum(rounds, [])) == [(k, k + 1) for k in range(0, 64, 2)]
+
+
 def test_near_documents_against_brute_force(documents):
     rng = random.Random(4)
     rows, base = [], [words(rng, rng.randrange(40, 400)) for _ in range(120)]
