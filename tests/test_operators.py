@@ -461,3 +461,26 @@ def test_split_double_is_split_amount_without_python(spark, sf):
     one, two = (spark.sql(f"SELECT n, most, part, q FROM {values}, LATERAL {f}(n, most)").collect() for f in ("split_amount", "split_double"))
     assert len(two) == 6 and sorted(map(tuple, one)) == sorted(map(tuple, two))
     assert "Python" not in udtf_flatmap(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_inventory_are_few_numbers_in_the_join(spark):
+    """What the join of lines and orders shuffles is five columns, and all is made of them again, nulls and signs too."""
+    from tidemark.plans import inputs
+
+    rows = [(1, 7, 3, 14999.0, 2.0, "N", "O", "1996-05-01", 3), (2, -7, None, 15000.0, 3.0, None, "F", None, None), (3, None, 5, None, 4.0, "R", None, "0005-01-01", -2), (4, 10, -1, 5e4, None, "A|", "x", "1999-12-31", 2**29)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_returnflag string, l_linestatus string, d string, l_linenumber int")
+    packed = inputs.packed_lines(lines.withColumn("l_shipdate", F.to_timestamp("d")))
+    assert packed.columns == ["l_orderkey", "packed", "q", "m", "t"]
+    got = [tuple(r) for r in inputs.unpacked_lines(packed).orderBy("l_orderkey").collect()]
+    want = [(1, "N", "slot2", "O", "3", "3", "1996", 9, 0, 2.0), (2, None, "slot-2", "F", None, None, None, None, 1, 3.0), (3, "R", None, None, "-2", "0", "0005", -6, None, 4.0), (4, "A|", "slot0", "x", str(2**29), "-1", "1999", 3 * 2**29, 3, None)]
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["allocation_plan", "hwm_resources", "available_inventory", "daily_inventory"])
+def test_lines_meet_orders_once_in_a_query(spark, sf, monkeypatch, name):
+    from tidemark.plans import inventory as plans
+
+    made, inventory = [], plans.inventory
+    monkeypatch.setattr(plans, "inventory", lambda *a: made.append(1) or inventory(*a))
+    getattr(plans, name)(spark, sf)
+    assert len(made) == 1

@@ -29,13 +29,14 @@ bb AS (SELECT day, ands, CAST(sum(n) AS BIGINT) AS amount
 FROM sig GROUP BY ALL HAVING sum(n) > 0)"""
 
 
-def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inv = inventory(spark, sf_dir).withColumn("n", F.expr(_SUM))
+def matched(spark: SparkSession, sf_dir: str, inv: DataFrame | None = None) -> DataFrame:
+    """inv: the inventory, here and below, if the query has it already."""
+    inv = (inv or inventory(spark, sf_dir)).withColumn("n", F.expr(_SUM))
     return match_channels(bookings(spark, sf_dir).select("bk_id", "g", "a"), inv, ["g", "a"]).select(*_KEYS, "day", "n", "bk_id")
 
 
-def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.booking_buckets(matched(spark, sf_dir), _KEYS, amount="n").withColumnRenamed("n", "amount")
+def buckets(spark: SparkSession, sf_dir: str, inv: DataFrame | None = None) -> DataFrame:
+    return B.booking_buckets(matched(spark, sf_dir, inv), _KEYS, amount="n").withColumnRenamed("n", "amount")
 
 
 def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,13 +109,14 @@ def hwm_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_HWM}, {_KEYED} SELECT * FROM served")
 def hwm_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each bucket's allocations shared out over its keys."""
-    allocated = B.hwm_allocate(buckets(spark, sf_dir), demand(spark, sf_dir))
-    return B.hwm_resources(signed_keys(spark, sf_dir), allocated)
+    inv = inventory(spark, sf_dir)
+    allocated = B.hwm_allocate(buckets(spark, sf_dir, inv), demand(spark, sf_dir))
+    return B.hwm_resources(signed_keys(spark, sf_dir, inv), allocated)
 
 
-def signed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signed_keys(spark: SparkSession, sf_dir: str, inv: DataFrame | None = None) -> DataFrame:
     """day, ands (joined), key, n: what a bucket is made of."""
-    m = matched(spark, sf_dir).groupBy("day", *_KEYS).agg(F.array_join(F.sort_array(F.collect_set("bk_id")), "|").alias("ands"), F.first("n").alias("n"))
+    m = matched(spark, sf_dir, inv).groupBy("day", *_KEYS).agg(F.array_join(F.sort_array(F.collect_set("bk_id")), "|").alias("ands"), F.first("n").alias("n"))
     return m.where("n > 0").select("day", "ands", F.concat_ws(",", *_KEYS).alias("key"), "n")
 
 
@@ -124,7 +126,8 @@ def signed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def allocation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each key serves each booking on a day: allocation maps merged key by key."""
-    per = B.hwm_resources(signed_keys(spark, sf_dir), B.hwm_allocate(buckets(spark, sf_dir), demand(spark, sf_dir)))
+    inv = inventory(spark, sf_dir)
+    per = B.hwm_resources(signed_keys(spark, sf_dir, inv), B.hwm_allocate(buckets(spark, sf_dir, inv), demand(spark, sf_dir)))
     sums = per.groupBy("day", "key", "bk_id").agg(F.sum("allocated").alias("n")).where("n > 0")
     return sums.groupBy("day", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bk_id", "n"))), lambda s: F.concat_ws("=", s["bk_id"], s["n"].cast("string"))), ",").alias("plan"))
 
@@ -249,13 +252,13 @@ def in_days(rows: DataFrame, first: str, last: str) -> DataFrame:
     return asked.join(F.broadcast(few.where("few")), how="cross").drop("few")
 
 
-def by_day(spark: SparkSession, sf_dir: str, first: str = FIRST_DAY, last: str = LAST_DAY) -> DataFrame:
-    return I.hourly_sums(match_channels(channels(spark, sf_dir), in_days(inventory(spark, sf_dir), first, last), ATTRIBUTES), ["id", "day"])
+def by_day(spark: SparkSession, sf_dir: str, first: str = FIRST_DAY, last: str = LAST_DAY, inv: DataFrame | None = None) -> DataFrame:
+    return I.hourly_sums(match_channels(channels(spark, sf_dir), in_days(inv or inventory(spark, sf_dir), first, last), ATTRIBUTES), ["id", "day"])
 
 
-def booked(spark: SparkSession, sf_dir: str, first: str = FIRST_DAY, last: str = LAST_DAY) -> DataFrame:
+def booked(spark: SparkSession, sf_dir: str, first: str = FIRST_DAY, last: str = LAST_DAY, inv: DataFrame | None = None) -> DataFrame:
     """id, day, booked: what the bookings' allocations take of each channel on each day."""
-    whole = written(matched(spark, sf_dir), "matched")
+    whole = written(matched(spark, sf_dir, inv), "matched")
     asked = in_days(whole, first, last)
     of_keys = asked.groupBy("day", *_KEYS).agg(F.array_join(F.sort_array(F.collect_set("bk_id")), "|").alias("ands"), F.first("n").alias("n")).where("n > 0")
     fitting = match_channels(channels(spark, sf_dir), of_keys, ATTRIBUTES).groupBy("id", "day", "ands").agg(F.sum("n").alias("inside"))
@@ -282,8 +285,9 @@ _UPTO = " + ".join(f"CASE WHEN d.id % 4 >= {i} THEN h{i} ELSE 0 END" for i in ra
 def available_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each channel over its days: cumulative by its price category, times its behaviour ratio, less what is booked."""
     n = M.up_to_category([F.col(h) for h in M.H], F.col("id") % 4)
-    sums = by_day(spark, sf_dir).groupBy("id").agg(F.sum(n).alias("n"))
-    taken = booked(spark, sf_dir).groupBy("id").agg(F.sum("booked").alias("booked"))
+    inv = inventory(spark, sf_dir)
+    sums = by_day(spark, sf_dir, inv=inv).groupBy("id").agg(F.sum(n).alias("n"))
+    taken = booked(spark, sf_dir, inv=inv).groupBy("id").agg(F.sum("booked").alias("booked"))
     joined = sums.join(channel_ratios(spark, sf_dir), "id", "left").join(taken, "id", "left")
     left = F.col("n") * F.coalesce("ratio", F.lit(1.0)) - F.coalesce("booked", F.lit(0))
     return joined.select("id", F.round(F.greatest(left, F.lit(0.0)), 4).alias("available"))
@@ -299,7 +303,8 @@ _BEFORE = ["", " - h0", " - h0 - h1", " - h0 - h1 - h2"]
 )
 def daily_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What bookings leave of each channel's day, taken from the cheapest category first."""
-    joined = by_day(spark, sf_dir).join(booked(spark, sf_dir), ["id", "day"], "left")
+    inv = inventory(spark, sf_dir)
+    joined = by_day(spark, sf_dir, inv=inv).join(booked(spark, sf_dir, inv=inv), ["id", "day"], "left")
     left = M.after_booked([F.col(h) for h in M.H], F.coalesce("booked", F.lit(0)).cast("double"))
     return joined.select("id", "day", *[F.round(c, 4).alias(h) for c, h in zip(left, M.H)])
 
