@@ -192,6 +192,32 @@ def test_pairs_of_a_large_family_are_no_rows(documents, monkeypatch):
     assert sum(pairs) <= 50 * len(rows)  # of 19,900
 
 
+def test_texts_are_fetched_for_pairs_and_roots_for_nodes(documents, monkeypatch):
+    """Documents that share a phrase and little else share entries, but few texts are fetched; a node of many large buckets
+    is one row that roots and texts are joined to."""
+    rng, phrase, tables, fetched = random.Random(67), words(random.Random(68), 8), {}, []
+    family = words(rng, 80)
+    rows = [(k, " ".join([*phrase, *words(rng, 30)])) for k in range(120)] + [(1000 + k, " ".join(edited(rng, family, 0.11))) for k in range(60)]
+    written, written_texts = N.written, N.written_texts
+
+    def kept(df, name):
+        tables.setdefault(name, []).append(written(df, name))
+        return tables[name][-1]
+
+    def counted(rows, nodes):
+        fetched.append(nodes.where("node < 1000").count())
+        return written_texts(rows, nodes)
+
+    monkeypatch.setattr(N, "written", kept)
+    monkeypatch.setattr(N, "written_texts", counted)
+    got = {r["doc_id"]: r["class_id"] for r in N.near_documents(documents(rows)).collect()}
+    assert all(got[k] == k for k in range(120))
+    sharing = tables["bucket-members"][0].where("node < 1000").select("node").distinct().count()
+    assert sharing > 60 and max(fetched[:3]) < sharing / 2, (sharing, fetched)  # the fourth has those of mixed large buckets
+    for table in tables["large-buckets"]:
+        assert 0 < table.count() == table.select("node").distinct().count()
+
+
 def test_tiles_meet_every_pair_once_in_rounds(spark):
     """Nodes of two buckets that are alike two by two, in tiles of eight; the rounds' links, put together, are all of them."""
     text = lambda k: " ".join(f"w{k // 2}x{i}" for i in range(40))
