@@ -504,6 +504,26 @@ def test_tiles_of_a_large_bucket_are_dealt_one_by_one(spark):
     assert "hashpartitioning(tile#" in met._jdf.queryExecution().executedPlan().toString()
 
 
+def test_phrases_shorter_than_a_passage_stay_in_their_tiles(spark):
+    """Of two texts with one word 44 times in a row, hundreds of windows share their key and no passage; a third and a
+    fourth share a passage with an edit. Windows with the same surroundings of one text are one hub."""
+    rng = np.random.default_rng(5)
+    own = lambda n: rng.integers(10, 1 << 31, n, dtype=np.uint32)
+    long_ = own(2 * S.RUN - 1)
+    edit = long_.copy()
+    edit[20:25] = own(5)
+    phrase = lambda before: np.concatenate([own(before), np.full(40, 5, np.uint32), own(2 * S.RUN - 41 - before)])
+    x, y = np.stack([phrase(26), long_]), np.stack([phrase(24), phrase(30), edit, edit])
+    assert list(zip(*(a.tolist() for a in S.agreeing_places(x, y)))) == [(0, 0), (0, 1), (1, 2), (1, 3)]
+    assert list(zip(*(a.tolist() for a in S.agreeing_places(x, y, np.array([1, 3]), np.array([2, 2, 4, 4]))))) == [(1, 2)]
+    assert not len(S.agreeing_places(x, y, np.array([1, 4]), np.array([2, 2, 4, 4]))[0])
+    rows = [(7, n, at, v.tobytes()) for n, at, v in [(1, 40, x[0]), (3, 40, x[1]), (2, 9, y[0]), (2, 10, y[1]), *((4, k, edit) for k in range(300))]]
+    around = spark.createDataFrame([(k, n, at, bytearray(v)) for k, n, at, v in rows], "key long, node long, at long, near binary")
+    met = S._met(around.where("node % 2 = 1").select("key", "node", "at"), around, 1 << 10)
+    assert [(r["a"], r["b"]) for r in met.collect()] == [(3, 4)]
+    assert "REPARTITION_BY_NUM" in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_passages_of_very_long_texts(documents):
     rng = random.Random(29)
     p = words(rng, 60)
