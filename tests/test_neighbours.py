@@ -145,3 +145,12 @@ def test_links_of_similar_vectors(spark, monkeypatch):
     for _ in ids:
         root = [min(root[j] for j in np.flatnonzero(near[i])) for i in range(len(ids))]
     assert got == {k: (int(near[i].sum()) - 1, root[i]) for i, k in enumerate(ids)} | {300: (0, 300), 301: (0, 301)}
+
+
+def test_pairs_of_tiles_are_each_once(spark, monkeypatch):
+    from tidemark.operators import similarity
+
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 8)
+    vectors = spark.createDataFrame([(k, k % 2, [float(k), 1.0]) for k in range(60)], "vec_id long, label int, embedding array<double>")
+    got = sorted((r["a"], r["b"], round(r["score"], 6)) for r in similarity.pairwise(vectors, within="label").collect())
+    assert got == [(a, b, round(2**0.5 - (b - a), 6)) for a in range(60) for b in range(a + 2, 60, 2)]
