@@ -465,6 +465,24 @@ def test_recall_of_edited_passages(documents, edits, least):
     assert sum(found.get(1000 + k, 0) >= 90 for k in range(100)) >= least * 100
 
 
+def test_windows_of_every_hash_function_have_keys(documents):
+    """Pairs of passages of 60 words with one word replaced, none of whose windows by the first hash function is in both."""
+    rng = random.Random(47)
+    rows = []
+    while len(rows) < 40:
+        p = words(rng, 60)
+        q = [*p[:30], "edited", *p[31:]]
+        x, y = [*words(rng, 40), *p, *words(rng, 40)], [*words(rng, 30), *q, *words(rng, 30)]
+        batch = S.Batch([" ".join(x), " ".join(y)])
+        keys = lambda n: [{k for t, k in zip(*(a.tolist() for a in S.window_keys(batch, n))) if t == side} for side in (0, 1)]
+        if not set.intersection(*keys(1)) and set.intersection(*keys(3)):
+            rows += [(len(rows) // 2, " ".join(x)), (1000 + len(rows) // 2, " ".join(y))]
+    text, key = S.window_keys(batch)
+    assert set(key[text == 0].tolist()) & set(key[text == 1].tolist())
+    found = {r["doc_id"] for r in S.repeated_passages(documents(rows)).collect() if not r["kept"]}
+    assert len(found) >= 15  # none with keys of the first alone
+
+
 def test_edited_passages_around_a_line_of_a_large_bucket(documents, monkeypatch):
     """120 documents share a line of 36 words, and each two of them 12 words before and after it as well, with a word
     replaced beside the line. What is found is what is found if every bucket is expanded to all its pairs."""
