@@ -503,6 +503,30 @@ def test_edited_passages_around_a_line_of_a_large_bucket(documents, monkeypatch)
     assert len({d for d, *_ in want if d >= 1000}) >= 50 and got == want
 
 
+def test_edited_passages_of_a_large_bucket_meet_all_others(documents, monkeypatch):
+    """60 documents share a passage of 60 words, each with a word of its own replaced; those of smallest id have 40 words of
+    it. Being covered with one document doesn't keep a window from the others: the rows are those of all pairs."""
+    rng = random.Random(53)
+    p, rows = words(rng, 60), []
+    for k in range(12):
+        rows.append((k, " ".join([*words(rng, 20), *p[2 * k % 20 : 2 * k % 20 + 40], *words(rng, 20)])))
+    for k in range(60):
+        q = list(p)
+        q[10 + (7 * k) % 40] = f"edit{k}"
+        rows.append((100 + k, " ".join([*words(rng, 20), *q, *words(rng, 20)])))
+
+    def found():
+        return {(r["doc_id"], r["start_word"], r["end_word"], r["first_doc_id"], r["kept"]) for r in S.repeated_passages(documents(rows)).collect()}
+
+    monkeypatch.setattr(S, "TILE", 16)
+    monkeypatch.setattr(S, "HUBS", 4)
+    monkeypatch.setattr(S, "FEW", 4)
+    got = found()
+    monkeypatch.setattr(S, "FEW", 1000)
+    want = found()
+    assert len({d for d, *_, kept in want if not kept}) >= 40 and got == want
+
+
 def test_agreeing_places_against_sets(monkeypatch):
     rng = np.random.default_rng(43)
     x, y = (rng.integers(1, 60, (40, 2 * S.RUN - 1)).astype(np.uint32) for _ in range(2))
