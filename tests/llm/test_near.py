@@ -566,6 +566,27 @@ def test_phrases_shorter_than_a_passage_stay_in_their_tiles(spark):
     assert "REPARTITION_BY_NUM" in met._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pairs_are_aligned_in_cells_of_two_blocks(spark, monkeypatch):
+    """Each text goes once to each group of pairs, whatever the blocks; an id of several texts has those of all."""
+    rng = random.Random(59)
+    p = words(rng, 80)
+    rows = [(k, " ".join([*words(rng, 10 + k), *p[: 20 + k], "edited", *p[21 + k :], *words(rng, 5)])) for k in range(9)] + [(4, " ".join(words(rng, 70))), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = spark.createDataFrame([(a, b) for a in range(9) for b in range(a + 1, 10)], "a long, b long")
+    sides = [(k, S.sides_of(S.Batch([t]))[0]) for k, t in rows if t]
+    want = set()
+    for a, x in sides:
+        for b, y in sides:
+            if a < b:
+                own, other = S.shared_passages(x, y)
+                want |= {(a, s, e, a) for s, e in own} | {(b, s, e, a) for s, e in other}
+    for cell in (512, 2):
+        monkeypatch.setattr(S, "CELL", cell)
+        made = S._aligned(pairs, docs)
+        assert "FlatMapCoGroupsInArrow" in made._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in made.collect()} == want and len(want) > 60
+
+
 def test_passages_of_very_long_texts(documents):
     rng = random.Random(29)
     p = words(rng, 60)
