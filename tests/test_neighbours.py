@@ -154,3 +154,17 @@ def test_pairs_of_tiles_are_each_once(spark, monkeypatch):
     vectors = spark.createDataFrame([(k, k % 2, [float(k), 1.0]) for k in range(60)], "vec_id long, label int, embedding array<double>")
     got = sorted((r["a"], r["b"], round(r["score"], 6)) for r in similarity.pairwise(vectors, within="label").collect())
     assert got == [(a, b, round(2**0.5 - (b - a), 6)) for a in range(60) for b in range(a + 2, 60, 2)]
+
+
+def test_blocks_of_all_pairs_are_shuffled_once(spark, monkeypatch):
+    """Where blocks meet, nothing is shuffled: a vector goes to its own block only, however many others that meets."""
+    from tidemark.operators import similarity
+
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(similarity, "SCORED_ROWS", 3)
+    vectors = spark.createDataFrame([(k, k % 3, [float(k % 11), 1.0]) for k in range(90)] + [(90, None, [0.0, 1.0]), (91, 0, None)], "vec_id long, label int, embedding array<double>")
+    found = similarity.pairwise(vectors, within="label")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    got = sorted((r["a"], r["b"], round(r["score"], 6)) for r in found.collect())
+    assert got == [(a, b, round(2**0.5 - abs(a % 11 - b % 11), 6)) for a in range(90) for b in range(a + 3, 90, 3)]
