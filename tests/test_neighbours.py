@@ -168,3 +168,35 @@ def test_blocks_of_all_pairs_are_shuffled_once(spark, monkeypatch):
     assert "CartesianProduct" in plan and "Exchange" not in plan
     got = sorted((r["a"], r["b"], round(r["score"], 6)) for r in found.collect())
     assert got == [(a, b, round(2**0.5 - abs(a % 11 - b % 11), 6)) for a in range(90) for b in range(a + 3, 90, 3)]
+
+
+def test_links_of_all_pairs_leave_blocks_unshuffled(spark, monkeypatch):
+    """At nearly a right angle all vectors meet, each two blocks once and nothing shuffled for it; the links are exact."""
+    monkeypatch.setattr(P, "TILE", 30)
+    monkeypatch.setattr(P, "STEP", 7)
+    met, compared = [], P.met_blocks
+    monkeypatch.setattr(P, "met_blocks", lambda *a: met.append(compared(*a)) or met[-1])
+    rng = np.random.default_rng(61)
+    x = np.concatenate([rng.standard_normal((150, 24)) + [3.0, *[0.0] * 23], rng.standard_normal((20, 24)) * 0.1 - [3.0, *[0.0] * 23]])
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(500 + k, (2 * x[k]).tolist()) for k in range(9)] + [(600, None), (601, [1.0, 2.0]), (602, [-1.0, 2.5])]
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in P.similar_links(_table(spark, rows), 1.25).collect()}
+    plan = met[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(met) == 2 and "CartesianProduct" in plan and "Exchange" not in plan
+    ids, y = [k for k, _ in rows[:-3]], x[[*range(170), *range(9)]]
+    y = y / np.linalg.norm(y, axis=1, keepdims=True)
+    near = np.linalg.norm(y[:, None] - y[None], axis=2) <= 1.25
+    root = list(ids)
+    for _ in ids:
+        root = [min(root[j] for j in np.flatnonzero(near[i])) for i in range(len(ids))]
+    assert len(set(root)) > 1 and got == {k: (int(near[i].sum()) - 1, root[i]) for i, k in enumerate(ids)} | {600: (0, 600), 601: (1, 601), 602: (1, 601)}
+
+
+def test_products_at_the_distance_are_exact():
+    rng = np.random.default_rng(67)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 200, 64)))
+    d = np.sqrt(2 - 2 * np.einsum("ij,ij->i", x, y))
+    for k in range(200):  # a distance that a pair has, and the next one below it
+        for distance in (d[k], np.nextafter(d[k], 0)):
+            least = P._least_product(distance)
+            assert P._within(*(v[k : k + 1].astype(np.float32) for v in (x, y)), x[k : k + 1], y[k : k + 1], least)[0, 0] == (d[k] <= distance)
+    assert P._least_product(2.5) < -1 and np.sqrt(2 - 2 * P._least_product(1.25)) <= 1.25 < np.sqrt(2 - 2 * np.nextafter(P._least_product(1.25), -1))
